@@ -2,7 +2,7 @@
 
 ``Window.partitionBy(g).orderBy(v)`` puts a whole group into one task. Here the rows are range
 partitioned by (group, order), so one group spreads over as many tasks as it needs; every task adds
-up its own slice, and one small table of slice totals supplies what came before the slice.
+up its own slice, and one small table supplies what the slice's first group had before the slice.
 """
 
 from __future__ import annotations
@@ -21,30 +21,69 @@ from gleanframe.operators.materialise import materialise
 HOT_SHARE = 0.005
 
 
+def _runs(pdf: pd.DataFrame, group: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal group keys in a sorted batch."""
+    new = np.ones(len(pdf), bool)
+    keys = [pdf[g].to_numpy() for g in group]
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    starts = np.flatnonzero(new)
+    return starts, np.diff(np.append(starts, len(pdf)))
+
+
 def running_totals(
     df: DataFrame, group: Sequence[str], order: Sequence[str], sums: Sequence[str]
 ) -> DataFrame:
     """Add ``<s>_before`` for every column in ``sums``: its total over the earlier rows of the group.
 
     (group, order) must identify a row. Columns in ``sums`` are bigint or double and not NULL. The
-    broadcast table has at most (number of partitions + number of groups) rows.
+    broadcast table has one row per partition, however many groups there are.
     """
     group, order, sums = list(group), list(order), list(sums)
     ranged = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
     ranged = materialise(ranged).withColumn("_slice", F.spark_partition_id())
 
-    slices = ranged.groupBy("_slice", *group).agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    edge_schema = T.StructType(
+        [T.StructField("_slice", T.IntegerType()), T.StructField("_first", T.BooleanType())]
+        + [T.StructField(g, fields[g]) for g in group]
+        + [T.StructField(f"_t_{s}", fields[s]) for s in sums]
+    )
+
+    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Totals of the first and the last group of the slice; only these can cross its borders."""
+        first = last = None
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            starts, _ = _runs(pdf, group)
+            totals = {s: np.add.reduceat(pdf[s].to_numpy(), starts) for s in sums}
+            for r in {0, len(starts) - 1}:
+                key = tuple(pdf[g].iat[starts[r]] for g in group)
+                part = [totals[s][r] for s in sums]
+                if last is not None and last[1] == key:
+                    last = (last[0], key, [a + b for a, b in zip(last[2], part)])
+                else:
+                    last = (int(pdf["_slice"].iat[0]), key, part)
+                if first is None or first[1] == key:
+                    first = last
+        if first is not None:
+            rows = [(first[0], True, *first[1], *first[2])]
+            if last[1] != first[1]:
+                rows.append((last[0], False, *last[1], *last[2]))
+            yield pd.DataFrame(rows, columns=edge_schema.names)
+
     earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = slices.select(
-        "_slice", *group,
-        *[F.coalesce(F.sum(f"_t_{s}").over(earlier), F.lit(0)).cast(df.schema[s].dataType).alias(f"_o_{s}")
-          for s in sums],
+    offsets = (
+        ranged.select("_slice", *group, *sums).mapInPandas(edges, edge_schema)
+        .select("_slice", "_first", *group, *[F.sum(f"_t_{s}").over(earlier).alias(f"_o_{s}") for s in sums])
+        .filter("_first").drop("_first")
     )
-    keyed = ranged.join(F.broadcast(offsets), ["_slice", *group])
+    keyed = ranged.join(F.broadcast(offsets), ["_slice", *group], "left").select(
+        *df.columns, *[F.coalesce(f"_o_{s}", F.lit(0)).cast(fields[s]).alias(f"_o_{s}") for s in sums])
 
     out_schema = T.StructType(
-        [T.StructField(c, df.schema[c].dataType) for c in df.columns]
-        + [T.StructField(f"{s}_before", df.schema[s].dataType) for s in sums]
+        [T.StructField(c, fields[c]) for c in df.columns]
+        + [T.StructField(f"{s}_before", fields[s]) for s in sums]
     )
     columns = list(df.columns)
 
@@ -54,12 +93,8 @@ def running_totals(
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            keys = [pdf[g].to_numpy() for g in group]
-            new = np.ones(len(pdf), bool)
-            new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-            starts = np.flatnonzero(new)
-            lengths = np.diff(np.append(starts, len(pdf)))
-            continues = last_key == tuple(k[0] for k in keys)
+            starts, lengths = _runs(pdf, group)
+            continues = last_key == tuple(pdf[g].iat[0] for g in group)
             result = pdf[columns].copy()
             for s in sums:
                 v = pdf[s].to_numpy()
@@ -73,10 +108,10 @@ def running_totals(
                 before = within + np.repeat(base, lengths)
                 result[f"{s}_before"] = before
                 carry[s] = before[-1] + v[-1]
-            last_key = tuple(k[-1] for k in keys)
+            last_key = tuple(pdf[g].iat[-1] for g in group)
             yield result
 
-    return keyed.select(*columns, *[f"_o_{s}" for s in sums]).mapInPandas(add_up, out_schema)
+    return keyed.mapInPandas(add_up, out_schema)
 
 
 def hot_lookup(
