@@ -74,6 +74,19 @@ def grubbs_cuts(
     return out
 
 
+def first_step(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """``(feature, n, g_max, g_min)``: the statistics of the first test on each side."""
+    names = list(columns)
+    wide = df.select(*[columns[n].alias(f"x{i}") for i, n in enumerate(names)]).agg(*[
+        F.struct(
+            F.lit(n).alias("feature"), F.count(f"x{i}").alias("n"),
+            F.try_divide(F.max(f"x{i}") - F.avg(f"x{i}"), F.stddev_samp(f"x{i}")).alias("g_max"),
+            F.try_divide(F.avg(f"x{i}") - F.min(f"x{i}"), F.stddev_samp(f"x{i}")).alias("g_min"),
+        ).alias(f"s{i}") for i, n in enumerate(names)
+    ])
+    return wide.select(F.explode(F.array(*[F.col(f"s{i}") for i in range(len(names))])).alias("s")).select("s.*")
+
+
 def tail_samples(
     df: DataFrame, sides: Mapping[tuple, Column], starts: Mapping[tuple, float | None],
     moments: Mapping[tuple, tuple[float, float]],
