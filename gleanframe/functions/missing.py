@@ -17,6 +17,7 @@ CSV_TOKENS = DEFAULT_TOKENS + (
     "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "n/a", "null", ".", "~",
 )
 
+MARK = "missing_is_null"
 WHITESPACE = " \t\n\r\f\v"
 
 CONTINUOUS_TYPES = (
@@ -52,11 +53,16 @@ def is_missing(c: Column, data_type: T.DataType, tokens: Sequence[str] = DEFAULT
 
 
 def normalise_missing(df: DataFrame, tokens: Sequence[str] = DEFAULT_TOKENS) -> DataFrame:
-    """Every missing cell becomes NULL. Column names and types stay; one narrow projection."""
+    """Every missing cell becomes NULL. Column names and types stay; one narrow projection.
+
+    Columns done once carry a mark in their metadata and are not tested again.
+    """
+    mark = {MARK: list(tokens)}
     out = []
     for f in df.schema.fields:
         c = column(f.name)
-        if isinstance(f.dataType, (T.FloatType, T.DoubleType, T.StringType)):
-            c = F.when(~is_missing(c, f.dataType, tokens), c).alias(f.name)
+        testable = isinstance(f.dataType, (T.FloatType, T.DoubleType, T.StringType))
+        if testable and f.metadata.get(MARK) != mark[MARK]:
+            c = F.when(~is_missing(c, f.dataType, tokens), c).alias(f.name, metadata={**f.metadata, **mark})
         out.append(c)
     return df.select(*out)

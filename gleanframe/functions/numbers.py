@@ -8,17 +8,15 @@ from pyspark.sql import functions as F
 from gleanframe.functions.missing import strip
 
 # Spark's cast also takes Java suffixes ('1d', '2f') and hex floats, which are not numbers here.
-NUMBER_PATTERN = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
-INFINITY_PATTERN = r"^[+-]?[iI][nN][fF]([iI][nN][iI][tT][yY])?$"
+NUMBER_PATTERN = (
+    r"^[+-]?(?:(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?|[iI][nN][fF](?:[iI][nN][iI][tT][yY])?)$"
+)
 
 
 def parse_number(c: Column) -> Column:
     """Text to double; NULL when the trimmed text is not a number."""
     text = strip(c)
-    return F.when(
-        text.rlike(NUMBER_PATTERN) | text.rlike(INFINITY_PATTERN),
-        text.try_cast("double"),
-    )
+    return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
 
 
 def is_integral(x: Column) -> Column:

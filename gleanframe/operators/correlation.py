@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from gleanframe.functions.missing import DEFAULT_TOKENS, column, normalise_missing
 from gleanframe.operators.features import raw_number, supported_columns
 from gleanframe.operators.kendall import kendall_tau
-from gleanframe.operators.materialise import materialise
+from gleanframe.operators.materialise import materialise, spread_out
 from gleanframe.operators.moments import pair_moments
 from gleanframe.operators.running import hot_lookup, running_totals
 
@@ -160,7 +160,7 @@ def _spearman(df, usable, n_rows, pairs, key):
         ids = [f"_k{i}" for i in range(len(key))]
     else:
         # Without a key the rows are numbered, and written once so that the numbers hold.
-        table = materialise(df.select(F.monotonically_increasing_id().alias("_k0"), *needed))
+        table = materialise(spread_out(df.select(*needed)).select(F.monotonically_increasing_id().alias("_k0"), "*"))
         ids = ["_k0"]
 
     def member(pattern: frozenset, name: str) -> Column:
@@ -184,9 +184,11 @@ def _spearman(df, usable, n_rows, pairs, key):
     small = [g for g in members if sizes.get(g, (0, 0))[0] <= BROADCAST_RANKS]
     large = [g for g in members if g not in small]
 
+    # One small partition, so that each broadcast reads little.
+    small_ranks = materialise(ranks.filter(F.col("g").isin(small)).select("g", "value", "rank").coalesce(1)) if small else None
     wide = table.select(*(ids if large else []), *[members[g].alias(f"m{g}") for g in small])
     for g in small:
-        lookup = ranks.filter(F.col("g") == g).select(F.col("value").alias(f"m{g}"), F.col("rank").alias(f"r{g}"))
+        lookup = small_ranks.filter(F.col("g") == g).select(F.col("value").alias(f"m{g}"), F.col("rank").alias(f"r{g}"))
         wide = wide.join(F.broadcast(lookup), f"m{g}", "left")
     wide = wide.select(*(ids if large else []), *[f"r{g}" for g in small])
     if large:

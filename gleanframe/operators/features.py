@@ -34,18 +34,16 @@ def text_of(name: str) -> Column:
 
 
 def number_of(row: Row) -> Column:
-    """The feature as double: the column itself, or the number parsed from its text."""
+    """The feature of a normalised table as double: the column itself, or the number in its text."""
     if row["storage"] == "continuous":
-        x = column(row["feature"]).cast("double")
-        return F.when(~F.isnan(x), x)
+        return column(row["feature"]).cast("double")
     return parse_number(text_of(row["feature"]))
 
 
 def raw_number(df: DataFrame, name: str) -> Column:
-    """Any column coerced to double whatever its profile; NULL where that fails."""
+    """Any column of a normalised table coerced to double; NULL where that fails."""
     if is_continuous(df.schema[name].dataType):
-        x = column(name).cast("double")
-        return F.when(~F.isnan(x), x)
+        return column(name).cast("double")
     return parse_number(text_of(name))
 
 

@@ -13,12 +13,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanframe.functions.missing import DEFAULT_TOKENS, column, normalise_missing
-from gleanframe.operators.features import emit_cells, load, number_of, text_of
+from gleanframe.operators.features import NUMERIC, emit_cells, load, number_of, text_of
 from gleanframe.operators.materialise import materialise
 from gleanframe.operators.profile import distinct_values
 from gleanframe.operators.quantiles import exact_quantiles
@@ -31,8 +32,6 @@ EACH_CONTAMINATION = 0.01
 # Text columns with at most this many distinct values get their codes by broadcast.
 BROADCAST_VALUES = 100_000
 
-NODE_SCHEMA = "tree int, node int, split_on int, split_at double, left_node int, right_node int, path double"
-
 
 def average_path(n: float) -> float:
     """Mean depth of an unsuccessful search in a binary tree of n points."""
@@ -83,13 +82,17 @@ def forest_depths(nodes: np.ndarray, x: np.ndarray) -> np.ndarray:
     return total / len(nodes)
 
 
-def _node_array(rows: list) -> np.ndarray:
-    trees = max(r["tree"] for r in rows) + 1
-    width = max(r["node"] for r in rows) + 1
-    out = np.zeros((trees, width, 5))
+def grow_forest(x: np.ndarray, trees: Sequence[int], seed: Sequence[int]) -> np.ndarray:
+    """The given trees as one (tree, node, field) array; tree t depends on (seed, t) only."""
+    grown = []
+    for t in trees:
+        rng = np.random.default_rng([*seed, t])
+        grown.append(grow_tree(x[rng.choice(len(x), size=min(SAMPLE_PER_TREE, len(x)), replace=False)], rng))
+    out = np.zeros((len(grown), max(n[0] for tree in grown for n in tree) + 1, 5))
     out[:, :, 0] = -1
-    for r in rows:
-        out[r["tree"], r["node"]] = (r["split_on"], r["split_at"], r["left_node"], r["right_node"], r["path"])
+    for i, tree in enumerate(grown):
+        for n in tree:
+            out[i, n[0]] = n[1:]
     return out
 
 
@@ -120,57 +123,70 @@ def training_sample(df: DataFrame, key: Sequence[str], n_rows: int, seed: int, s
 
 def numeric_codes(df: DataFrame, rows: Sequence, numeric_only: bool) -> tuple[DataFrame, list[str]]:
     """Columns ``x0, x1, ..`` for the given features, text as its position among the sorted values."""
-    features: list[str] = []
-    out = df
-    for r in rows:
-        name = f"x{len(features)}"
-        if r["var_type"] in ("int", "float", "date"):
-            out = out.withColumn(name, number_of(r))
-        elif numeric_only:
-            continue
-        else:
-            codes = running_totals(
-                distinct_values(df, [r["feature"]]).select(
-                    F.lit(0).alias("g"), "value", F.lit(1).cast("bigint").alias("one"), "n"),
-                ["g"], ["value"], ["one"],
-            ).select("g", F.col("value").alias(f"_v{name}"), F.col("one_before").cast("double").alias(name), "n")
-            probe = out.withColumn(f"_v{name}", text_of(r["feature"]))
+    numeric = [r for r in rows if r["var_type"] in NUMERIC]
+    text = [] if numeric_only else [r for r in rows if r["var_type"] not in NUMERIC]
+    used = [r for r in rows if r in numeric or r in text]
+    name = {r["feature"]: f"x{i}" for i, r in enumerate(used)}
+    out = df.select("*", *[number_of(r).alias(name[r["feature"]]) for r in numeric])
+    if text:
+        values = distinct_values(df, [r["feature"] for r in text]).withColumn("one", F.lit(1).cast("bigint"))
+        codes = materialise(running_totals(values, ["feature"], ["value"], ["one"]).select(
+            "feature", "value", "n", F.col("one_before").cast("double").alias("code")))
+        for r in text:
+            x = name[r["feature"]]
+            own = codes.filter(F.col("feature") == r["feature"]).select(
+                "feature", F.col("value").alias(f"_v{x}"), F.col("code").alias(x), "n")
+            probe = out.withColumn(f"_v{x}", text_of(r["feature"]))
             if r["domain_size"] <= BROADCAST_VALUES:
-                out = probe.join(F.broadcast(codes.drop("g", "n")), f"_v{name}")
+                out = probe.join(F.broadcast(own.drop("feature", "n")), f"_v{x}").drop(f"_v{x}")
             else:
-                out = hot_lookup(probe.withColumn("g", F.lit(0)), codes, ["g", f"_v{name}"], "n", ["g"]).drop("g")
-            out = out.drop(f"_v{name}")
-        features.append(r["feature"])
-    return out, features
-
-
-def _train(sample: DataFrame, groups: list[tuple[int, list[str]]], seed: int, size: int, n_sample: int) -> dict[int, np.ndarray]:
-    """Grow ``TREES`` trees per group of columns; the sample is small by construction."""
-    per_tree = min(SAMPLE_PER_TREE, n_sample)
-    points = sample.toPandas()
-    spark = sample.sparkSession
-    data = points.to_numpy(float)
-    at = {c: i for i, c in enumerate(points.columns)}
-    picks = {g: data[:, [at[c] for c in cols]] for g, cols in groups}
-    tasks = spark.createDataFrame([(g, t) for g, _ in groups for t in range(TREES)], "grp int, tree int")
-    shared = spark.sparkContext.broadcast(picks)
-
-    def grow(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        g, t = int(keys[0]), int(keys[1])
-        rng = np.random.default_rng([seed, g, t])
-        x = shared.value[g]
-        chosen = x[rng.choice(len(x), size=per_tree, replace=False)]
-        return pd.DataFrame(
-            [(g, t, *n) for n in grow_tree(chosen, rng)],
-            columns=["grp", "tree", "node", "split_on", "split_at", "left_node", "right_node", "path"],
-        )
-
-    nodes = tasks.groupBy("grp", "tree").applyInPandas(grow, "grp int, " + NODE_SCHEMA).collect()
-    out = {g: _node_array([n for n in nodes if n["grp"] == g]) for g, _ in groups}
+                probe = probe.withColumn("feature", F.lit(r["feature"]))
+                out = hot_lookup(probe, own, ["feature", f"_v{x}"], "n", ["feature"]).drop("feature", f"_v{x}")
+    return out, [r["feature"] for r in used]
+
+
+def _in_parallel(spark, count: int, work, schema: str) -> pa.Table:
+    """``work(i)`` for i in range(count), one small task each; the results are small and come back."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in pdf["id"]:
+                yield work(int(i))
+
+    slices = min(count, 4 * spark.sparkContext.defaultParallelism)
+    return spark.range(0, count, 1, slices).mapInPandas(run, schema).toArrow()
+
+
+def grow_joint(spark, x: np.ndarray, seed: int) -> np.ndarray:
+    """``TREES`` trees over all columns, grown tree by tree in parallel."""
+    shared = spark.sparkContext.broadcast(x)
+
+    def one(t: int) -> pd.DataFrame:
+        nodes = grow_forest(shared.value, [t], [seed, 0])[0]
+        return pd.DataFrame({"tree": [t], "width": [len(nodes)], "nodes": [nodes.ravel()]})
+
+    got = _in_parallel(spark, TREES, one, "tree int, width int, nodes array<double>").to_pylist()
     shared.unpersist()
+    out = np.zeros((TREES, max(r["width"] for r in got), 5))
+    out[:, :, 0] = -1
+    for r in got:
+        out[r["tree"], : r["width"]] = np.reshape(r["nodes"], (r["width"], 5))
     return out
 
 
+def grow_each(spark, x: np.ndarray, seed: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """A forest per column, each reduced to a step function of the value."""
+    shared = spark.sparkContext.broadcast(x)
+
+    def one(i: int) -> pd.DataFrame:
+        cuts, depths = _step_function(grow_forest(shared.value[:, i : i + 1], range(TREES), [seed, i]))
+        return pd.DataFrame({"i": [i], "cuts": [cuts], "depths": [depths]})
+
+    got = _in_parallel(spark, x.shape[1], one, "i int, cuts array<double>, depths array<double>").to_pylist()
+    shared.unpersist()
+    return {r["i"]: (np.asarray(r["cuts"], float), np.asarray(r["depths"], float)) for r in got}
+
+
 def forest_scores(
     df: DataFrame, profile_df: DataFrame, key: Sequence[str], method: str, seed: int = 0,
     tokens: Sequence[str] = DEFAULT_TOKENS, numeric_only: bool = False,
@@ -188,13 +204,13 @@ def forest_scores(
     table = coded.select(*map(column, key), *xs)
     n_rows = good[0]["n_rows"]
     size = TREES * SAMPLE_PER_TREE
-    sample = training_sample(table, key, n_rows, seed, size).select(*xs)
-    groups = [(0, xs)] if method == "forest_joint" else [(i, [x]) for i, x in enumerate(xs)]
-    forests = _train(sample, groups, seed, size, min(size, n_rows))
+    sample = training_sample(table, key, n_rows, seed, size).select(*xs).toArrow()
+    x = np.column_stack([sample.column(c).to_numpy().astype(float) for c in xs])
+    spark = df.sparkSession
+    joint = grow_joint(spark, x, seed) if method == "forest_joint" else None
+    steps = {} if method == "forest_joint" else grow_each(spark, x, seed)
     norm = average_path(min(SAMPLE_PER_TREE, n_rows)) or 1.0
-    steps = {} if method == "forest_joint" else {g: _step_function(n) for g, n in forests.items()}
-    joint = forests[0] if method == "forest_joint" else None
-    scores = [f"s{g}" for g, _ in groups]
+    scores = ["s0"] if method == "forest_joint" else [f"s{i}" for i in range(len(xs))]
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

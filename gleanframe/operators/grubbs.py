@@ -130,17 +130,32 @@ def _scan_tails(df, sides, starts, moments, alpha) -> dict[tuple, float]:
     samples = tail_samples(df, sides, starts, moments).filter("NOT inner")
 
     def failing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The last failing value per side of each batch; rows come in ascending order of v."""
         for pdf in batches:
-            n, g = pdf["n"].to_numpy(), pdf["g"].to_numpy(float, na_value=0.0)
-            if len(n) == 0:
-                continue
-            # The critical value grows with n: only scores between its two ends need their own.
-            top = grubbs_critical(int(n.max()), alpha)
-            bottom = min(grubbs_critical(int(max(n.min(), 3)), alpha), top)
-            fails = (g <= bottom) | (n <= 2)
-            for i in np.flatnonzero(~fails & (g <= top)):
-                fails[i] = g[i] <= grubbs_critical(int(n[i]), alpha)
-            yield pdf.loc[fails, ["side", "v"]]
+            rows = []
+            for side, part in pdf.groupby("side"):
+                v, n = part["v"].to_numpy(), part["n"].to_numpy()
+                i = _last_failing(n, part["g"].to_numpy(float, na_value=0.0), alpha)
+                if i is not None:
+                    rows.append((int(side), float(v[i])))
+            yield pd.DataFrame(rows, columns=["side", "v"]).astype({"side": "int32", "v": "float64"})
 
     cut = samples.select("side", "v", "n", "g").mapInPandas(failing, "side int, v double")
     return {keys[r["side"]]: r["v"] for r in cut.groupBy("side").agg(F.max("v").alias("v")).collect()}
+
+
+def _last_failing(n: np.ndarray, g: np.ndarray, alpha: float) -> int | None:
+    """Index of the last score that does not exceed its critical value; sizes are ascending.
+
+    The critical value grows with n, so the one of a stretch's largest sample settles most of the
+    stretch at once.
+    """
+    end, stretch = len(n), 16
+    while end > 0:
+        start = max(0, end - stretch)
+        top = grubbs_critical(int(n[end - 1]), alpha)
+        for i in np.flatnonzero(~(g[start:end] > top))[::-1] + start:
+            if not g[i] > grubbs_critical(int(n[i]), alpha):
+                return int(i)
+        end, stretch = start, stretch * 4
+    return None

@@ -103,36 +103,35 @@ def random_fills(clean: DataFrame, rows: Sequence[Row], key: Sequence[str], seed
     """
     key = list(key)
 
-    def spread(threshold: bool) -> DataFrame:
-        slots = []
-        for r in rows:
-            present = text_of(r["feature"]).isNotNull()
-            order = draw_order(seed, F.lit(r["feature"]), key)
-            holes, observed = r["n_missing"], r["n_rows"] - r["n_missing"]
-            share = (holes + 10 * math.sqrt(holes) + 10) / observed
-            wanted = ~present
-            if threshold and share < 1:
-                wanted = wanted | (order < f"{int(share * 2**48):012x}")
-            else:
-                wanted = F.lit(True)
-            continuous = r["storage"] == "continuous"
-            slots.append(F.when(wanted, F.struct(
-                F.lit(r["feature"]).alias("feature"),
-                F.when(present, "observed").otherwise("hole").alias("part"),
-                order.alias("h"),
-                (number_of(r) if continuous else F.lit(None).cast("double")).alias("number"),
-                (F.lit(None).cast("string") if continuous else text_of(r["feature"])).alias("text"),
-            )))
-        return (
-            clean.select(*map(column, key), F.explode(F.array(*slots)).alias("s"))
-            .filter("s IS NOT NULL").select(*map(column, key), "s.*", F.lit(1).cast("bigint").alias("one"))
+    shares = {}
+    for r in rows:
+        holes, observed = r["n_missing"], r["n_rows"] - r["n_missing"]
+        shares[r["feature"]] = (holes + 10 * math.sqrt(holes) + 10) / observed
+    orders = {r["feature"]: draw_order(seed, F.lit(r["feature"]), key) for r in rows}
+    early = {f: orders[f] < f"{int(share * 2**48):012x}" for f, share in shares.items() if share < 1}
+    if early:
+        got = clean.agg(*[F.count_if(column(f).isNotNull() & c).alias(f"c{i}")
+                          for i, (f, c) in enumerate(early.items())]).first()
+        enough = {f: got[f"c{i}"] for i, f in enumerate(early)}
+        early = {r["feature"]: early[r["feature"]] for r in rows if enough.get(r["feature"], -1) >= r["n_missing"]}
+
+    slots = []
+    for r in rows:
+        f = r["feature"]
+        present, continuous = column(f).isNotNull(), r["storage"] == "continuous"
+        cell = F.struct(
+            F.lit(f).alias("feature"),
+            F.when(present, "observed").otherwise("hole").alias("part"),
+            orders[f].alias("h"),
+            (number_of(r) if continuous else F.lit(None).cast("double")).alias("number"),
+            (F.lit(None).cast("string") if continuous else text_of(f)).alias("text"),
         )
-
-    numbered = running_totals(spread(True), ["feature", "part"], ["h"], ["one"])
-    got = {r["feature"]: r["count"] for r in
-           numbered.filter("part = 'observed'").groupBy("feature").count().collect()}
-    if any(got.get(r["feature"], 0) < r["n_missing"] for r in rows):
-        numbered = running_totals(spread(False), ["feature", "part"], ["h"], ["one"])
+        slots.append(F.when(~present | early[f], cell) if f in early else cell)
+    spread = (
+        clean.select(*map(column, key), F.explode(F.array(*slots)).alias("s"))
+        .filter("s IS NOT NULL").select(*map(column, key), "s.*", F.lit(1).cast("bigint").alias("one"))
+    )
+    numbered = running_totals(spread, ["feature", "part"], ["h"], ["one"])
     holes = numbered.filter("part = 'hole'").select(*map(column, key), "feature", "one_before")
     observed = numbered.filter("part = 'observed'").select("feature", "one_before", "number", "text")
     return holes.join(observed, ["feature", "one_before"]).select(*map(column, key), "feature", "number", "text")

@@ -16,7 +16,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanframe.operators.materialise import materialise
+from gleanframe.operators.materialise import materialise, spread_out
 from gleanframe.operators.running import hot_lookup, running_totals
 
 BITS = 4
@@ -28,13 +28,16 @@ def kendall_tau(
 ) -> dict[tuple[str, str], float]:
     """tau-b over the rows where both columns are present; 0 where it is undefined."""
     pairs = list(pairs)
+    used = sorted({n for p in pairs for n in p})
+    alias = {n: f"c{i}" for i, n in enumerate(used)}
     slots = []
     for i, (a, b) in enumerate(pairs):
-        x, y = columns[a], columns[b]
+        x, y = F.col(alias[a]), F.col(alias[b])
         slots.append(F.when(x.isNotNull() & y.isNotNull(),
                             F.struct(F.lit(i).alias("p"), x.alias("x"), y.alias("y"))))
     cells = materialise(
-        df.select(F.explode(F.array(*slots)).alias("s")).filter("s IS NOT NULL")
+        spread_out(df.select(*[columns[n].alias(alias[n]) for n in used]))
+        .select(F.explode(F.array(*slots)).alias("s")).filter("s IS NOT NULL")
         .groupBy(F.col("s.p").alias("p"), F.col("s.x").alias("x"), F.col("s.y").alias("y"))
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -32,3 +32,9 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write the rows out once, keeping partition numbers and the order inside each partition."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """Repartition an input that has fewer splits than the cluster has cores; leave others alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

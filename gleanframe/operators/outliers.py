@@ -7,6 +7,7 @@ column, so flagging is a projection and filter without a shuffle. The isolation
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -57,22 +58,24 @@ class Rule:
 
     @property
     def silent(self) -> bool:
-        return not self.applicable or (not self.scale and self.low is None and self.high is None)
+        if not self.applicable:
+            return True
+        if self.scale is not None:
+            # Every score is then undefined or zero.
+            return self.scale == 0 or not (math.isfinite(self.center) and math.isfinite(self.scale))
+        return not any(v is not None and not math.isnan(v) for v in (self.low, self.high))
 
     def flags(self, x: Column) -> Column:
-        """Never NULL. Undefined scores (NaN) do not flag; Spark orders NaN above every number."""
+        """Never NULL; x is NULL or a number, never NaN."""
         if self.silent:
             return F.lit(False)
-        if self.scale:
-            score = F.abs((x - F.lit(self.center)) / F.lit(self.scale))
-            hit = ~F.isnan(score) & (score > F.lit(self.limit))
+        if self.scale is not None:
+            hit = F.abs((x - F.lit(self.center)) / F.lit(self.scale)) > F.lit(self.limit)
+        elif self.low is not None and self.high is not None:
+            hit = ~x.between(self.low, self.high)
         else:
-            hit = F.lit(False)
-            if self.low is not None:
-                hit = hit | (x < F.lit(self.low))
-            if self.high is not None:
-                hit = hit | (x > F.lit(self.high))
-        return F.coalesce(hit & x.isNotNull(), F.lit(False))
+            hit = x < F.lit(self.low) if self.low is not None else x > F.lit(self.high)
+        return F.coalesce(hit, F.lit(False))
 
 
 def method_name(method: str | int | None) -> str:

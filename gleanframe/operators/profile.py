@@ -15,7 +15,9 @@ from gleanframe.functions.text import display_name
 from gleanframe.operators.features import emit_cells, load, supported_columns, text_of
 from gleanframe.operators.quantiles import exact_quantiles
 
-COLUMNS_PER_PASS = 100
+# Columns per aggregate. Ten columns keep the aggregate's buffers within one generated function; the
+# aggregates of all batches run side by side in one job, each reading only its own columns.
+COLUMNS_PER_PASS = 10
 
 # Name parts that mark a numeric column as a date. Case-sensitive.
 DATE_NAME_PARTS = ("year", "Year", "Date", "date", "Dates", "yr")
@@ -89,9 +91,9 @@ def feature_state(
     )
 
 
-def _statistics(clean: DataFrame, names: list[str], continuous: set[str]) -> tuple[int, dict[str, dict]]:
-    """The one wide aggregate behind the profile, a batch of columns per scan."""
-    n_rows, stats = 0, {}
+def column_statistics(clean: DataFrame, names: Sequence[str], continuous: set[str]) -> DataFrame:
+    """The wide aggregate behind the profile as one row per feature."""
+    out = None
     for at in range(0, len(names), COLUMNS_PER_PASS):
         batch = names[at : at + COLUMNS_PER_PASS]
         cells, aggregates = [], [F.count(F.lit(1)).alias("n_rows")]
@@ -109,15 +111,15 @@ def _statistics(clean: DataFrame, names: list[str], continuous: set[str]) -> tup
                 F.count_if(is_integral(x)).alias(f"n_integral_{i}"),
                 F.min(x).alias(f"min_{i}"),
                 F.max(x).alias(f"max_{i}"),
-                F.avg(x).alias(f"mean_{i}"),
+                F.sum(x).alias(f"sum_{i}"),
                 F.stddev_pop(x).alias(f"stddev_{i}"),
             ]
-        row = clean.select(*cells).agg(*aggregates).first()
-        n_rows = row["n_rows"]
-        for i, n in enumerate(batch):
-            stats[n] = {k: row[f"{k}_{i}"] for k in (
-                "n_present", "n_number", "n_integral", "min", "max", "mean", "stddev")}
-    return n_rows, stats
+        facts = ("n_present", "n_number", "n_integral", "min", "max", "sum", "stddev")
+        rows = clean.select(*cells).agg(*aggregates).select("n_rows", F.explode(F.array(*[
+            F.struct(F.lit(n).alias("feature"), *[F.col(f"{k}_{i}").alias(k) for k in facts])
+            for i, n in enumerate(batch)])).alias("f")).select("n_rows", "f.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out.withColumn("mean", F.try_divide(F.col("sum"), F.col("n_number")))
 
 
 def distinct_values(clean: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -173,11 +175,12 @@ def profile(
     names = supported_columns(df, columns)
     clean = normalise_missing(df.select(*map(column, names)), tokens)
     continuous = {n for n in names if is_continuous(df.schema[n].dataType)}
-    n_rows, stats = _statistics(clean, names, continuous)
+    stats = {r["feature"]: r for r in column_statistics(clean, names, continuous).collect()} if names else {}
 
     rows: list[dict] = []
     for i, n in enumerate(names):
         s = stats[n]
+        n_rows = s["n_rows"]
         n_missing = n_rows - s["n_present"]
         row = dict.fromkeys(PROFILE_SCHEMA.names)
         row.update(

@@ -42,7 +42,7 @@ def _status_columns(
         else:
             flagged = F.coalesce(F.array_contains(F.col(_FLAGGED), n), F.lit(False))
         status = F.when(flagged, "outlier").when(
-            text_of(n).isNull(), "imputed" if n in filled else "missing")
+            column(n).isNull(), "imputed" if n in filled else "missing")
         if r["var_type"] == "unknown" and not known[n]:
             status = status.when(token_kind(text_of(n)) == "string", "incompatible")
         out[n] = status.otherwise("ok")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from conftest import GOLDEN_NAMES
 from gleanframe.functions.student import grubbs_critical
 from gleanframe.operators import grubbs
-from gleanframe.operators.forest import average_path, forest_depths, forest_scores, grow_tree
+from gleanframe.operators.forest import _step_function, average_path, forest_depths, grow_forest
 from gleanframe.operators.outliers import (
     fit_rules, flag_outliers, method_name, outlier_verdicts, with_verdicts,
 )
@@ -157,16 +157,12 @@ def test_hot_lookup(spark):
 def test_tree_isolates_the_outlier():
     rng = np.random.default_rng(0)
     x = np.append(rng.normal(0, 1, 255), 50.0)[:, None]
-    trees = [grow_tree(x, np.random.default_rng(i)) for i in range(20)]
-    width = max(n[0] for t in trees for n in t) + 1
-    nodes = np.zeros((20, width, 5))
-    nodes[:, :, 0] = -1
-    for i, t in enumerate(trees):
-        for n in t:
-            nodes[i, n[0]] = n[1:]
+    nodes = grow_forest(x, range(20), [0])
     depth = forest_depths(nodes, x)
     assert depth.argmin() == 255
     assert abs(average_path(256) - 10.244770920) < 1e-6
+    cuts, depths = _step_function(nodes)
+    assert np.allclose(depths[np.searchsorted(cuts, x[:, 0], side="left")], depth)
 
 
 @pytest.fixture(scope="module")
