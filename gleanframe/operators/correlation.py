@@ -192,7 +192,8 @@ def _spearman(df, usable, n_rows, pairs, key):
         wide = wide.join(F.broadcast(lookup), f"m{g}", "left")
     wide = wide.select(*(ids if large else []), *[f"r{g}" for g in small])
     if large:
-        found = hot_lookup(spread(large, *ids), ranks.filter(F.col("g").isin(large)), ["g", "value"], "n", ["g"])
+        found = hot_lookup(spread(large, *ids), ranks.filter(F.col("g").isin(large)), ["g", "value"], "n", ["g"],
+                           n_groups=len(large))
         from_small = [F.max(f"r{g}").alias(f"r{g}") for g in small]
         per_row = found.select(*ids, *[F.when(F.col("g") == g, F.col("rank")).alias(f"r{g}") for g in large])
         both = per_row.unionByName(wide, allowMissingColumns=True) if small else per_row

@@ -14,7 +14,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,28 +121,30 @@ def training_sample(df: DataFrame, key: Sequence[str], n_rows: int, seed: int, s
     return hashed.orderBy("_hash").limit(size)
 
 
-def numeric_codes(df: DataFrame, rows: Sequence, numeric_only: bool) -> tuple[DataFrame, list[str]]:
-    """Columns ``x0, x1, ..`` for the given features, text as its position among the sorted values."""
-    numeric = [r for r in rows if r["var_type"] in NUMERIC]
-    text = [] if numeric_only else [r for r in rows if r["var_type"] not in NUMERIC]
-    used = [r for r in rows if r in numeric or r in text]
-    name = {r["feature"]: f"x{i}" for i, r in enumerate(used)}
-    out = df.select("*", *[number_of(r).alias(name[r["feature"]]) for r in numeric])
-    if text:
-        values = distinct_values(df, [r["feature"] for r in text]).withColumn("one", F.lit(1).cast("bigint"))
-        codes = materialise(running_totals(values, ["feature"], ["value"], ["one"]).select(
-            "feature", "value", "n", F.col("one_before").cast("double").alias("code")))
-        for r in text:
-            x = name[r["feature"]]
-            own = codes.filter(F.col("feature") == r["feature"]).select(
-                "feature", F.col("value").alias(f"_v{x}"), F.col("code").alias(x), "n")
-            probe = out.withColumn(f"_v{x}", text_of(r["feature"]))
-            if r["domain_size"] <= BROADCAST_VALUES:
-                out = probe.join(F.broadcast(own.drop("feature", "n")), f"_v{x}").drop(f"_v{x}")
-            else:
-                probe = probe.withColumn("feature", F.lit(r["feature"]))
-                out = hot_lookup(probe, own, ["feature", f"_v{x}"], "n", ["feature"]).drop("feature", f"_v{x}")
-    return out, [r["feature"] for r in used]
+def text_codes(df: DataFrame, features: Sequence[str]) -> DataFrame | None:
+    """``(feature, value, n, code)``: the position of each text value among the sorted values."""
+    if not features:
+        return None
+    values = distinct_values(df, features).withColumn("one", F.lit(1).cast("bigint"))
+    return materialise(running_totals(values, ["feature"], ["value"], ["one"]).select(
+        "feature", "value", "n", F.col("one_before").cast("double").alias("code")))
+
+
+def numeric_columns(df: DataFrame, rows: Sequence[Row], codes: DataFrame | None) -> DataFrame:
+    """Columns ``x0, x1, ..`` for the given features: numbers as they are, text by its code."""
+    name = {r["feature"]: f"x{i}" for i, r in enumerate(rows)}
+    out = df.select("*", *[number_of(r).alias(name[r["feature"]]) for r in rows if r["var_type"] in NUMERIC])
+    for r in rows:
+        if r["var_type"] in NUMERIC:
+            continue
+        x, v = name[r["feature"]], f"_v{name[r['feature']]}"
+        own = codes.filter(F.col("feature") == r["feature"]).select(F.col("value").alias(v), F.col("code").alias(x), "n")
+        probe = out.withColumn(v, text_of(r["feature"]))
+        if r["domain_size"] <= BROADCAST_VALUES:
+            out = probe.join(F.broadcast(own.drop("n")), v).drop(v)
+        else:
+            out = hot_lookup(probe, own, [v], "n").drop(v)
+    return out
 
 
 def _in_parallel(spark, count: int, work, schema: str) -> pa.Table:
@@ -197,14 +199,17 @@ def forest_scores(
     """
     good = [r for r in load(profile_df) if r["state"] == "good" and r["n_rows"] > 0]
     clean = normalise_missing(df, tokens)
-    coded, features = numeric_codes(clean, good, numeric_only)
-    xs = [f"x{i}" for i in range(len(features))]
-    if not xs:
+    if numeric_only:
+        good = [r for r in good if r["var_type"] in NUMERIC]
+    if not good:
         return df.select(*map(column, key)).filter(F.lit(False)), [], []
-    table = coded.select(*map(column, key), *xs)
+    features = [r["feature"] for r in good]
+    xs = [f"x{i}" for i in range(len(features))]
+    codes = text_codes(clean, [r["feature"] for r in good if r["var_type"] not in NUMERIC])
+    table = numeric_columns(clean, good, codes).select(*map(column, key), *xs)
     n_rows = good[0]["n_rows"]
     size = TREES * SAMPLE_PER_TREE
-    sample = training_sample(table, key, n_rows, seed, size).select(*xs).toArrow()
+    sample = numeric_columns(training_sample(clean, key, n_rows, seed, size), good, codes).orderBy("_hash").select(*xs).toArrow()
     x = np.column_stack([sample.column(c).to_numpy().astype(float) for c in xs])
     spark = df.sparkSession
     joint = grow_joint(spark, x, seed) if method == "forest_joint" else None

@@ -55,7 +55,7 @@ def kendall_tau(
     positions = running_totals(
         by_x.select("p", "x", "cells", F.lit(1).cast("bigint").alias("one")), ["p"], ["x"], ["one"]
     ).select("p", "x", "cells", F.col("one_before").alias("at"))
-    placed = hot_lookup(cells, positions, ["p", "x"], "cells", ["p"])
+    placed = hot_lookup(cells, positions, ["p", "x"], "cells", ["p"], n_groups=len(pairs))
     top = positions.agg(F.max("at")).first()[0] or 0
     levels = max(1, math.ceil((top + 1).bit_length() / BITS))
 

@@ -17,8 +17,9 @@ from pyspark.sql import types as T
 
 from gleanframe.operators.materialise import materialise
 
-# A key that holds at least this share of its group's rows is hot; a group has at most 1/share of them.
-HOT_SHARE = 0.005
+# Keys looked up by broadcast, over all groups together. With n rows in g groups, no other key has more
+# than n * g / HOT_KEYS rows.
+HOT_KEYS = 200_000
 
 
 def _runs(pdf: pd.DataFrame, group: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,20 +116,24 @@ def running_totals(
 
 
 def hot_lookup(
-    rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str, group: Sequence[str]
+    rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str, group: Sequence[str] = (),
+    n_groups: int = 1, hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
     """Inner join of many ``rows`` against a ``table`` with one row per key, safe when keys are hot.
 
-    ``weight`` is the table's column with the number of matching rows. Keys with at least
-    ``HOT_SHARE`` of their group's weight are looked up by broadcast (at most 1/HOT_SHARE per
-    group); the rest is an ordinary shuffle join in which no key is large.
+    ``weight`` is the table's column with the number of matching rows. The heaviest keys of each
+    group, at most ``hot_keys`` in all, are looked up by broadcast; the rest is an ordinary shuffle
+    join in which no key is large.
     """
     keys, group = list(keys), list(group)
+    if not group:
+        group = ["_all"]
+        table = table.withColumn("_all", F.lit(0))
     totals = table.groupBy(*group).agg(F.sum(weight).alias("_total"))
-    marked = table.join(F.broadcast(totals), group).withColumn(
-        "_hot", F.col(weight) >= F.col("_total") * F.lit(HOT_SHARE)
-    )
-    payload = [c for c in table.columns if c not in keys and c != weight]
+    share = n_groups / hot_keys
+    joined = table.join(F.broadcast(totals), group)
+    marked = joined.withColumn("_hot", (F.col(weight) > 1) & (F.col(weight) >= F.col("_total") * F.lit(share)))
+    payload = [c for c in table.columns if c not in keys and c not in (weight, "_all")]
     hot = marked.filter("_hot").select(*keys, *payload, F.lit(True).alias("_is_hot"))
     cold = marked.filter("NOT _hot").select(*keys, *payload)
     probed = rows.join(F.broadcast(hot), keys, "left")
