@@ -102,6 +102,11 @@ def dataset_summary(spark, folder):
     return gf.summarise(gf.with_verdicts(p, gf.outlier_verdicts(df, p, "zscore")))
 
 
+def evaluation_report(spark, folder):
+    df, p = messy(spark, folder), messy_profile(spark, folder)
+    return gf.evaluation_report(gf.with_verdicts(p, gf.outlier_verdicts(df, p, "iqr")))
+
+
 def describe_feature(spark, folder):
     parts = [gf.describe_feature(table(spark, folder, t), c).withColumn("feature", F.lit(f"{t}.{c}"))
              for t, c in (("events", "value"), ("documents", "n_chars"))]
@@ -242,7 +247,7 @@ def entry(spark: SparkSession) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
         missing_normalised, token_kinds, feature_state, feature_types, feature_range, feature_center, feature_domain,
-        incompatible_cells, incompatibility_report, features_by_state, dataset_summary, describe_feature,
+        incompatible_cells, incompatibility_report, features_by_state, dataset_summary, evaluation_report, describe_feature,
         outliers_verdicts, outliers_grubbs_step, outliers_grubbs, cell_status, curated_table, clean_table,
         similar_names, similar_strings, features_json_read, dedup_headers, number_render, curate_events,
         curate_events_table,

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanframe.functions.missing import DEFAULT_TOKENS, normalise_missing
+from gleanframe.functions.missing import DEFAULT_TOKENS, column, normalise_missing
 from gleanframe.operators import forest
 from gleanframe.operators.features import NUMERIC, emit_cells, load, number_of
 from gleanframe.operators.grubbs import grubbs_cuts
@@ -77,6 +77,14 @@ class Rule:
             hit = x < F.lit(self.low) if self.low is not None else x > F.lit(self.high)
         return F.coalesce(hit, F.lit(False))
 
+    def coarse_bounds(self) -> tuple[float | None, float | None]:
+        """Every flagged x lies below the first or above the second number."""
+        if self.scale is None:
+            return self.low, self.high
+        reach = self.limit * self.scale
+        slack = 1e-9 * (abs(self.center) + reach)
+        return self.center - reach + slack, self.center + reach - slack
+
 
 def method_name(method: str | int | None) -> str:
     if method is None:
@@ -148,13 +156,21 @@ def rule_cells(
     tokens: Sequence[str] = DEFAULT_TOKENS,
 ) -> DataFrame:
     """The cells that the fitted rules flag. One narrow pass."""
+    rows = [r for r in load(profile_df) if not rules[r["feature"]].silent]
+    if rows and all(r["storage"] == "continuous" for r in rows):
+        # Plain comparisons on stored columns reach the file scan and skip blocks without outliers.
+        some = None
+        for r in rows:
+            low, high = rules[r["feature"]].coarse_bounds()
+            for beyond in ([column(r["feature"]) < F.lit(low)] if low is not None else []) + (
+                    [column(r["feature"]) > F.lit(high)] if high is not None else []):
+                some = beyond if some is None else some | beyond
+        df = df.filter(some)
     clean = normalise_missing(df, tokens)
     cells = []
-    for r in load(profile_df):
-        rule = rules[r["feature"]]
-        if not rule.silent:
-            x = number_of(r)
-            cells.append((r["feature"], rule.flags(x), x, F.lit("outlier")))
+    for r in rows:
+        x = number_of(r)
+        cells.append((r["feature"], rules[r["feature"]].flags(x), x, F.lit("outlier")))
     return emit_cells(clean, key, cells)
 
 

@@ -12,6 +12,7 @@ from gleanframe.operators import correlation, impute, outliers
 from gleanframe.operators.features import skipped_columns
 from gleanframe.operators.names import similar_names
 from gleanframe.operators.profile import profile, summarise
+from gleanframe.operators.report import evaluation_report
 from gleanframe.operators.status import cell_status, clean, curated
 
 
@@ -28,6 +29,10 @@ class CurationResult:
     lex_pairs: DataFrame
     skipped: dict[str, str] = field(default_factory=dict)
 
+    @property
+    def evaluation(self) -> DataFrame:
+        return evaluation_report(self.profile)
+
 
 def curate(
     df: DataFrame,

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from gleanframe.functions.missing import column, is_nested
 from gleanframe.functions.numbers import render_number
 
-TABLES = ("profile", "summary", "cells", "curated", "clean", "corr_pairs", "lex_pairs")
+TABLES = ("evaluation", "profile", "summary", "cells", "curated", "clean", "corr_pairs", "lex_pairs")
 
 
 def flat(df: DataFrame, missing: str = "?") -> DataFrame:

@@ -264,6 +264,21 @@ REPORT_FACTS = """ SELECT feature, storage, var_type, measure_type, n_missing, s
 FROM (SELECT *, CASE WHEN stored THEN 'continuous' ELSE 'discrete' END AS storage FROM facts) JOIN verdicts USING (feature)"""
 
 
+def printed(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN '?' WHEN {x} % 1 = 0 THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE CAST({x} AS VARCHAR) END"
+
+
+EVALUATION = f""", centers AS (SELECT * FROM ({{facts}} {CENTER})),
+domains AS (SELECT feature, count(*) AS size, string_agg(t, ', ' ORDER BY t) AS listed
+ FROM (SELECT DISTINCT feature, t FROM cells WHERE NOT stored AND t IS NOT NULL) GROUP BY feature)
+SELECT feature, CASE WHEN var_type IN ('string', 'unknown') THEN CASE WHEN size >= 100 THEN 'Too large to display!!' ELSE concat('[', listed, ']') END
+ ELSE concat('[', {printed('lo')}, ', ', {printed('hi')}, ']') END AS value_range,
+ measure_type AS type, var_type AS variable_type, n_missing AS missing_values,
+ CASE WHEN var_type IN ('string', 'unknown') THEN '-' ELSE {printed('center')} END AS center, state, outlier_verdict AS outliers,
+ CASE WHEN var_type = 'unknown' THEN 'yes, unknown type of data' WHEN state = 'bad' THEN 'yes, bad feature' ELSE 'no' END AS incompatibilities
+FROM facts JOIN verdicts USING (feature) JOIN centers USING (feature) LEFT JOIN domains USING (feature)"""
+
+
 def oracle_sql() -> dict[str, str]:
     messy_facts = facts(MESSY, "em", MESSY_COLUMNS)
     label_columns = [("quality", True), ("toxic", True)]
@@ -292,6 +307,7 @@ FROM cells WHERE t IS NOT NULL GROUP BY 1, 2""",
  CASE WHEN var_type = 'unknown' THEN n_rows - n_missing - n_number ELSE 0 END AS n_incompatible FROM facts""",
         "features_by_state": messy_facts + " SELECT state, string_agg(feature, ',' ORDER BY ordinal) AS features FROM facts GROUP BY state",
         "dataset_summary": verdicts("zscore", MESSY, "em", MESSY_COLUMNS) + SUMMARY,
+        "evaluation_report": verdicts("iqr", MESSY, "em", MESSY_COLUMNS) + EVALUATION.format(facts=messy_facts),
         "describe_feature": DESCRIBE,
         **{f"outliers_{m}": two_column_outliers(m) for m in ("zscore", "modified_z", "iqr", "mad")},
         "outliers_binary_guard": verdicts("iqr", "", "labels", label_columns) + " SELECT feature, outlier_verdict, n_outliers FROM verdicts",

@@ -154,6 +154,10 @@ def test_curate_and_reports(spark, golden, tmp_path, fmt):
     assert [r["f1"] for r in result.corr_pairs.collect()] == ["num_feat2"]
     assert [r["f1"] for r in result.lex_pairs.collect()] == ["num_feat2"]
     write_reports(result, str(tmp_path), fmt, name="golden")
+    report = {r["feature"]: r for r in result.evaluation.collect()}
+    assert report["num_feat1"]["value_range"] == "[0.1, 100]" and report["num_feat1"]["center"] == "15.27"
+    assert report["text_cat_feat"]["value_range"] == "[mild, none, severe]" and report["text_cat_feat"]["center"] == "-"
+    assert report["bad_feat"]["value_range"] == "[?, ?]" and report["num_feat1"]["outliers"] == "yes"
     document = json.loads(spark.read.text(f"{tmp_path}/golden_results").first()[0])
     assert document["summary"][0]["n_features"] == 12 and len(document["profile"]) == 12
     back = spark.read.format(fmt).option("header", True).load(f"{tmp_path}/golden_curated")
