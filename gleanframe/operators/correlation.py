@@ -82,10 +82,12 @@ def pair_values(
 ) -> dict[tuple[str, str], float]:
     """The value of every usable pair (earlier column, later column), before the report filter."""
     method = method_name(method)
+    if method == "none":
+        return {}
     names = supported_columns(df, columns)
     clean = normalise_missing(df, tokens)
     usable, n_rows = _usable(clean, names)
-    if method == "none" or len(usable) < 2:
+    if len(usable) < 2:
         return {}
     pairs = [(a.name, b.name) for a, b in combinations(usable, 2)]
     if method in ("pearson", "covariance"):

@@ -132,9 +132,14 @@ def random_fills(clean: DataFrame, rows: Sequence[Row], key: Sequence[str], seed
         .filter("s IS NOT NULL").select(*map(column, key), "s.*", F.lit(1).cast("bigint").alias("one"))
     )
     numbered = running_totals(spread, ["feature", "part"], ["h"], ["one"])
-    holes = numbered.filter("part = 'hole'").select(*map(column, key), "feature", "one_before")
-    observed = numbered.filter("part = 'observed'").select("feature", "one_before", "number", "text")
-    return holes.join(observed, ["feature", "one_before"]).select(*map(column, key), "feature", "number", "text")
+    # A hole and the observed value of the same number form a group of two.
+    hole, seen = F.col("part") == "hole", F.col("part") == "observed"
+    met = numbered.groupBy("feature", "one_before").agg(
+        F.max(hole).alias("wanted"),
+        *[F.first(F.when(hole, column(k)), ignorenulls=True).alias(k) for k in key],
+        *[F.first(F.when(seen, F.col(v)), ignorenulls=True).alias(v) for v in ("number", "text")],
+    )
+    return met.filter("wanted").select(*map(column, key), "feature", "number", "text")
 
 
 def _draw(clean: DataFrame, rows: list[Row], key: list[str], seed: int) -> DataFrame:
