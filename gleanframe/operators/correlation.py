@@ -78,9 +78,12 @@ def _usable(df: DataFrame, names: Sequence[str]) -> tuple[list[_Column], int]:
 
 def pair_values(
     df: DataFrame, method: str | int = "spearman", columns: Sequence[str] | None = None,
-    key: Sequence[str] | None = None, tokens: Sequence[str] = DEFAULT_TOKENS,
+    key: Sequence[str] | None = None, tokens: Sequence[str] = DEFAULT_TOKENS, at_least: float | None = None,
 ) -> dict[tuple[str, str], float]:
-    """The value of every usable pair (earlier column, later column), before the report filter."""
+    """The value of every usable pair (earlier column, later column), before the report filter.
+
+    With ``at_least``, Spearman pairs that provably stay below it may be left out.
+    """
     method = method_name(method)
     if method == "none":
         return {}
@@ -96,7 +99,10 @@ def pair_values(
         return {p: (m.correlation() if method == "pearson" else m.covariance()) for p, m in moments.items()}
     if method == "kendall":
         return kendall_tau(clean, {c.name: c.x for c in usable}, pairs)
-    return _spearman(clean, usable, n_rows, pairs, key)
+    if at_least is not None:
+        pairs = _may_reach(clean, usable, n_rows, pairs, at_least)
+        usable = [c for c in usable if any(c.name in p for p in pairs)]
+    return _spearman(clean, usable, n_rows, pairs, key) if pairs else {}
 
 
 def correlated_pairs(
@@ -109,7 +115,7 @@ def correlated_pairs(
     from 0.9 up or -1 down.
     """
     method = method_name(method)
-    values = pair_values(df, method, columns, key, tokens)
+    values = pair_values(df, method, columns, key, tokens, None if abs_value else REPORTED_FROM)
     order = {n: i for i, n in enumerate(supported_columns(df, columns))}
     rows = []
     for (earlier, later), v in values.items():
@@ -140,6 +146,41 @@ def _null_classes(df: DataFrame, nullable: list[_Column]) -> dict[str, str]:
     return leader
 
 
+def quadrant_bound(n: float, a1: float, b1: float, both: float) -> float:
+    """An upper bound of Spearman's rho from one split of each column.
+
+    Of n rows, ``a1`` lie above the first column's split, ``b1`` above the second's, ``both`` above
+    both. Rows above one split only are far apart in rank on average: the k lowest ranks above a
+    split add up to at least the k plain ranks that follow it (ties only even them out), likewise
+    below. That bounds the sum of squared rank differences D from below, and
+    rho = (SSa + SSb - D) / (2 sqrt(SSa SSb)). With ties the sums of squares SS are only known to lie
+    between the split's own and the tie-free value; rho is largest at a corner of that box.
+    """
+    a0, b0 = n - a1, n - b1
+    if min(a0, a1, b0, b1) <= 0:
+        return 1.0
+    d = 0.0
+    for k, lead in ((a1 - both, a0 - b0), (b1 - both, b0 - a0)):
+        if k > 0:
+            d += max(0.0, lead + k) ** 2 * k
+    free = (n**3 - n) / 12.0
+    return max(
+        (x + y - d) / (2.0 * (x * y) ** 0.5)
+        for x in (free, n * a0 * a1 / 4.0) for y in (free, n * b0 * b1 / 4.0)
+    )
+
+
+def _may_reach(df, usable, n_rows, pairs, at_least):
+    """Pairs whose quadrant counts around the means leave room for ``at_least``. One narrow scan."""
+    spec = {
+        c.name: (F.when(c.x.isNotNull(), (c.x > F.lit(c.mean)).cast("double")), 0.0, c.n_present < n_rows)
+        for c in usable
+    }
+    counts = pair_moments(df, spec, pairs)
+    return [p for p in pairs
+            if quadrant_bound(counts[p].n, counts[p].a, counts[p].b, counts[p].ab) >= at_least - 1e-9]
+
+
 def _spearman(df, usable, n_rows, pairs, key):
     """Average ranks over the rows where both columns of a pair are present, then their correlation.
 

@@ -88,6 +88,32 @@ def test_values_equal_brute_force(mixed, method, limit, monkeypatch):
     assert not any("flat" in p for p in got)
 
 
+def test_quadrant_bound_is_never_too_low():
+    rng = np.random.default_rng(6)
+    pruned = 0
+    for trial in range(3000):
+        n = int(rng.integers(2, 60))
+        a = rng.integers(0, rng.integers(2, 40), n).astype(float)
+        b = a + rng.normal(0, rng.choice([0.1, 2, 30]), n) if trial % 2 else rng.integers(0, rng.integers(2, 40), n)
+        b = np.round(b)
+        if a.min() == a.max() or b.min() == b.max():
+            continue
+        sa, sb = rng.choice(a), rng.choice(b)
+        bound = correlation.quadrant_bound(n, (a > sa).sum(), (b > sb).sum(), ((a > sa) & (b > sb)).sum())
+        assert brute("spearman", a, b) <= bound + 1e-9
+        pruned += bound < 0.9
+    assert pruned > 300
+
+
+def test_pruned_report_equals_full_report(mixed):
+    df, data = mixed
+    for columns in (list(data), ["a", "b", "gap1", "hot"]):
+        full = {(q, p): v for (p, q), v in pair_values(df, "spearman", columns).items() if v >= 0.9}
+        got = {(r["f1"], r["f2"]): r["value"] for r in correlated_pairs(df, "spearman", columns).collect()}
+        assert got.keys() == full.keys() and full
+        assert all(abs(got[p] - full[p]) < 1e-12 for p in full)
+
+
 def test_products_equal_aggregates(mixed):
     df, data = mixed
     cols = [c for c in data if c != "flat"]
