@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from gleanframe.functions.missing import DEFAULT_TOKENS, column, normalise_missing
 from gleanframe.operators.features import NUMERIC, emit_cells, load, number_of, text_of
-from gleanframe.operators.materialise import materialise
+from gleanframe.operators.materialise import materialise, spread_out
 from gleanframe.operators.profile import distinct_values
 from gleanframe.operators.quantiles import exact_quantiles
 from gleanframe.operators.running import hot_lookup, running_totals
@@ -231,7 +231,7 @@ def forest_scores(
             yield pdf
 
     schema = T.StructType(list(table.schema.fields) + [T.StructField(s, T.DoubleType()) for s in scores])
-    return materialise(table.mapInPandas(score, schema)), features, scores
+    return materialise(spread_out(table).mapInPandas(score, schema)), features, scores
 
 
 def forest_cells(
