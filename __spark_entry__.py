@@ -18,6 +18,14 @@ from gleanframe.operators.features import text_of  # noqa: E402
 from gleanframe.operators.grubbs import first_step  # noqa: E402
 from gleanframe.sources.readers import rows_from_features  # noqa: E402
 
+try:  # the training-data operators are optional
+    import corpus_pipeline
+    from gleanframe.llm import registered as llm
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "gleanframe.llm"):
+        raise
+    llm = None
+
 KEY = ["event_id"]
 FEATURES = [c for c, _ in oracles.MESSY_COLUMNS]
 
@@ -265,8 +273,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "corr_spearman": _pairs("spearman"),
         "corr_kendall": _pairs("kendall", oracles.KENDALL_COLUMNS),
         "covariance_pairs": _pairs("covariance", digits=2),
+        **(llm.queries() | {"pipeline": corpus_pipeline.run} if llm else {}),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    extra = {}
+    if llm:
+        extra = llm.oracle_sql() | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return oracles.oracle_sql() | extra
