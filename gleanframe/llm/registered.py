@@ -6,12 +6,18 @@ from gleanframe.llm.bpe import encode_documents
 from gleanframe.llm.common import table
 from gleanframe.llm.decontaminate import contamination
 from gleanframe.llm.exact_dedup import exact_duplicates
+from gleanframe.llm.language import identify
+from gleanframe.llm.near_dedup import near_duplicates
 
 
 def op3_exact_dedup(spark, folder):
     return exact_duplicates(table(spark, folder, "documents"))
 
 
+def op6_language(spark, folder):
+    return identify(table(spark, folder, "documents"))
+
+
 def op7_byte_bpe(spark, folder):
     import public_tokenizers
 
@@ -23,8 +29,12 @@ def op8_decontaminate(spark, folder):
     return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op10_near_dedup(spark, folder):
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op3_exact_dedup, op7_byte_bpe, op8_decontaminate)}
+    return {f.__name__: f for f in (op3_exact_dedup, op6_language, op7_byte_bpe, op8_decontaminate, op10_near_dedup)}
 
 
 OP3_SQL = """

@@ -81,12 +81,12 @@ def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def groups(texts: list[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """(index of the first, texts) in groups of about GROUP bytes; null counts as empty."""
+    """(index of the first, texts) in groups of about GROUP bytes and at most 2^15 texts; null counts as empty."""
     group: list[bytes] = []
     size = first = 0
     for i, text in enumerate(texts):
         text = text or b""
-        if group and size + len(text) > GROUP:
+        if group and (size + len(text) > GROUP or len(group) == 1 << 15):
             yield first, group
             group, size, first = [], 0, i
         group.append(text)
