@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gleanframe.llm.common import held_out
 from gleanframe.llm.words import GROUP, LOWER, as_bytes
@@ -106,8 +107,8 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Model |
     return fit([np.frombuffer(r.places, dtype=np.int32) for r in sample], [r.lang for r in sample])
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per document row: its id, held_out, lang_pred, score.
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: str | None = None) -> DataFrame:
+    """One row per document row: its id (or the column named by carry in its place), held_out, lang_pred, score.
 
     lang_pred is a language of the labelled rows outside the held-out fold, or und if the text is null or has no letter (or
     nothing could be learned), then with score 0. The score is the softmax of the one-versus-rest regressions, 0 to 1. Ties go to
@@ -118,6 +119,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Scoring is a narrow pass: presence rows of BLOCK texts times that matrix.
     """
     spark = docs.sparkSession
+    carry = carry or id_col
     model = learn(docs, id_col, text_col, lang_col)
     shared = spark.sparkContext.broadcast(model and (model.languages, model.weights))
 
@@ -144,8 +146,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                     for i in np.flatnonzero(lettered).tolist():
                         names[i], scores[i] = known[0][best[i]], float(share[i])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(names), pa.array(scores, pa.float64())], [id_col, "held_out", "lang_pred", "score"])
+                    [part.column(0), part.column(1), pa.array(names), pa.array(scores, pa.float64())], [carry, "held_out", "lang_pred", "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").cast("binary")).mapInArrow(
-        run, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")
+    schema = StructType([docs.schema[carry], *StructType.fromDDL("held_out boolean, lang_pred string, score double").fields])
+    return docs.select(F.col(carry), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").cast("binary")).mapInArrow(
+        run, schema)

@@ -8,12 +8,31 @@ from gleanframe.llm.decontaminate import contamination
 from gleanframe.llm.exact_dedup import exact_duplicates
 from gleanframe.llm.language import identify
 from gleanframe.llm.near_dedup import near_duplicates
+from gleanframe.llm.toxicity import toxicity
+from gleanframe.llm.url_rules import judge
+from gleanframe.llm.warc import round_trip
+
+#: verdict, host, path
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"),
+         ("block", "net", "/fr/")]
+
+
+def op1_toxicity(spark, folder):
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op2_warc(spark, folder):
+    return round_trip(table(spark, folder, "pages"))
 
 
 def op3_exact_dedup(spark, folder):
     return exact_duplicates(table(spark, folder, "documents"))
 
 
+def op4_url_filters(spark, folder):
+    return judge(table(spark, folder, "pages"), RULES)
+
+
 def op6_language(spark, folder):
     return identify(table(spark, folder, "documents"))
 
@@ -34,8 +53,60 @@ def op10_near_dedup(spark, folder):
 
 
 def queries():
-    return {f.__name__: f for f in (op3_exact_dedup, op6_language, op7_byte_bpe, op8_decontaminate, op10_near_dedup)}
+    return {f.__name__: f for f in (
+        op1_toxicity, op2_warc, op3_exact_dedup, op4_url_filters, op6_language, op7_byte_bpe, op8_decontaminate, op10_near_dedup)}
+
+
+OP2_SQL = """
+WITH own AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+best AS (SELECT digest, max(page_id) AS first FROM own WHERE n >= 1000 GROUP BY digest)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < first THEN first END AS refers_to
+FROM own LEFT JOIN best USING (digest)
+"""
 
+OP4_SQL = r"""
+WITH RECURSIVE rules(verdict, host, path) AS (VALUES
+  ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), raw AS (
+  SELECT page_id, url, html, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
+), own AS (
+  SELECT page_id, url, html, rest,
+         translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail FROM raw
+), found AS (
+  SELECT *, replace(coalesce(
+    nullif(regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1), ''),
+    nullif(regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1), '')), '&amp;', '&') AS link
+  FROM own
+), resolved AS (
+  SELECT host || tail AS a,
+         CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
+              WHEN link LIKE '//%' THEN regexp_extract(url, '^(.*?)://', 1) || ':' || link
+              WHEN link LIKE '/%' THEN 'x://' || regexp_extract(rest, '^([^/?#]*)', 1) || link
+              WHEN link LIKE '#%' THEN url
+              WHEN link LIKE '?%' THEN 'x://' || regexp_extract(rest, '^([^/?#]*)', 1) || path || link
+              ELSE 'x://' || regexp_extract(rest, '^([^/?#]*)', 1) || regexp_replace(CASE WHEN path = '' THEN '/' ELSE path END, '[^/]*$', '') || link END AS target
+  FROM found WHERE link IS NOT NULL AND host <> ''
+), edges AS (
+  SELECT a, translate(regexp_extract(substr(target, position('://' IN target) + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+            || regexp_extract(substr(target, position('://' IN target) + 3), '^[^/?#]*([^#]*)', 1) AS b FROM resolved
+), both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges
+), reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a
+), ruled AS (
+  SELECT node, arg_max(verdict, length(r.host || r.path)) AS verdict
+  FROM (SELECT DISTINCT a AS node, regexp_extract(a, '^([^/?#]*)', 1) AS host, regexp_extract(a, '^[^/?#]*([^?#]*)', 1) AS path FROM both_ways) n
+  JOIN rules r ON (n.host = r.host OR suffix(n.host, '.' || r.host)) AND starts_with(n.path, r.path) GROUP BY node
+), spread AS (SELECT DISTINCT a AS node FROM reach JOIN ruled ON reach.b = ruled.node WHERE verdict = 'block'
+), best AS (
+  SELECT page_id, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(verdict, length(r.host || r.path)) AS verdict
+  FROM own JOIN rules r ON (own.host = r.host OR suffix(own.host, '.' || r.host)) AND starts_with(own.path, r.path) GROUP BY page_id
+)
+SELECT own.page_id, own.host, own.path, best.rule,
+       coalesce(best.verdict, CASE WHEN spread.node IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM own LEFT JOIN best USING (page_id) LEFT JOIN spread ON spread.node = own.host || own.tail AND own.host <> ''
+"""
 
 OP3_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -70,4 +141,4 @@ FROM lowered LEFT JOIN words_hit USING (doc_id) LEFT JOIN items_hit USING (doc_i
 
 
 def oracle_sql():
-    return {"op3_exact_dedup": OP3_SQL, "op8_decontaminate": OP8_SQL}
+    return {"op2_warc": OP2_SQL, "op4_url_filters": OP4_SQL, "op3_exact_dedup": OP3_SQL, "op8_decontaminate": OP8_SQL}
