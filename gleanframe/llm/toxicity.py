@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanframe.llm.common import held_out, stage
-from gleanframe.llm.words import Words, as_bytes, word_groups, words_of
+from gleanframe.llm.words import LOWER, Words, as_bytes, beginnings, word_groups, words_of
 
 # Fixed word lists of the grammar; insults are extended from labelled rows.
 INSULTS = """idiot idiots moron morons stupid dumb fool fools loser losers scum trash garbage pathetic worthless disgusting clown
@@ -32,9 +33,10 @@ REACH = 3
 BREAKS = np.zeros(256, dtype=np.uint8)
 BREAKS[[ord(c) for c in "\0\n.!?;:"]] = 1
 
-#: Labelled rows of each class that are read at most, words taken as insults at most, and what makes a word an insult.
-PER_CLASS, NEW_INSULTS, LEAST_TEXTS, LEAST_SHARE, LEAST_RATIO = 4000, 500, 20, 0.02, 20.0
-#: Weight of a listed word; weights of learned ones are logarithms of ratios, within these bounds.
+#: Labelled rows of each class that are read at most; beginnings of words, in characters, that are taken as insults; how many at
+#: most, in how many toxic texts, in which share of them, and how much more frequent in toxic texts (up to MOST_EACH times in a text).
+PER_CLASS, STEM, NEW_INSULTS, LEAST_TEXTS, LEAST_SHARE, LEAST_RATIO, MOST_EACH = 3000, (3, 8), 500, 10, 0.015, 8.0, 10
+#: Weight of a listed word; weights of learned beginnings are logarithms of ratios, within these bounds.
 LISTED, LIGHTEST, HEAVIEST = 3.0, 2.0, 6.0
 
 
@@ -96,8 +98,9 @@ class Grammar(NamedTuple):
 
 #: Patterns: kind, negated, reported, with a target. The weights are where the fit starts from.
 PATTERNS = [(k, n, r, t) for k in (INSULT, THREAT) for n in (False, True) for r in (False, True) for t in (False, True)]
+FEATURES = len(PATTERNS) + 1  #: the last one is the text's length
 PRIOR = np.array([(1.0 if k == INSULT else 0.5) * (0.3 if n else 1.0) * (0.5 if r else 1.0) * (1.5 if t else 1.0)
-                  for k, n, r, t in PATTERNS] + [-1.2])
+                  for k, n, r, t in PATTERNS] + [-0.2, -1.2])
 
 
 def compiled() -> Grammar:
@@ -117,36 +120,53 @@ def compiled() -> Grammar:
 
 
 class Lexicon(NamedTuple):
-    hashes: np.ndarray  #: sorted
+    hashes: np.ndarray  #: of whole words, sorted
     classes: np.ndarray
-    weights: np.ndarray
+    stems: list[tuple[int, np.ndarray, np.ndarray]]  #: bytes, hashes (sorted) and weights of learned beginnings, by bytes
 
 
 def lexicon(learned: dict[str, float]) -> Lexicon:
-    entries: dict[int, tuple[int, float]] = {}
     listed = ((INSULTS, INSULT), (THREATS, THREAT), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT))
-    for words, kind, weight in [*((w, k, {x: LISTED for x in w}) for w, k in listed), (list(learned), INSULT, learned)]:
-        for word in words:
-            _, _, h = words_of(word.encode() + b"\0")
-            entries[int(h[0])] = (kind, weight[word])
+    value = lambda word: int(words_of(word.encode() + b"\0")[2][0])
+    entries = {value(word): kind for words, kind in listed for word in words if "'" not in word}
     keys = sorted(entries)
-    return Lexicon(np.array(keys, dtype=np.uint64), np.array([entries[k][0] for k in keys]), np.array([entries[k][1] for k in keys]))
+    stems = []
+    for size in sorted({len(s.encode()) for s in learned}):
+        own = sorted((value(s), w) for s, w in learned.items() if len(s.encode()) == size)
+        stems.append((size, np.array([h for h, _ in own], dtype=np.uint64), np.array([w for _, w in own])))
+    return Lexicon(np.array(keys, dtype=np.uint64), np.array([entries[k] for k in keys]), stems)
 
 
-def clause_features(group: Words, lex: Lexicon, grammar: Grammar) -> np.ndarray:
-    """For each text of a group the logarithm of the weight that each pattern gathers over the text's clauses."""
-    n = len(group.bounds) - 1
-    out = np.zeros((n, len(PATTERNS)))
+def classified(group: Words, lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """Class and weight of every word; a learned beginning makes any word but a listed one an insult."""
     place = np.minimum(np.searchsorted(lex.hashes, group.hashes), len(lex.hashes) - 1)
     kinds = np.where(lex.hashes[place] == group.hashes, lex.classes[place], OTHER)
+    weight = np.where((kinds == INSULT) | (kinds == THREAT), LISTED, 0.0)
+    for size, hashes, weights in lex.stems:
+        long = np.flatnonzero(group.ends - group.starts >= size)
+        own = beginnings(group, long, size)
+        place = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+        met = hashes[place] == own
+        at, w = long[met], weights[place[met]]
+        at, w = at[np.isin(kinds[at], (OTHER, INSULT))], w[np.isin(kinds[at], (OTHER, INSULT))]
+        kinds[at] = INSULT
+        weight[at] = np.maximum(weight[at], w)
+    return kinds, weight
+
+
+def clause_features(group: Words, lex: Lexicon, grammar: Grammar) -> np.ndarray:
+    """For each text of a group the logarithm of the weight that each pattern gathers over the text's clauses, and of its words."""
+    n = len(group.bounds) - 1
+    out = np.zeros((n, FEATURES))
+    out[:, -1] = np.diff(group.bounds) / 50
+    kinds, weight = classified(group, lex)
     hits = np.flatnonzero((kinds == INSULT) | (kinds == THREAT))
     if not len(hits):
-        return out
+        return np.log1p(out)
     clause = np.cumsum(BREAKS[np.frombuffer(group.data, dtype=np.uint8)], dtype=np.int64)[group.starts]
     found = np.unique(clause[hits])
     starts, ends = np.searchsorted(clause, found), np.searchsorted(clause, found, side="right")
     text = np.searchsorted(group.bounds, starts, side="right") - 1
-    weight = np.where((kinds == INSULT) | (kinds == THREAT), lex.weights[place], 0.0)
     for s, e, t in zip(starts.tolist(), ends.tolist(), text.tolist()):
         state = 0
         for kind in kinds[s:e].tolist():
@@ -189,24 +209,43 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
 
 
 def _insults(sample: DataFrame) -> dict[str, float]:
-    """Words of toxic texts that clean ones hardly have, with the logarithm of the ratio as weight."""
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Beginnings of words that toxic texts have far more often than clean ones, with the logarithm of the ratio as weight.
+
+    Of beginnings that continue one another the one with the largest gain is taken, and the longest of equals.
+    """
+    def stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            texts, bad, good = Counter(), Counter(), Counter()
             for text, toxic in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist()):
                 starts, ends, _ = words_of(text + b"\0")
-                own = sorted({text[s:e].lower() for s, e in zip(starts.tolist(), ends.tolist()) if e - s > 2})
-                yield pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in own], pa.string()),
-                                                  pa.array([toxic] * len(own), pa.int32())], ["word", "toxic"])
+                words = Counter(LOWER[np.frombuffer(text, np.uint8)[s:e]].tobytes() for s, e in zip(starts.tolist(), ends.tolist()))
+                own = Counter()
+                for word, n in words.items():
+                    word = word.decode("utf-8", "replace")
+                    for size in range(STEM[0], min(STEM[1], len(word)) + 1):
+                        own[word[:size]] += n
+                own = {k: min(n, MOST_EACH) for k, n in own.items()}
+                (bad if toxic else good).update(own)
+                texts.update(own if toxic else ())
+            keys = list(bad.keys() | good.keys())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (texts, bad, good))],
+                                             ["stem", "texts", "bad", "good"])
 
     n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return {}
-    each = sample.mapInArrow(words, "word string, toxic int").groupBy("word").agg(
-        F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    each = sample.mapInArrow(stems, "stem string, texts long, bad long, good long").groupBy("stem").agg(
+        F.sum("texts").alias("texts"), F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     ratio = ((F.col("bad") + 0.5) / n[1]) / ((F.col("good") + 0.5) / n[0])
-    enough = (F.col("bad") >= max(min(LEAST_TEXTS, n[1] / 10), LEAST_SHARE * n[1])) & (ratio >= LEAST_RATIO)
-    rows = each.filter(enough).select("word", F.log(ratio).alias("w")).orderBy(F.desc("w"), "word").limit(NEW_INSULTS).collect()
-    return {r.word: float(np.clip(r.w, LIGHTEST, HEAVIEST)) for r in rows}
+    enough = (F.col("texts") >= max(min(LEAST_TEXTS, n[1] / 10), LEAST_SHARE * n[1])) & (ratio >= LEAST_RATIO)
+    gain = F.col("bad") * F.log(ratio)
+    rows = each.filter(enough).select("stem", F.log(ratio).alias("w"), gain.alias("gain")).orderBy(
+        F.desc("gain"), F.desc(F.length("stem")), "stem").limit(20 * NEW_INSULTS).collect()
+    out: dict[str, float] = {}
+    for r in rows:
+        if len(out) < NEW_INSULTS and not any(r.stem.startswith(s) or s.startswith(r.stem) for s in out):
+            out[r.stem] = float(np.clip(r.w, LIGHTEST, HEAVIEST))
+    return out
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id",
@@ -215,8 +254,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Words get classes (insult, threat, target, negation, report, other); the transducers negation, reported and targeted are composed to
     one grammar that reads a clause and gives at most one pattern, such as "insult, not negated, not reported, with a target". A
-    text's score is the logistic function of the weights its patterns gather. Insults beyond the listed ones and the
-    patterns' weights are learned from at most 2 * PER_CLASS labelled rows outside the held-out fold (a toxic label wins over a
+    text's score is the logistic function of the weights its patterns gather, set against its length. Insults beyond the listed ones
+    (beginnings of words, so that inflected and compound forms count) and the patterns' weights are learned from at most 2 * PER_CLASS labelled rows outside the held-out fold (a toxic label wins over a
     clean one of the same id); ids and labels are no input of a score. Null and empty texts match nothing and get the base score, below 0.5. Without labels
     of both kinds the listed words and prior weights are used. Repeated rows are scored each; a null id is kept.
 
@@ -234,7 +273,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     rows = sample.mapInArrow(features, "toxic int, x array<double>").collect()  # at most 2 * PER_CLASS short rows
     rows = sorted((r.toxic, tuple(r.x)) for r in rows)
-    weights = fit(np.array([r[1] for r in rows]).reshape(len(rows), len(PATTERNS)), np.array([r[0] for r in rows]))
+    weights = fit(np.array([r[1] for r in rows]).reshape(len(rows), FEATURES), np.array([r[0] for r in rows]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,7 +282,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
                 part = batch.slice(group.first, len(x))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array((x > 0).sum(axis=1))],
+                    [part.column(0), part.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array((x[:, :-1] > 0).sum(axis=1))],
                     [id_col, "held_out", "score", "predicted", "n_patterns"])
 
     kind = docs.schema[id_col].dataType.simpleString()

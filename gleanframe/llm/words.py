@@ -80,6 +80,15 @@ def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*parts)) if len(parts) > 1 else parts[0]
 
 
+def beginnings(words: Words, which: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the first size bytes of the given words, which have as many; those bytes as a word would have the same hash."""
+    data, up = np.frombuffer(words.data, dtype=np.uint8), powers(size)[0]
+    total = np.zeros(len(which), dtype=np.uint64)
+    for k in range(size):
+        total += _value[data[words.starts[which] + k]] * up[k]
+    return mix(total)
+
+
 def groups(texts: list[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first, texts) in groups of about GROUP bytes and at most 2^15 texts; null counts as empty."""
     group: list[bytes] = []
