@@ -8,6 +8,7 @@ from gleanframe.llm.decontaminate import contamination
 from gleanframe.llm.exact_dedup import exact_duplicates
 from gleanframe.llm.language import identify
 from gleanframe.llm.near_dedup import near_duplicates
+from gleanframe.llm.quotes import reply_order
 from gleanframe.llm.toxicity import toxicity
 from gleanframe.llm.url_rules import judge
 from gleanframe.llm.warc import round_trip
@@ -33,6 +34,10 @@ def op4_url_filters(spark, folder):
     return judge(table(spark, folder, "pages"), RULES)
 
 
+def op5_quotation_linking(spark, folder):
+    return reply_order(table(spark, folder, "conversations"))
+
+
 def op6_language(spark, folder):
     return identify(table(spark, folder, "documents"))
 
@@ -54,7 +59,7 @@ def op10_near_dedup(spark, folder):
 
 def queries():
     return {f.__name__: f for f in (
-        op1_toxicity, op2_warc, op3_exact_dedup, op4_url_filters, op6_language, op7_byte_bpe, op8_decontaminate, op10_near_dedup)}
+        op1_toxicity, op2_warc, op3_exact_dedup, op4_url_filters, op5_quotation_linking, op6_language, op7_byte_bpe, op8_decontaminate, op10_near_dedup)}
 
 
 OP2_SQL = """
