@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanframe.llm.common import components, stage
@@ -15,9 +15,6 @@ from gleanframe.llm.words import BASE, Words, as_bytes, mix, shingles, word_grou
 
 BANDS, ROWS = 24, 5
 TEXT_BITS = np.uint64(16)  #: a group holds fewer than 2^16 texts
-#: Star rounds go on while the pairs left to try outnumber this many per member of a bucket.
-PAIRS_PER_MEMBER = 8
-STAR_ROUNDS = 6
 
 
 def bags(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,12 +145,34 @@ def overlaps(docs: DataFrame, text_col: str, width: int, wanted: DataFrame) -> D
     return made.join(wanted, "digest").dropDuplicates(["node"]).select("node", "bag")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose bags overlap enough: sum of minima over sum of maxima."""
-    shared = F.size(F.array_intersect("x", "y"))
-    return (pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-            .filter(F.least(F.size("x"), F.size("y")) >= threshold * F.greatest(F.size("x"), F.size("y")) - 1e-9)
-            .filter(shared >= threshold * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"))
+def _shared(x: str, y: str) -> Column:
+    return F.size(F.array_intersect(x, y))
+
+
+def _similarity(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, j): sum of minima over sum of maxima of the bags."""
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").withColumn("n", _shared("x", "y"))
+    return both.select("a", "b", (F.col("n") / (F.size("x") + F.size("y") - F.col("n"))).alias("j"))
+
+
+def _untried(members: DataFrame, scored: DataFrame, root: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): similar pairs of one bucket that lie in different components.
+
+    All such pairs are decided inside the join, so what comes out is links only. One minus the similarity is a metric: two texts whose
+    distances to the bucket's centre differ by more than 1 - threshold are no link, which needs no look at their bags; nor do bags whose sizes differ too much.
+    """
+    own = members.join(root.toDF("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = own.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("bucket")
+    far = F.when(F.col("node") == F.col("centre"), 0.0).otherwise(1 - F.coalesce("j", F.lit(0.0)))
+    open_ = own.join(mixed, "bucket").join(scored.toDF("node", "centre", "j"), ["node", "centre"], "left").withColumn("far", far)
+    open_ = stage(open_.join(sets, "node").select("bucket", "node", "root", "far", "bag"), "open")
+    x, y = open_.alias("x"), open_.alias("y")
+    least, most = F.least(F.size("x.bag"), F.size("y.bag")), F.greatest(F.size("x.bag"), F.size("y.bag"))
+    shared = _shared("x.bag", "y.bag")
+    near = ((F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root"))
+            & (F.abs(F.col("x.far") - F.col("y.far")) <= 1 - threshold + 1e-9) & (least >= threshold * most - 1e-9)
+            & (shared >= threshold * (least + most - shared) - 1e-9))
+    return x.join(y, near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8,
@@ -166,52 +185,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counting as empty. Repeated rows count one by one. Other columns are not looked at.
 
     Texts are merged by digest, BagMinHash signatures put the distinct ones into bands * rows buckets (with 24 bands of 5, a pair
-    at 0.8 shares no bucket with a probability below 0.0001, and less above). In a bucket every member is compared with a centre, not
-    with every member. Members that the centre leaves in other components meet further centres, a hashed choice for each
-    component, until the untried pairs across components are few per member; then those are all tried, so no link is lost.
-    Overlaps are exact up to 48-bit hashes of shingles within a text.
+    at 0.8 shares no bucket with a probability below 0.0001, and less above). In a bucket every member is compared with a centre, the
+    member whose buckets are fullest, as the text that copies were made from is. That leaves few components open; pairs of one bucket in different components are then
+    all decided inside a join (see _untried), so no link is lost. That last step is quadratic only in members of one bucket that are near the
+    threshold but similar to no centre. Overlaps are exact up to 48-bit hashes of shingles within a text.
     """
     sigs = stage(signatures(docs, id_col, text_col, width, bands, rows).withColumn("row", F.monotonically_increasing_id()), "signatures")
     nodes = stage(sigs.groupBy("digest").agg(F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n"))
                   .withColumn("node", F.monotonically_increasing_id()), "texts")
     member = nodes.select("node", F.explode("bands").alias("bucket"))
-    centre = member.groupBy("bucket").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    member = stage(member.join(centre.select("bucket", "b"), "bucket"), "members")
-    pairs = stage(member.filter("node != b").select(F.col("node").alias("a"), "b").distinct(), "pairs")
+    full = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    member = stage(member.join(full, "bucket"), "members")
+    fullness = member.groupBy("node").agg(F.sum("n").alias("s"))
+    centre = member.join(fullness, "node").groupBy("bucket").agg(F.max(F.struct("s", "node"))["node"].alias("centre"))
+    member = stage(member.join(centre, "bucket").select("bucket", "node", "centre"), "members")
     wanted = member.select("node").distinct().join(nodes, "node").select("node", "digest")
     sets = stage(overlaps(docs, text_col, width, wanted), "bags")
-    links = stage(_similar(pairs, sets, threshold), "links")
-    root = components(links)
-
-    for again in range(1, STAR_ROUNDS + 1):
-        own = member.select("bucket", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = own.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("bucket")
-        open_ = stage(own.join(mixed, "bucket"), "open")
-        sizes = open_.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(
-            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        left = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs"), F.sum("n").alias("n")).first()
-        if not left.n:
-            break
-        last = left.pairs <= PAIRS_PER_MEMBER * left.n or again == STAR_ROUNDS
-        if last:
-            other = open_.toDF("bucket", "b", "rb")
-            pairs = open_.join(other, "bucket").filter("root < rb").select(F.col("node").alias("a"), "b")
-        else:
-            # The member that comes first in this round's order, and the first one that is not of its component.
-            order = F.xxhash64(F.lit(again), "node")
-            first = open_.groupBy("bucket", "root").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("b"))).alias("c"))
-            rank = F.row_number().over(Window.partitionBy("bucket").orderBy("c"))
-            two = first.withColumn("k", rank).filter("k <= 2").select("bucket", F.col("root").alias("rb"), "c.b")
-            pairs = open_.join(two, "bucket").filter("root != rb").select(F.col("node").alias("a"), "b")
-        pairs = stage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        more = stage(_similar(pairs, sets, threshold), "links")
-        if more.take(1):
-            links = links.unionByName(more)
-            root = components(links)
-        if last:
-            break
-
-    classes = nodes.select("digest", "node").join(root, "node", "left").select("digest", F.coalesce("root", "node").alias("class"))
+    pairs = member.filter("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    scored = stage(_similarity(pairs, sets), "scores")
+    root = components(scored.filter(F.col("j") >= threshold - 1e-9))
+    more = _untried(member, scored, root, sets, threshold)
+    of = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    joined = components(more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+        F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+
+    top = nodes.select("digest", "node").join(root, "node", "left").select("digest", F.coalesce("root", "node").alias("top"))
+    classes = top.join(joined.toDF("top", "last"), "top", "left").select("digest", F.coalesce("last", "top").alias("class"))
     placed = stage(sigs.select("id", "row", "digest").join(classes, "digest").select("id", "row", "class"), "classes")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))).alias("best")
     whole = placed.groupBy("class").agg(best, F.count(F.lit(1)).alias("class_size"))
