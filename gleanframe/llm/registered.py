@@ -9,6 +9,7 @@ from gleanframe.llm.exact_dedup import exact_duplicates
 from gleanframe.llm.language import identify
 from gleanframe.llm.near_dedup import near_duplicates
 from gleanframe.llm.quotes import reply_order
+from gleanframe.llm.suffix_dedup import remove_repeats
 from gleanframe.llm.toxicity import toxicity
 from gleanframe.llm.url_rules import judge
 from gleanframe.llm.warc import round_trip
@@ -53,13 +54,17 @@ def op8_decontaminate(spark, folder):
     return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op9_suffix_dedup(spark, folder):
+    return remove_repeats(table(spark, folder, "documents"))
+
+
 def op10_near_dedup(spark, folder):
     return near_duplicates(table(spark, folder, "documents"))
 
 
 def queries():
     return {f.__name__: f for f in (
-        op1_toxicity, op2_warc, op3_exact_dedup, op4_url_filters, op5_quotation_linking, op6_language, op7_byte_bpe, op8_decontaminate, op10_near_dedup)}
+        op1_toxicity, op2_warc, op3_exact_dedup, op4_url_filters, op5_quotation_linking, op6_language, op7_byte_bpe, op8_decontaminate, op9_suffix_dedup, op10_near_dedup)}
 
 
 OP2_SQL = """
