@@ -225,6 +225,8 @@ class WarcReader(DataSourceReader):
         return [Split(f.path, 0, -1, False) for f in sorted(files, key=lambda f: f.path) if f.path.endswith((".warc", ".warc.gz"))]
 
     def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # what Spark asks for when there are no partitions
+            return
         fs, _ = _open(self.path)
         rows, size = [], 0
         for row in self._indexed(fs, partition) if partition.indexed else self._whole(fs, partition):
