@@ -16,7 +16,8 @@ import oracles  # noqa: E402
 from gleanframe.functions.numbers import render_number, token_kind  # noqa: E402
 from gleanframe.operators.features import text_of  # noqa: E402
 from gleanframe.operators.grubbs import first_step  # noqa: E402
-from gleanframe.sources.readers import rows_from_features  # noqa: E402
+from gleanframe.functions.text import clean_name  # noqa: E402
+from gleanframe.sources.readers import rows_from_features, rows_from_lines  # noqa: E402
 
 try:  # the training-data operators are optional
     import corpus_pipeline
@@ -88,8 +89,10 @@ def feature_center(spark, folder):
 
 
 def feature_domain(spark, folder):
-    p = gf.profile(table(spark, folder, "part"), columns=[c for c, stored in oracles.PART_COLUMNS if not stored])
-    return p.select("feature", "domain_size", "mode", F.array_join("domain", "|").alias("domain"))
+    """Every value of every text column with its count, and the column's size and mode beside it."""
+    df, columns = table(spark, folder, "part"), [c for c, stored in oracles.PART_COLUMNS if not stored]
+    facts = gf.profile(df, columns=columns).select("feature", "domain_size", "mode")
+    return gf.feature_values(df, columns).join(facts, "feature")
 
 
 def incompatible_cells(spark, folder):
@@ -112,7 +115,7 @@ def dataset_summary(spark, folder):
 
 def evaluation_report(spark, folder):
     df, p = messy(spark, folder), messy_profile(spark, folder)
-    return gf.evaluation_report(gf.with_verdicts(p, gf.outlier_verdicts(df, p, "iqr")))
+    return gf.evaluation_report(gf.with_verdicts(p, gf.outlier_verdicts(df, p, "iqr")), gf.feature_values(df, FEATURES))
 
 
 def describe_feature(spark, folder):
@@ -172,7 +175,7 @@ def _imputed(method, columns=tuple(c for c, _ in oracles.IMPUTED_COLUMNS)):
         df = messy(spark, folder).select("event_id", *columns)
         out = gf.impute(df, gf.profile(df, columns=list(columns)), KEY, method, seed=oracles.SEED)
         return out.select("event_id", *[
-            F.round(c, 6).alias(c) if stored and method != "none" else F.col(c)
+            F.round(F.col(c).cast("double"), 6).alias(c) if stored and method != "none" else F.col(c)
             for c, stored in oracles.IMPUTED_COLUMNS if c in columns])
 
     return run
@@ -188,7 +191,7 @@ def curated_table(spark, folder):
     df, p = messy(spark, folder), messy_profile(spark, folder)
     out = gf.curated(df, p, gf.fit_rules(df, p, "zscore"), KEY, "mean_mode")
     return out.select(
-        "event_id", F.round("value_fair", 6).alias("value_fair"), F.round("digit_fair", 6).alias("digit_fair"),
+        "event_id", F.round("value_fair", 6).alias("value_fair"), F.col("digit_fair").cast("double").alias("digit_fair"),
         "type_fair", "value_bad", "value_good", *[F.col("_status")[c].alias(f"st_{c}") for c in FEATURES])
 
 
@@ -205,10 +208,6 @@ def _pairs(method, columns=None, digits=6):
     return run
 
 
-def similar_names(spark, folder):
-    return gf.similar_names(derived(spark, folder)).select("f1", "f2", F.round("value", 6).alias("value"))
-
-
 def similar_strings(spark, folder):
     pairs = gf.similar_strings(table(spark, folder, "part"), "p_name")
     return pairs.select("f1", "f2", F.round("value", 6).alias("value"))
@@ -222,9 +221,32 @@ def features_json_read(spark, folder):
     return rows_from_features(documents)
 
 
+def csv_read(spark, folder):
+    """Lines with quotes, missing tokens and repeated headers, made from the events and parsed as a file's lines are."""
+    quoted = F.concat(F.lit('"'), F.concat(F.col("event_type"), F.lit(' ""'), F.col("event_id").cast("string"), F.lit('"", x')), F.lit('"'))
+    lines = messy(spark, folder).select(F.concat_ws(
+        ",", F.col("event_id").cast("string"), F.coalesce(F.col("value_fair").cast("string"), F.lit("NA")), quoted,
+        F.when(F.col("event_id") % 3 == 0, "").otherwise("7")).alias("value"))
+    return rows_from_lines(lines, "id,value,note,value")
+
+
 def dedup_headers(spark, folder):
-    df = table(spark, folder, "events").select("event_id", "user_id", "value")
-    return df.toDF(*gf.dedup_names(["a", "b", "a"]))
+    lines = table(spark, folder, "events").select(
+        F.concat_ws(",", F.col("event_id").cast("string"), F.col("user_id").cast("string"), F.lit("z")).alias("value"))
+    return rows_from_lines(lines, "a,b,a")
+
+
+def bracketed_values(spark, folder):
+    """Names with a bracketed unit, as the values of a column."""
+    named = table(spark, folder, "part").select(
+        "p_partkey", F.concat(F.lit(" "), F.col("p_name"), F.lit(" ("), F.col("p_brand"), F.lit(") (cm) ")).alias("name"))
+    return named.select("p_partkey", clean_name("name").alias("name"))
+
+
+def similarity_none(spark, folder):
+    """Without a similarity method the pair reports of a curation are empty."""
+    result = gf.curate(messy(spark, folder), KEY, similarity=5)
+    return result.corr_pairs.select("f1", "f2", "value").unionByName(result.lex_pairs.select("f1", "f2", "value"))
 
 
 def number_render(spark, folder):
@@ -243,8 +265,9 @@ def curate_events_table(spark, folder):
     """The curated rows of a full curation with similarity, statuses included."""
     result = gf.curate(messy(spark, folder), KEY, imputation="random", outlier_method="iqr", similarity="pearson",
                        seed=oracles.SEED)
-    return result.curated.select(*[F.col(c) for c in result.curated.columns if c != "_status"],
-                                 F.to_json("_status").alias("status"))
+    return result.curated.select(
+        "event_id", *[F.col(c).cast("double") if stored else F.col(c) for c, stored in oracles.MESSY_COLUMNS],
+        F.to_json("_status").alias("status"))
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -257,7 +280,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         missing_normalised, token_kinds, feature_state, feature_types, feature_range, feature_center, feature_domain,
         incompatible_cells, incompatibility_report, features_by_state, dataset_summary, evaluation_report, describe_feature,
         outliers_verdicts, outliers_grubbs_step, outliers_grubbs, cell_status, curated_table, clean_table,
-        similar_names, similar_strings, features_json_read, dedup_headers, number_render, curate_events,
+        similar_strings, features_json_read, csv_read, bracketed_values, similarity_none, dedup_headers, number_render, curate_events,
         curate_events_table,
     ]
     return {

@@ -16,7 +16,7 @@ from gleanframe.operators.outliers import (  # noqa: E402
     fit_rules, flag_outliers, outlier_verdicts, with_verdicts,
 )
 from gleanframe.operators.profile import (  # noqa: E402
-    describe_feature, feature_state, features_by_state, incompatible_cells, profile, summarise,
+    describe_feature, feature_state, feature_values, features_by_state, incompatible_cells, profile, summarise,
 )
 from gleanframe.operators.report import evaluation_report  # noqa: E402
 from gleanframe.operators.status import cell_status, clean, curated  # noqa: E402
@@ -26,7 +26,7 @@ from gleanframe.sources.writers import write_reports  # noqa: E402
 
 __all__ = [
     "CurationResult", "DEFAULT_TOKENS", "cell_status", "clean", "correlated_pairs", "curate", "curated",
-    "dedup_names", "describe_feature", "evaluation_report", "feature_state", "features_by_state", "fit_rules", "flag_outliers",
+    "dedup_names", "describe_feature", "evaluation_report", "feature_state", "feature_values", "features_by_state", "fit_rules", "flag_outliers",
     "impute", "incompatible_cells", "is_missing", "normalise_missing", "outlier_verdicts", "profile",
     "read_dataset", "render_number", "similar_names", "similar_strings", "summarise", "token_kind",
     "with_verdicts", "write_reports",

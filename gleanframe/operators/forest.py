@@ -206,7 +206,9 @@ def forest_scores(
     features = [r["feature"] for r in good]
     xs = [f"x{i}" for i in range(len(features))]
     codes = text_codes(clean, [r["feature"] for r in good if r["var_type"] not in NUMERIC])
-    table = numeric_columns(clean, good, codes).select(*map(column, key), *xs)
+    # The cell's own text goes along; x is what the trees see.
+    texts = [text_of(f).alias(f"t{i}") for i, f in enumerate(features)]
+    table = numeric_columns(clean, good, codes).select(*map(column, key), *texts, *xs)
     n_rows = good[0]["n_rows"]
     size = TREES * SAMPLE_PER_TREE
     sample = numeric_columns(training_sample(clean, key, n_rows, seed, size), good, codes).orderBy("_hash").select(*xs).toArrow()
@@ -250,6 +252,6 @@ def forest_cells(
     cuts = exact_quantiles(scored, {s: -F.col(s) for s in scores}, [share])
     hits: dict[str, Column] = {s: -F.col(s) < F.lit(cuts[s][0]) for s in scores}
     return emit_cells(scored, key, [
-        (f, hits["s0" if method == "forest_joint" else f"s{i}"], F.col(f"x{i}"), F.lit("outlier"))
+        (f, hits["s0" if method == "forest_joint" else f"s{i}"], F.col(f"t{i}"), F.lit("outlier"))
         for i, f in enumerate(features)
     ])

@@ -8,9 +8,10 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gleanframe.functions.missing import DEFAULT_TOKENS, column, normalise_missing
-from gleanframe.operators.features import NUMERIC, load, number_of, text_of
+from gleanframe.functions.missing import DEFAULT_TOKENS, column, is_continuous, normalise_missing
+from gleanframe.operators.features import NUMERIC, load, text_of
 from gleanframe.operators.running import running_totals
 
 METHODS = ("mean_mode", "random", "zeros", "none")
@@ -62,13 +63,22 @@ def filled_features(profile_df: DataFrame, method: str | int | None) -> set[str]
     return {r["feature"] for r in rows if fill_value(r, method) is not None}
 
 
+def filled_type(stored: T.DataType, whole: bool) -> T.DataType:
+    """The type of a filled numeric column that no observed value loses a digit in."""
+    if isinstance(stored, T.IntegralType):
+        return stored if whole else T.DecimalType(38, 6)
+    return stored if isinstance(stored, T.DecimalType) else T.DoubleType()
+
+
 def impute(
     df: DataFrame, profile_df: DataFrame, key: Sequence[str] = (), method: str | int | None = "mean_mode",
     seed: int = 0, tokens: Sequence[str] = DEFAULT_TOKENS,
 ) -> DataFrame:
     """The same rows and columns with missing cells filled (or NULL where they are not).
 
-    A filled numeric column comes back as double. Only ``random`` needs ``key`` and a shuffle.
+    A filled whole-number column keeps its type where the fill is a whole number too; otherwise it comes back as
+    ``decimal(38, 6)``, which holds every observed value. Other filled numeric columns come back as double. Only ``random``
+    needs ``key`` and a shuffle.
     """
     method = method_name(method)
     clean = normalise_missing(df, tokens)
@@ -83,7 +93,8 @@ def impute(
         if fill is None:
             out.append(column(name))
         elif storage[name] == "continuous":
-            out.append(F.coalesce(column(name).cast("double"), F.lit(fill)).alias(name))
+            kind = filled_type(df.schema[name].dataType, float(fill).is_integer())
+            out.append(F.coalesce(column(name).cast(kind), F.lit(fill).cast(kind)).alias(name))
         else:
             out.append(F.coalesce(text_of(name), F.lit(fill)).alias(name))
     return clean.select(*out)
@@ -95,7 +106,7 @@ def draw_order(seed: int, feature, key: Sequence[str]):
 
 
 def random_fills(clean: DataFrame, rows: Sequence[Row], key: Sequence[str], seed: int) -> DataFrame:
-    """``(key, feature, number, text)``: a drawn value for every missing cell.
+    """``(key, feature, text)``: a drawn value, as text, for every missing cell.
 
     Per feature, the missing cells and the observed values are numbered in hash order and matched by
     number. Only as many observed values as there are holes are wanted, so a hash threshold keeps
@@ -118,13 +129,12 @@ def random_fills(clean: DataFrame, rows: Sequence[Row], key: Sequence[str], seed
     slots = []
     for r in rows:
         f = r["feature"]
-        present, continuous = column(f).isNotNull(), r["storage"] == "continuous"
+        present = column(f).isNotNull()
         cell = F.struct(
             F.lit(f).alias("feature"),
             F.when(present, "observed").otherwise("hole").alias("part"),
             orders[f].alias("h"),
-            (number_of(r) if continuous else F.lit(None).cast("double")).alias("number"),
-            (F.lit(None).cast("string") if continuous else text_of(f)).alias("text"),
+            text_of(f).alias("text"),
         )
         slots.append(F.when(~present | early[f], cell) if f in early else cell)
     spread = (
@@ -137,9 +147,9 @@ def random_fills(clean: DataFrame, rows: Sequence[Row], key: Sequence[str], seed
     met = numbered.groupBy("feature", "one_before").agg(
         F.max(hole).alias("wanted"),
         *[F.first(F.when(hole, column(k)), ignorenulls=True).alias(k) for k in key],
-        *[F.first(F.when(seen, F.col(v)), ignorenulls=True).alias(v) for v in ("number", "text")],
+        F.first(F.when(seen, F.col("text")), ignorenulls=True).alias("text"),
     )
-    return met.filter("wanted").select(*map(column, key), "feature", "number", "text")
+    return met.filter("wanted").select(*map(column, key), "feature", "text")
 
 
 def _draw(clean: DataFrame, rows: list[Row], key: list[str], seed: int) -> DataFrame:
@@ -149,11 +159,9 @@ def _draw(clean: DataFrame, rows: list[Row], key: list[str], seed: int) -> DataF
         raise ValueError("random imputation needs the row key")
     fills = random_fills(clean, rows, key, seed)
     per_row = fills.groupBy(*map(column, key)).agg(*[
-        f.alias(f"_f{i}") for i, r in enumerate(rows)
-        for f in [F.max(F.when(F.col("feature") == r["feature"],
-                               F.col("number" if r["storage"] == "continuous" else "text")))]
+        F.max(F.when(F.col("feature") == r["feature"], F.col("text"))).alias(f"_f{i}") for i, r in enumerate(rows)
     ])
-    at = {r["feature"]: (i, r["storage"]) for i, r in enumerate(rows)}
+    at = {r["feature"]: i for i, r in enumerate(rows)}
     holes = None
     for r in rows:
         hole = column(r["feature"]).isNull()
@@ -165,9 +173,10 @@ def _draw(clean: DataFrame, rows: list[Row], key: list[str], seed: int) -> DataF
             if name not in at:
                 out.append(column(name))
                 continue
-            i, storage = at[name]
-            c = column(name).cast("double" if storage == "continuous" else "string")
-            out.append((F.coalesce(c, F.col(f"_f{i}")) if filled else c).alias(name))
+            kind = clean.schema[name].dataType
+            kind = kind if is_continuous(kind) else T.StringType()
+            c = column(name).cast(kind)
+            out.append((F.coalesce(c, F.col(f"_f{at[name]}").cast(kind)) if filled else c).alias(name))
         return out
 
     # Rows without holes skip the join.

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from gleanframe.functions.missing import DEFAULT_TOKENS, column, normalise_missing
 from gleanframe.operators import forest
-from gleanframe.operators.features import NUMERIC, emit_cells, load, number_of
+from gleanframe.operators.features import NUMERIC, emit_cells, load, number_of, text_of
 from gleanframe.operators.grubbs import grubbs_cuts
 from gleanframe.operators.profile import PROFILE_SCHEMA
 from gleanframe.operators.quantiles import exact_quantiles
@@ -170,7 +170,7 @@ def rule_cells(
     cells = []
     for r in rows:
         x = number_of(r)
-        cells.append((r["feature"], rules[r["feature"]].flags(x), x, F.lit("outlier")))
+        cells.append((r["feature"], rules[r["feature"]].flags(x), text_of(r["feature"]), F.lit("outlier")))
     return emit_cells(clean, key, cells)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,7 @@ DATE_NAME_PARTS = ("year", "Year", "Date", "date", "Dates", "yr")
 # This one counts only in names without the veto part.
 DATE_NAME_PART_VETOED = ("YEAR", "Age")
 
+# Texts of the printed report.
 UNKNOWN_TYPE = "yes, unknown type of data"
 BAD_FEATURE = "yes, bad feature"
 
@@ -38,9 +39,7 @@ PROFILE_SCHEMA = T.StructType([
     T.StructField("state", T.StringType()),
     T.StructField("min", T.DoubleType()),
     T.StructField("max", T.DoubleType()),
-    T.StructField("domain", T.ArrayType(T.StringType())),
     T.StructField("domain_size", T.LongType()),
-    T.StructField("domain_truncated", T.BooleanType()),
     T.StructField("center", T.DoubleType()),
     T.StructField("mode", T.StringType()),
     T.StructField("incompatibility", T.StringType()),
@@ -133,35 +132,29 @@ def distinct_values(clean: DataFrame, names: Sequence[str]) -> DataFrame:
     )
 
 
-def feature_domains(clean: DataFrame, names: Sequence[str], max_domain: int = 100) -> DataFrame:
-    """``(feature, domain, domain_size, mode, distinct_mean)`` per text column.
+def feature_values(
+    df: DataFrame, columns: Sequence[str] | None = None, tokens: Sequence[str] = DEFAULT_TOKENS,
+) -> DataFrame:
+    """``(feature, value, n)``: the whole domain of every text column, a row per value."""
+    names = [n for n in supported_columns(df, columns) if not is_continuous(df.schema[n].dataType)]
+    if not names:
+        return df.sparkSession.createDataFrame([], "feature string, value string, n bigint")
+    return distinct_values(normalise_missing(df.select(*map(column, names)), tokens), names)
 
-    The listed domain is the first ``max_domain`` values in order. Each task passes on at most that
-    many values per feature, so no task or row holds a whole domain.
-    """
-    values = distinct_values(clean, names)
-    facts = values.groupBy("feature").agg(
+
+def domain_facts(clean: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``(feature, domain_size, mode, distinct_mean)`` per text column; the values themselves are ``feature_values``."""
+    return distinct_values(clean, names).groupBy("feature").agg(
         F.count(F.lit(1)).alias("domain_size"),
         F.min(F.struct((-F.col("n")).alias("k"), F.col("value").alias("v")))["v"].alias("mode"),
         F.avg(parse_number(F.col("value"))).alias("distinct_mean"),
     )
-    first = Window.partitionBy("feature").orderBy("value")
-    listed = (
-        values.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= max_domain)
-        .groupBy("feature")
-        # The count is carried along so that both branches reuse one shuffle of the values.
-        .agg(F.array_sort(F.collect_list(F.struct("at", "value", "n"))).alias("listed"))
-    )
-    return facts.join(listed, "feature").select(
-        "feature", F.col("listed.value").alias("domain"), "domain_size", "mode", "distinct_mean"
-    )
 
 
 def profile(
     df: DataFrame,
     threshold: float = 1 / 3,
     columns: Sequence[str] | None = None,
-    max_domain: int = 100,
     tokens: Sequence[str] = DEFAULT_TOKENS,
     strict_null_typing: bool = False,
 ) -> DataFrame:
@@ -216,12 +209,8 @@ def profile(
     text_names = [n for n in names if n not in continuous]
     distinct_mean: dict[str, float | None] = {}
     if text_names:
-        for d in feature_domains(clean, text_names, max_domain).collect():
-            row = rows[names.index(d["feature"])]
-            row.update(
-                domain=list(d["domain"]), domain_size=d["domain_size"], mode=d["mode"],
-                domain_truncated=d["domain_size"] > max_domain,
-            )
+        for d in domain_facts(clean, text_names).collect():
+            rows[names.index(d["feature"])].update(domain_size=d["domain_size"], mode=d["mode"])
             distinct_mean[d["feature"]] = d["distinct_mean"]
 
     by_median = [r for r in rows if r["min"] is not None

@@ -11,7 +11,7 @@ from gleanframe.functions.missing import DEFAULT_TOKENS, column, normalise_missi
 from gleanframe.operators import correlation, impute, outliers
 from gleanframe.operators.features import skipped_columns
 from gleanframe.operators.names import similar_names
-from gleanframe.operators.profile import profile, summarise
+from gleanframe.operators.profile import feature_values, profile, summarise
 from gleanframe.operators.report import evaluation_report
 from gleanframe.operators.status import cell_status, clean, curated
 
@@ -21,6 +21,7 @@ class CurationResult:
     """``profile``, ``summary`` and the pair tables are computed; the row-level tables are lazy."""
 
     profile: DataFrame
+    values: DataFrame
     summary: DataFrame
     cells: DataFrame
     curated: DataFrame
@@ -31,7 +32,7 @@ class CurationResult:
 
     @property
     def evaluation(self) -> DataFrame:
-        return evaluation_report(self.profile)
+        return evaluation_report(self.profile, self.values)
 
 
 def curate(
@@ -76,6 +77,7 @@ def curate(
         lex = similar_names(base.select(*map(column, features)))
     return CurationResult(
         profile=facts,
+        values=feature_values(base, features, tokens),
         summary=summarise(facts),
         cells=cell_status(base, facts, found, key, long=True, imputation=fill, tokens=tokens),
         curated=curated(base, facts, found, key, fill, seed, tokens),

@@ -14,6 +14,7 @@ from gleanframe.functions.numbers import parse_number
 
 FORMATS = ("csv", "json", "jsonl", "parquet")
 COLUMNS_PER_PASS = 100
+SPARE = "_beyond_the_header"
 
 
 def dedup_names(names: Sequence[str]) -> list[str]:
@@ -41,11 +42,12 @@ def read_dataset(spark: SparkSession, path: str, fmt: str | None = None) -> Data
     raise ValueError(f"unsupported file format {fmt!r}; expected one of {', '.join(FORMATS)}")
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = True, tokens: Sequence[str] = CSV_TOKENS) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, multi_line: bool = False, tokens: Sequence[str] = CSV_TOKENS) -> DataFrame:
     """CSV with a header line. Every column is read as text; a column whose cells are all numbers
     becomes double.
 
-    ``multi_line=False`` lets Spark split large files; quoted line breaks are then not allowed.
+    Spark splits large files; ``multi_line=True`` allows quoted line breaks and reads each file in one task. A line with
+    more cells than the header and a file with another header raise an error; shorter lines end in missing cells.
     """
     # Spark would rename repeated headers its own way, so the names come from the header line.
     options = {"quote": '"', "escape": '"', "encoding": "UTF-8", "multiLine": multi_line}
@@ -54,8 +56,34 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = True, tokens: Se
         return spark.createDataFrame([], T.StructType([]))
     names = dedup_names([v if v is not None else f"Unnamed: {i}" for i, v in enumerate(head)])
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    text = spark.read.schema(schema).options(header=True, enforceSchema=True, **options).csv(path)
-    return infer_storage(text, tokens)
+    if len(set(names)) == len(set(head)) and len(spark.read.text(path).inputFiles()) > 1:
+        named = spark.read.schema(schema).options(header=True, enforceSchema=False, **options).csv(path)
+        named.write.format("noop").mode("overwrite").save()  # compares the header of every file
+    # The spare column is filled by lines that are too long.
+    wide = T.StructType([*schema.fields, T.StructField(SPARE, T.StringType())])
+    text = spark.read.schema(wide).options(header=True, enforceSchema=True, **options).csv(path)
+    return infer_storage(within_header(text), tokens)
+
+
+def within_header(text: DataFrame) -> DataFrame:
+    """The table without its spare last column; the query fails where that column holds something."""
+    *names, spare = text.columns
+    line = F.concat_ws(",", *[F.coalesce(column(n), F.lit("")) for n in text.columns])
+    problem = F.raise_error(F.concat(F.lit("more cells than the header has names: "), line))
+    whole = column(spare).isNull()
+    first = column(names[0])
+    return text.select(F.when(whole, first).otherwise(problem.cast("string")).alias(names[0]), *map(column, names[1:]))
+
+
+def rows_from_lines(lines: DataFrame, header: str, tokens: Sequence[str] = CSV_TOKENS) -> DataFrame:
+    """The table of CSV lines (``value``) that are already in a DataFrame, by the rules of ``read_csv``."""
+    options = {"quote": '"', "escape": '"'}
+    many = header.count(",") + 1
+    parsed = lines.sparkSession.range(1).select(
+        F.from_csv(F.lit(header), ", ".join(f"c{i} string" for i in range(many)), options).alias("h")).first()["h"]
+    names = dedup_names([v if v is not None else f"Unnamed: {i}" for i, v in enumerate(parsed) if v is not None or i == 0])
+    cells = F.from_csv("value", ", ".join(f"c{i} string" for i in range(len(names) + 1)), options).alias("c")
+    return infer_storage(within_header(lines.select(cells).select("c.*").toDF(*names, SPARE)), tokens)
 
 
 def infer_storage(df: DataFrame, tokens: Sequence[str] = CSV_TOKENS, numbers_only_from_text: bool = True) -> DataFrame:
@@ -94,11 +122,25 @@ def read_features_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rows_from_features(documents: DataFrame) -> DataFrame:
-    """Rows of ``(features array<string>, data array<array<variant>>)`` documents as one table."""
+    """Rows of ``(features array<string>, data array<array<variant>>)`` documents as one table.
+
+    Each document's cells go by its own names: documents may list the columns in another order. All must have the
+    names of the first one. Short rows end in missing cells, longer ones raise an error.
+    """
     head = documents.select("features").first()
     names = dedup_names(head["features"] if head else [])
-    cells = documents.select(F.explode("data").alias("cells"))
-    at = [F.col("cells")[i] for i in range(len(names))]
+    raw = head["features"] if head else []
+    # A name's n-th occurrence in the first document stands where it occurs the n-th time in the others.
+    occurrence = {i: raw[:i].count(n) for i, n in enumerate(raw)}
+    where = F.array(*[F.get(F.filter(
+        F.transform("features", lambda x, i: F.when(x == F.lit(n), i)), lambda i: i.isNotNull()), F.lit(occurrence[k]))
+        for k, n in enumerate(raw)]) if raw else F.array().cast("array<int>")
+    strange = (F.size("features") != len(raw)) | F.exists("where", lambda i: i.isNull())
+    checked = F.when(strange, F.raise_error(F.lit("a document has other columns than the first one")).cast("array<int>")).otherwise(F.col("where"))
+    cells = documents.withColumn("where", where).select(checked.alias("where"), F.explode("data").alias("cells"))
+    too_long = F.raise_error(F.lit("a row has more cells than there are columns")).cast("array<variant>")
+    cells = cells.select("where", F.when(F.size("cells") > len(raw), too_long).otherwise(F.col("cells")).alias("cells"))
+    at = [F.get("cells", F.get("where", F.lit(i))) for i in range(len(names))]
     kinds = ("STRING", "BOOLEAN", "OBJECT", "ARRAY")
 
     def other(v):

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from gleanframe.functions.missing import column, is_nested
 from gleanframe.functions.numbers import render_number
 
-TABLES = ("evaluation", "profile", "summary", "cells", "curated", "clean", "corr_pairs", "lex_pairs")
+TABLES = ("evaluation", "profile", "values", "summary", "cells", "curated", "clean", "corr_pairs", "lex_pairs")
 
 
 def flat(df: DataFrame, missing: str = "?") -> DataFrame:
@@ -35,8 +35,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
 def write_reports(result, path: str, fmt: str = "parquet", name: str = "dataset", mode: str = "errorifexists") -> None:
     """Each table under ``<path>/<name>_<table>``, and the combined ``<path>/<name>_results`` JSON.
 
-    The combined document holds what is bounded by the number of columns; the row-level tables are
-    datasets beside it.
+    The combined document holds what is bounded by the number of columns; the row-level tables and the whole
+    domains (``values``) are datasets beside it.
     """
     for table in TABLES:
         write_table(getattr(result, table), f"{path}/{name}_{table}", fmt, mode)

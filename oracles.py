@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from gleanframe.functions.student import grubbs_critical
-
 SEED = 42
 
 EVENTS_MESSY = """
@@ -116,10 +114,8 @@ SELECT feature, CASE WHEN var_type IN ('string', 'unknown') OR lo IS NULL THEN N
 FROM facts LEFT JOIN distinct_center USING (feature)"""
 
 DOMAIN = """WITH {cells}, counts AS (SELECT feature, t, count(*) AS n FROM cells WHERE t IS NOT NULL AND NOT stored GROUP BY ALL),
-placed AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY t) AS rn,
-  row_number() OVER (PARTITION BY feature ORDER BY n DESC, t) AS rm FROM counts)
-SELECT feature, count(*) AS domain_size, max(CASE WHEN rm = 1 THEN t END) AS mode,
- string_agg(CASE WHEN rn <= 100 THEN t END, '|' ORDER BY t) AS domain FROM placed GROUP BY feature"""
+facts AS (SELECT feature, count(*) AS domain_size, arg_min(t, (-n, t)) AS mode FROM counts GROUP BY feature)
+SELECT feature, t AS value, n, domain_size, mode FROM counts JOIN facts USING (feature)"""
 
 
 # Outlier rules over ``cells``: each gives feature -> (score expression, limit) through CTEs.
@@ -174,9 +170,24 @@ SELECT feature, round_even(a, 2) AS mean, round_even(md, 2) AS median, round_eve
  round_even(m3 / m2 ** 1.5, 2) AS skewness, round_even(m4 / m2 ** 2 - 3, 2) AS kurtosis FROM k"""
 
 
-def grubbs_cells(largest: int = 1100) -> str:
-    critical = ", ".join(f"({n}, {grubbs_critical(n)!r})" for n in range(3, largest + 1))
-    return f"""WITH critical(n, g_crit) AS (VALUES {critical}),
+# Critical values for every n of the table, in SQL alone: the normal quantile by Acklam's rational approximation (relative
+# error 1e-9) and Student's t by Hill's algorithm 396 (six digits). Fixed values of those two publications.
+CRITICAL = """sizes AS (SELECT unnest(range(3, (SELECT count(*) FROM documents) + 1)) AS n),
+tails AS (SELECT n, CAST(n - 2 AS DOUBLE) AS f, 0.1 / n AS two, sqrt(-2 * ln(0.05 / n)) AS q, 1 / (n - 2.5) AS a FROM sizes),
+normal AS (SELECT *, 48 / (a * a) AS b, -(((((-7.784894002430293e-03 * q - 3.223964580411365e-01) * q - 2.400758277161838) * q - 2.549732539343734) * q
+  + 4.374664141464968) * q + 2.938163982698783) / ((((7.784695709041462e-03 * q + 3.224671290700398e-01) * q + 2.445134137142996) * q + 3.754408661907416) * q + 1) AS x FROM tails),
+third AS (SELECT *, ((20700 * a / b - 98) * a - 16) * a + 96.36 AS c FROM normal),
+fourth AS (SELECT *, ((94.5 / (b + c) - 3) / b + 1) * sqrt(a * pi() / 2) * f AS d FROM third),
+start AS (SELECT *, (d * two) ** (2 / f) AS y FROM fourth),
+far AS (SELECT *, (((0.05 * d * (-x) - 5) * (-x) - 7) * (-x) - 2) * (-x) + b + c + CASE WHEN f < 5 THEN 0.3 * (f - 4.5) * (-x + 0.6) ELSE 0 END AS e FROM start),
+bulk AS (SELECT *, a * ((((((0.4 * x * x + 6.3) * x * x + 36) * x * x + 94.5) / e - x * x - 3) / b + 1) * (-x)) ** 2 AS u FROM far),
+student AS (SELECT n, f, f * CASE WHEN y > 0.05 + a THEN CASE WHEN u > 0.002 THEN exp(u) - 1 ELSE 0.5 * u * u + u END
+  ELSE ((1 / (((f + 6) / (f * y) - 0.089 * d - 0.822) * (f + 2) * 3) + 0.5 / (f + 4)) * y - 1) * (f + 1) / (f + 2) + 1 / y END AS t2 FROM bulk),
+critical AS (SELECT n, (n - 1) / sqrt(n) * sqrt(t2 / (n - 2 + t2)) AS g_crit FROM student)"""
+
+
+def grubbs_cells() -> str:
+    return f"""WITH {CRITICAL},
 one AS (SELECT 1 AS side, doc_id, CAST(n_chars AS DOUBLE) AS v FROM documents
  UNION ALL SELECT -1, doc_id, -CAST(n_chars AS DOUBLE) FROM documents),
 center AS (SELECT side, avg(v) AS c FROM one GROUP BY side),
@@ -208,7 +219,8 @@ def impute_select(columns) -> str:
         (f"round({filled('', c, s)}, 6)" if s else filled("", c, s)) + f" AS {c}" for c, s in columns)
 
 
-def random_fill() -> str:
+def random_parts() -> tuple[str, str]:
+    """CTEs with the drawn values, and the joins that bring them to ``em``."""
     parts, joins = [], []
     for c, stored in IMPUTED_COLUMNS:
         own = f"CAST({c} AS DOUBLE)" if stored else text(c)
@@ -217,7 +229,27 @@ def random_fill() -> str:
         parts.append(f"m_{c} AS (SELECT event_id, {order} FROM em WHERE {own} IS NULL)")
         parts.append(f"d_{c} AS (SELECT event_id, v AS f_{c} FROM m_{c} JOIN o_{c} USING (k))")
         joins.append(f"LEFT JOIN d_{c} USING (event_id)")
-    return f"WITH {MESSY}, {', '.join(parts)} SELECT event_id, {impute_select(IMPUTED_COLUMNS)} FROM em {' '.join(joins)}"
+    return ", ".join(parts), " ".join(joins)
+
+
+def random_fill() -> str:
+    parts, joins = random_parts()
+    return f"WITH {MESSY}, {parts} SELECT event_id, {impute_select(IMPUTED_COLUMNS)} FROM em {joins}"
+
+
+def curated_random() -> str:
+    """Every column of the curated rows after random filling, with the statuses by the quartile rule as JSON."""
+    parts, joins = random_parts()
+    filled_columns = dict(IMPUTED_COLUMNS)
+    columns = []
+    for c, stored in MESSY_COLUMNS:
+        if c in filled_columns:
+            columns.append(f"{filled('random', c, stored)} AS {c}")
+        else:
+            columns.append(f"CAST({c} AS DOUBLE) AS {c}" if stored else f"{text(c)} AS {c}")
+    pairs = ", ',', ".join(f"""'"{c}":"', max(CASE WHEN feature = '{c}' THEN status END), '"'""" for c, _ in MESSY_COLUMNS)
+    return (f"{statuses('iqr')}, {parts}, st AS (SELECT event_id, concat('{{', {pairs}, '}}') AS status FROM statuses GROUP BY event_id) "
+            f"SELECT event_id, {', '.join(columns)}, status FROM em JOIN st USING (event_id) {joins}")
 
 
 def statuses(method: str) -> str:
@@ -282,7 +314,6 @@ FROM facts JOIN verdicts USING (feature) JOIN centers USING (feature) LEFT JOIN
 def oracle_sql() -> dict[str, str]:
     messy_facts = facts(MESSY, "em", MESSY_COLUMNS)
     label_columns = [("quality", True), ("toxic", True)]
-    names = ", ".join(f"({i}, '{c}')" for i, c in enumerate(DERIVED_COLUMNS))
     kept = [c for c, _ in MESSY_COLUMNS if c not in ("value_bad", "empty_col")]
     clean_columns = ", ".join(
         f"{text(c)} AS {c}" if c in ("event_type", "type_fair", "mixed", "code_text")
@@ -328,12 +359,15 @@ FROM cells WHERE t IS NOT NULL GROUP BY 1, 2""",
         "corr_spearman": pair_report(DERIVED_COLUMNS, SPEARMAN, correlation, 6),
         "corr_kendall": pair_report(KENDALL_COLUMNS, KENDALL, correlation, 6),
         "covariance_pairs": pair_report(DERIVED_COLUMNS, COVARIANCE, "value >= 0.9 OR value <= -1", 2),
-        "similar_names": f"""WITH n(o, name) AS (VALUES {names}), c AS (SELECT o, name, regexp_replace(regexp_replace(name, '\\(.+?\\)', '', 'g'), ' $', '') AS s FROM n)
-SELECT a.name AS f1, b.name AS f2, round(jaro_similarity(a.s, b.s), 6) AS value FROM c a JOIN c b ON a.o > b.o WHERE jaro_similarity(a.s, b.s) >= 0.92""",
         "similar_strings": """WITH d AS (SELECT DISTINCT p_name AS s FROM part WHERE trim(p_name) NOT IN ('?', '', 'None', 'nan', 'NaN'))
 SELECT a.s AS f1, b.s AS f2, round(jaro_similarity(a.s, b.s), 6) AS value FROM d a JOIN d b ON a.s > b.s WHERE jaro_similarity(a.s, b.s) >= 0.92""",
         "features_json_read": f"WITH {MESSY} SELECT CAST(event_id AS DOUBLE) AS event_id, value_fair, event_type, code_text FROM em",
-        "dedup_headers": "SELECT event_id AS a1, user_id AS b, value AS a2 FROM events",
+        "dedup_headers": "SELECT CAST(event_id AS DOUBLE) AS a1, CAST(user_id AS DOUBLE) AS b, 'z' AS a2 FROM events",
+        "csv_read": f"""WITH {MESSY} SELECT CAST(event_id AS DOUBLE) AS id, value_fair AS value1,
+ concat(event_type, ' "', event_id, '", x') AS note, CASE WHEN event_id % 3 <> 0 THEN 7.0 END AS value2 FROM em""",
+        "bracketed_values": "SELECT p_partkey, concat(' ', p_name, '  ') AS name FROM part",
+        "similarity_none": "SELECT name AS f1, name AS f2, 0.0 AS value FROM (SELECT CAST(event_type AS VARCHAR) AS name FROM events) WHERE FALSE",
+        "curate_events_table": curated_random(),
         "number_render": f"""WITH {MESSY} SELECT event_id, CASE WHEN value_fair IS NULL THEN '?' WHEN value_fair % 1 = 0 THEN CAST(CAST(value_fair AS BIGINT) AS VARCHAR)
  ELSE CAST(value_fair AS VARCHAR) END AS value_fair, event_type FROM em""",
         "curate_events": verdicts("modified_z", MESSY, "em", MESSY_COLUMNS) + REPORT_FACTS,

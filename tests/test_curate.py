@@ -5,22 +5,22 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import GOLDEN_NAMES, GOLDEN_ROWS
+from conftest import PROBE_NAMES, PROBE_ROWS
 from gleanframe import curate, profile, read_dataset, write_reports
 from gleanframe.operators.impute import impute
 from gleanframe.operators.outliers import fit_rules, flag_outliers
 from gleanframe.operators.status import cell_status, clean, curated
-from gleanframe.sources.readers import dedup_names
+from gleanframe.sources.readers import dedup_names, read_csv, rows_from_lines
 
 
-def test_golden_mean_mode(golden, golden_profile):
-    got = impute(golden, golden_profile, method="mean_mode").orderBy("row").collect()
+def test_probe_mean_mode(probe, probe_profile):
+    got = impute(probe, probe_profile, method="mean_mode").orderBy("row").collect()
     for i, r in enumerate(got):
-        for j, n in enumerate(GOLDEN_NAMES):
-            if n == "num_missing_feat" and i in (4, 6, 9):
-                assert abs(r[n] - 1.6571428571) < 1e-9
+        for j, n in enumerate(PROBE_NAMES):
+            if n == "salinity" and i in (2, 8):
+                assert abs(r[n] - 35.025) < 1e-9
             else:
-                assert r[n] == GOLDEN_ROWS[i][j]
+                assert r[n] == PROBE_ROWS[i][j]
 
 
 @pytest.fixture(scope="module")
@@ -71,41 +71,37 @@ def test_random_leaves_columns_with_too_few_values(spark):
     assert impute(df, p, ["k"], "random").filter("x IS NULL").count() == 6
 
 
-def test_golden_status(golden, golden_profile):
-    rules = fit_rules(golden, golden_profile, "iqr")
-    rows = cell_status(golden, golden_profile, rules, ["row"], long=True, imputation="mean_mode").collect()
+def test_probe_status(probe, probe_profile):
+    rules = fit_rules(probe, probe_profile, "iqr")
+    rows = cell_status(probe, probe_profile, rules, ["row"], long=True, imputation="mean_mode").collect()
     got = {(r["feature"], r["row"]): r["status"] for r in rows}
-    assert got[("num_feat1", 4)] == "outlier" and got[("num_missing_feat", 4)] == "imputed"
-    assert got[("mixed_data_types", 1)] == "incompatible" and got[("mixed_data_types", 0)] == "missing"
-    assert ("mixed_data_types", 6) not in got and got[("bad_feat", 0)] == "missing"
-    assert Counter(got.values()) == {"outlier": 5, "imputed": 3, "missing": 36, "incompatible": 3}
-    wide = cell_status(golden, golden_profile, rules, ["row"], imputation="mean_mode").collect()
-    assert all(r["_status"][n] == got.get((n, r["row"]), "ok") for r in wide for n in GOLDEN_NAMES)
+    assert got[("sonar_depth_cm", 4)] == "outlier" and got[("salinity", 8)] == "imputed"
+    assert got[("log_entry", 10)] == "incompatible" and got[("log_entry", 0)] == "missing"
+    assert ("log_entry", 7) not in got and got[("unused", 0)] == "missing"
+    assert Counter(got.values()) == {"outlier": 5, "imputed": 2, "missing": 48, "incompatible": 3}
+    wide = cell_status(probe, probe_profile, rules, ["row"], imputation="mean_mode").collect()
+    assert all(r["_status"][n] == got.get((n, r["row"]), "ok") for r in wide for n in PROBE_NAMES)
 
 
-def test_status_from_forest_cells(golden, golden_profile):
-    cells = flag_outliers(golden, golden_profile, ["row"], "forest_each", seed=2)
-    rows = cell_status(golden, golden_profile, cells, ["row"], long=True).collect()
+def test_status_from_forest_cells(probe, probe_profile):
+    cells = flag_outliers(probe, probe_profile, ["row"], "forest_each", seed=2)
+    rows = cell_status(probe, probe_profile, cells, ["row"], long=True).collect()
     flagged = {(r["feature"], r["row"]) for r in cells.collect()}
     assert {(r["feature"], r["row"]) for r in rows if r["status"] == "outlier"} == flagged
 
 
-def test_clean_and_curated(golden, golden_profile):
-    rules = fit_rules(golden, golden_profile, "zscore")
-    table = curated(golden, golden_profile, rules, ["row"])
-    kept = clean(golden, golden_profile)
-    assert kept.columns == ["row", *GOLDEN_NAMES[:6]] and set(kept.columns) <= set(table.columns)
-    assert [r["row"] for r in kept.filter("num_missing_feat IS NULL").orderBy("row").collect()] == [4, 6, 9]
-    assert clean(golden, golden_profile, imputed=True).filter("num_missing_feat IS NULL").count() == 0
-    fourth = table.filter("row = 4").first()
-    assert fourth["_status"]["num_missing_feat"] == "imputed" and fourth["num_missing_feat"] > 1.6
+def test_clean_and_curated(probe, probe_profile):
+    rules = fit_rules(probe, probe_profile, "zscore")
+    table = curated(probe, probe_profile, rules, ["row"])
+    kept = clean(probe, probe_profile)
+    assert kept.columns == ["row", *PROBE_NAMES[:6]] and set(kept.columns) <= set(table.columns)
+    assert [r["row"] for r in kept.filter("salinity IS NULL").orderBy("row").collect()] == [2, 8]
+    assert clean(probe, probe_profile, imputed=True).filter("salinity IS NULL").count() == 0
+    third = table.filter("row = 2").first()
+    assert third["_status"]["salinity"] == "imputed" and third["salinity"] > 35
 
 
-CSV = """num_feat1,num_feat2,text_cat_feat,text_feat,bool_feat,num_missing_feat,num_missing_cat_feat,text_missing_cat_feat,text_missing_feat,bool_missing_feat,mixed_data_types,bad_feat
-"""
-
-
-def write_golden(folder: Path) -> tuple[str, str]:
+def write_probe(folder: Path) -> tuple[str, str]:
     def cell(v):
         if v is None:
             return ""
@@ -113,15 +109,15 @@ def write_golden(folder: Path) -> tuple[str, str]:
         return '"' + s.replace('"', '""') + '"' if '"' in s else s
 
     csv_path, json_path = folder / "t.csv", folder / "t.json"
-    csv_path.write_text(CSV + "".join(",".join(cell(v) for v in r) + "\n" for r in GOLDEN_ROWS))
-    json_path.write_text(json.dumps({"features": GOLDEN_NAMES, "data": [list(r) for r in GOLDEN_ROWS]}, indent=1))
+    csv_path.write_text(",".join(PROBE_NAMES) + "\n" + "".join(",".join(cell(v) for v in r) + "\n" for r in PROBE_ROWS))
+    json_path.write_text(json.dumps({"features": PROBE_NAMES, "data": [list(r) for r in PROBE_ROWS]}, indent=1))
     return str(csv_path), str(json_path)
 
 
-def test_csv_and_json_give_the_same_profile(spark, golden_profile, tmp_path):
-    csv_path, json_path = write_golden(tmp_path)
-    facts = ("feature", "var_type", "measure_type", "n_missing", "state", "min", "max", "center", "n_incompatible", "domain")
-    want = golden_profile.select(*facts).collect()
+def test_csv_and_json_give_the_same_profile(spark, probe_profile, tmp_path):
+    csv_path, json_path = write_probe(tmp_path)
+    facts = ("feature", "var_type", "measure_type", "n_missing", "state", "min", "max", "center", "n_incompatible", "domain_size", "mode")
+    want = probe_profile.select(*facts).collect()
     assert profile(read_dataset(spark, csv_path)).select(*facts).collect() == want
     assert profile(read_dataset(spark, json_path)).select(*facts).collect() == want
 
@@ -130,7 +126,7 @@ def test_readers(spark, tmp_path):
     assert dedup_names(["a", "b", "a"]) == ["a1", "b", "a2"]
     p = tmp_path / "d.csv"
     p.write_text('a,b,a\n1,"line\nbreak",x\n2,"quote "" here",NA\n')
-    df = read_dataset(spark, str(p))
+    df = read_csv(spark, str(p), multi_line=True)
     assert df.columns == ["a1", "b", "a2"] and df.schema["a1"].dataType.simpleString() == "double"
     rows = df.orderBy("a1").collect()
     assert rows[0]["b"] == "line\nbreak" and rows[1]["b"] == 'quote " here' and rows[1]["a2"] is None
@@ -145,30 +141,72 @@ def test_readers(spark, tmp_path):
         read_dataset(spark, "table.xls")
 
 
+def test_lines_that_don_t_fit_the_header(spark, tmp_path):
+    (tmp_path / "long.csv").write_text("a,b\n1,x\n2,y,EXTRA\n")
+    with pytest.raises(Exception, match="more cells"):
+        read_dataset(spark, str(tmp_path / "long.csv")).collect()
+    (tmp_path / "short.csv").write_text("a,b\n1,x\n2\n")
+    assert sorted(map(tuple, read_dataset(spark, str(tmp_path / "short.csv")).collect())) == [(1.0, "x"), (2.0, None)]
+    folder = tmp_path / "two"
+    folder.mkdir()
+    (folder / "1.csv").write_text("a,b\n1,x\n")
+    (folder / "2.csv").write_text("b,a\ny,2\n")
+    with pytest.raises(Exception):
+        read_dataset(spark, str(folder), "csv").collect()
+    lines = spark.createDataFrame([('1,"x, y",p',), ("2,NA,q",)], "value string")
+    df = rows_from_lines(lines, "a,b,a")
+    assert df.columns == ["a1", "b", "a2"] and sorted(map(tuple, df.collect())) == [(1.0, "x, y", "p"), (2.0, None, "q")]
+
+
+def test_documents_with_other_orders_and_lengths(spark, tmp_path):
+    def read(*documents):
+        folder = tmp_path / str(len(list(tmp_path.iterdir())))
+        folder.mkdir()
+        for i, d in enumerate(documents):
+            (folder / f"{i}.json").write_text(json.dumps(d))
+        return read_dataset(spark, str(folder), "json")
+
+    df = read({"features": ["a", "b"], "data": [[1, "x"], [2]]}, {"features": ["b", "a"], "data": [["y", 3]]})
+    assert sorted(map(tuple, df.select("a", "b").collect())) == [(1.0, "x"), (2.0, None), (3.0, "y")]
+    for other in ({"features": ["a", "c"], "data": [[1, 2]]}, {"features": ["a", "b"], "data": [[1, "x", 5]]}):
+        with pytest.raises(Exception):
+            read({"features": ["a", "b"], "data": [[1, "x"]]}, other).collect()
+
+
+def test_filled_whole_numbers_keep_every_digit(spark):
+    big = [9007199254740993, 9007199254740995, None, 9007199254740997, 9007199254740999]
+    df = spark.createDataFrame(list(enumerate(big)), "k int, x long")
+    p = profile(df, columns=["x"])
+    for method in ("mean_mode", "zeros", "random"):
+        got = {r["k"]: r["x"] for r in impute(df, p, ["k"], method).collect()}
+        assert all(got[k] == v for k, v in enumerate(big) if v is not None) and got[2] is not None
+    assert impute(df, p, ["k"], "random").schema["x"].dataType.simpleString() == "bigint"
+
+
 @pytest.mark.parametrize("fmt", ["parquet", "csv", "json"])
-def test_curate_and_reports(spark, golden, tmp_path, fmt):
-    nested = golden.withColumn("tags", F.array(F.lit(1)))
+def test_curate_and_reports(spark, probe, tmp_path, fmt):
+    nested = probe.withColumn("tags", F.array(F.lit(1)))
     result = curate(nested, ["row"], imputation=1, outlier_method=2, similarity=2)
     assert result.skipped == {"tags": "nested type array<int>"}
-    assert result.summary.first()["n_outliers"] == 3
-    assert [r["f1"] for r in result.corr_pairs.collect()] == ["num_feat2"]
-    assert [r["f1"] for r in result.lex_pairs.collect()] == ["num_feat2"]
-    write_reports(result, str(tmp_path), fmt, name="golden")
+    assert result.summary.first()["n_outliers"] == 5
+    assert [r["f1"] for r in result.corr_pairs.collect()] == ["sonar_depth_mm"]
+    assert [r["f1"] for r in result.lex_pairs.collect()] == ["sonar_depth_mm"]
+    write_reports(result, str(tmp_path), fmt, name="probe")
     report = {r["feature"]: r for r in result.evaluation.collect()}
-    assert report["num_feat1"]["value_range"] == "[0.1, 100]" and report["num_feat1"]["center"] == "15.27"
-    assert report["text_cat_feat"]["value_range"] == "[mild, none, severe]" and report["text_cat_feat"]["center"] == "-"
-    assert report["bad_feat"]["value_range"] == "[?, ?]" and report["num_feat1"]["outliers"] == "yes"
-    document = json.loads(spark.read.text(f"{tmp_path}/golden_results").first()[0])
+    assert report["sonar_depth_cm"]["value_range"] == "[3.5, 90]" and report["sonar_depth_cm"]["center"] == "16.04"
+    assert report["sky"]["value_range"] == "[clear, cloudy, rain]" and report["sky"]["center"] == "-"
+    assert report["unused"]["value_range"] == "[?, ?]" and report["sonar_depth_cm"]["outliers"] == "yes"
+    document = json.loads(spark.read.text(f"{tmp_path}/probe_results").first()[0])
     assert document["summary"][0]["n_features"] == 12 and len(document["profile"]) == 12
-    back = spark.read.format(fmt).option("header", True).load(f"{tmp_path}/golden_curated")
-    assert back.count() == 10 and {"row", "num_feat1", "_status"} <= set(back.columns)
+    back = spark.read.format(fmt).option("header", True).load(f"{tmp_path}/probe_curated")
+    assert back.count() == 12 and {"row", "salinity", "_status"} <= set(back.columns)
 
 
-def test_defaults(golden):
-    result = curate(golden, ["row"])
+def test_defaults(probe):
+    result = curate(probe, ["row"])
     assert result.corr_pairs.count() == 0 and result.lex_pairs.count() == 0
-    assert result.summary.first()["n_outliers"] == 0
-    assert result.curated.filter("num_missing_feat IS NULL").count() == 3
+    assert result.summary.first()["n_outliers"] == 1
+    assert result.curated.filter("salinity IS NULL").count() == 2
 
 
 def rounded(rows):
@@ -176,8 +214,8 @@ def rounded(rows):
     return [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows]
 
 
-def test_layout_does_not_matter(golden):
-    one, two = (curate(d, ["row"], "random", "iqr", "spearman", seed=4) for d in (golden.coalesce(1), golden.repartition(6)))
+def test_layout_does_not_matter(probe):
+    one, two = (curate(d, ["row"], "random", "iqr", "spearman", seed=4) for d in (probe.coalesce(1), probe.repartition(6)))
     for t in ("profile", "summary", "corr_pairs", "lex_pairs"):
         assert rounded(getattr(one, t).collect()) == rounded(getattr(two, t).collect())
     for t in ("cells", "curated", "clean"):

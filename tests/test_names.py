@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import GOLDEN_NAMES
+from conftest import PROBE_NAMES
 from gleanframe.functions.text import clean_name, jaro_batch
 from gleanframe.operators import names
 from gleanframe.operators.names import similar_names, similar_strings
@@ -40,9 +40,9 @@ def test_jaro_batch():
     assert abs(jaro("martha", "marhta") - 0.944444) < 1e-6
 
 
-def test_golden_names(golden):
-    got = [(r["f1"], r["f2"], round(r["value"], 6)) for r in similar_names(golden, columns=GOLDEN_NAMES).collect()]
-    assert got == [("num_feat2", "num_feat1", 0.925926)]
+def test_probe_names(probe):
+    got = [(r["f1"], r["f2"], round(r["value"], 6)) for r in similar_names(probe, columns=PROBE_NAMES).collect()]
+    assert got == [("sonar_depth_mm", "sonar_depth_cm", 0.952381)]
 
 
 def test_brackets_do_not_count(spark):

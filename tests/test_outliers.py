@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import GOLDEN_NAMES
+from conftest import PROBE_NAMES
 from gleanframe.functions.student import grubbs_critical
 from gleanframe.operators import grubbs
 from gleanframe.operators.forest import _step_function, average_path, forest_depths, grow_forest
@@ -15,29 +15,30 @@ from gleanframe.operators.profile import profile, summarise
 from gleanframe.operators.quantiles import exact_quantiles
 from gleanframe.operators.running import hot_lookup, running_totals
 
-GOLDEN_FLAGS = {
-    "zscore": set(),
-    "modified_z": {("num_feat1", 4), ("num_feat2", 4), ("num_missing_feat", 5)},
-    "iqr": {("num_feat1", 2), ("num_feat1", 4), ("num_feat2", 2), ("num_feat2", 4), ("num_missing_feat", 5)},
-    "grubbs": {("num_feat1", 2), ("num_feat1", 4), ("num_feat2", 2), ("num_feat2", 4), ("num_missing_feat", 5)},
+FAR = {("sonar_depth_cm", 4), ("sonar_depth_cm", 9), ("sonar_depth_mm", 4), ("sonar_depth_mm", 9), ("salinity", 6)}
+PROBE_FLAGS = {
+    "zscore": {("sonar_depth_mm", 4)},
+    "modified_z": FAR,
+    "iqr": FAR,
+    "grubbs": FAR,
     "none": set(),
 }
 
 
-@pytest.mark.parametrize("method", GOLDEN_FLAGS)
-def test_golden_cells(golden, golden_profile, method):
-    cells = flag_outliers(golden, golden_profile, ["row"], method).collect()
-    assert {(r["feature"], r["row"]) for r in cells} == GOLDEN_FLAGS[method]
+@pytest.mark.parametrize("method", PROBE_FLAGS)
+def test_probe_cells(probe, probe_profile, method):
+    cells = flag_outliers(probe, probe_profile, ["row"], method).collect()
+    assert {(r["feature"], r["row"]) for r in cells} == PROBE_FLAGS[method]
 
 
-def test_golden_verdicts(golden, golden_profile):
-    v = {r["feature"]: r for r in outlier_verdicts(golden, golden_profile, "modified_z").collect()}
-    assert v["num_feat1"]["outlier_verdict"] == "yes" and v["num_missing_cat_feat"]["outlier_verdict"] == "no"
-    for f in ("bad_feat", "text_feat", "mixed_data_types"):
+def test_probe_verdicts(probe, probe_profile):
+    v = {r["feature"]: r for r in outlier_verdicts(probe, probe_profile, "modified_z").collect()}
+    assert v["sonar_depth_cm"]["outlier_verdict"] == "yes" and v["berths"]["outlier_verdict"] == "no"
+    for f in ("unused", "pier", "log_entry"):
         assert v[f]["outlier_verdict"] == "not-applicable"
-    filled = with_verdicts(golden_profile, outlier_verdicts(golden, golden_profile, "modified_z"))
+    filled = with_verdicts(probe_profile, outlier_verdicts(probe, probe_profile, "modified_z"))
     s = summarise(filled).first()
-    assert (s["n_outliers"], s["pct_outliers"]) == (3, 2.5)
+    assert (s["n_outliers"], s["pct_outliers"]) == (5, 3.47)
 
 
 def test_mad_rule(spark):
@@ -180,6 +181,8 @@ def test_forest(cloud, method):
     cells = flag_outliers(cloud, p, ["k"], method, seed=1).collect()
     assert {(r["feature"], r["k"]) for r in cells} >= {("a", 17), ("b", 17)}
     assert "holes" not in {r["feature"] for r in cells}
+    stored = {r["k"]: r for r in cloud.collect()}
+    assert all(r["value"] == str(stored[r["k"]][r["feature"]]) for r in cells)
     rows = {r["k"] for r in cells}
     if method == "forest_joint":
         assert len(rows) <= 20 and len(cells) == 3 * len(rows)

@@ -2,80 +2,89 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import GOLDEN_NAMES
+from conftest import PROBE_NAMES
 from gleanframe.functions.numbers import parse_number, render_number, token_kind
 from gleanframe.operators.profile import (
-    describe_feature, feature_state, features_by_state, incompatible_cells, named_like_date,
+    describe_feature, feature_state, feature_values, features_by_state, incompatible_cells, named_like_date,
     profile, summarise,
 )
+from gleanframe.operators.report import evaluation_report
 
 # feature: var_type, measure, missing, state, min, max, centre, incompatible
 EXPECTED = {
-    "num_feat1": ("float", "numeric", 0, "good", 0.1, 100.0, 15.27, 0),
-    "num_feat2": ("float", "numeric", 0, "good", 0.2, 32.5, 8.58, 0),
-    "text_cat_feat": ("string", "categorical", 0, "good", None, None, None, 0),
-    "text_feat": ("string", "categorical", 0, "good", None, None, None, 0),
-    "bool_feat": ("string", "categorical", 0, "good", None, None, None, 0),
-    "num_missing_feat": ("float", "numeric", 3, "fair", 0.1, 5.1, 1.66, 0),
-    "num_missing_cat_feat": ("int", "categorical", 5, "bad", 1.0, 4.0, 2.0, 0),
-    "text_missing_cat_feat": ("string", "categorical", 5, "bad", None, None, None, 0),
-    "text_missing_feat": ("string", "categorical", 4, "bad", None, None, None, 0),
-    "bool_missing_feat": ("string", "categorical", 6, "bad", None, None, None, 0),
-    "mixed_data_types": ("unknown", "unknown", 6, "bad", None, None, None, 3),
-    "bad_feat": ("int", "numeric", 10, "bad", None, None, None, 0),
+    "sonar_depth_cm": ("float", "numeric", 0, "good", 3.5, 90.0, 16.04, 0),
+    "sonar_depth_mm": ("float", "numeric", 0, "good", 3.0, 88.0, 15.56, 0),
+    "sky": ("string", "categorical", 0, "good", None, None, None, 0),
+    "pier": ("string", "categorical", 0, "good", None, None, None, 0),
+    "tide": ("string", "categorical", 0, "good", None, None, None, 0),
+    "salinity": ("float", "numeric", 2, "fair", 30.5, 60.0, 35.02, 0),
+    "berths": ("int", "categorical", 6, "bad", 3.0, 7.0, 4.0, 0),
+    "cargo": ("string", "categorical", 5, "bad", None, None, None, 0),
+    "remark": ("string", "categorical", 8, "bad", None, None, None, 0),
+    "signal": ("string", "categorical", 9, "bad", None, None, None, 0),
+    "log_entry": ("unknown", "unknown", 8, "bad", None, None, None, 3),
+    "unused": ("int", "numeric", 12, "bad", None, None, None, 0),
 }
 
 
-def test_golden_profile(golden_profile):
+def test_probe_profile(probe_profile):
     got = {
         r["feature"]: (r["var_type"], r["measure_type"], r["n_missing"], r["state"], r["min"], r["max"],
                        r["center"], r["n_incompatible"])
-        for r in golden_profile.collect()
+        for r in probe_profile.collect()
     }
     assert got == EXPECTED
 
 
-def test_golden_summary(golden_profile):
-    s = summarise(golden_profile).first()
-    assert (s["n_features"], s["n_instances"], s["n_discrete"], s["n_continuous"], s["n_unknown"]) == (12, 10, 7, 4, 1)
-    assert (s["n_missing"], s["pct_missing"]) == (39, 32.5)
+def test_probe_summary(probe_profile):
+    s = summarise(probe_profile).first()
+    assert (s["n_features"], s["n_instances"], s["n_discrete"], s["n_continuous"], s["n_unknown"]) == (12, 12, 7, 4, 1)
+    assert (s["n_missing"], s["pct_missing"]) == (50, 34.72)
     assert (s["n_good"], s["pct_good"], s["n_fair"], s["pct_fair"], s["n_bad"], s["pct_bad"]) == (5, 41.7, 1, 8.3, 6, 50.0)
 
 
-def test_states_and_lists(golden, golden_profile):
-    quick = {r["feature"]: (r["n_missing"], r["state"]) for r in feature_state(golden, columns=GOLDEN_NAMES).collect()}
+def test_states_and_lists(probe, probe_profile):
+    quick = {r["feature"]: (r["n_missing"], r["state"]) for r in feature_state(probe, columns=PROBE_NAMES).collect()}
     assert quick == {f: (v[2], v[3]) for f, v in EXPECTED.items()}
-    lists = {r["state"]: r["features"] for r in features_by_state(golden_profile).collect()}
-    assert lists["good"] == GOLDEN_NAMES[:5] and lists["fair"] == ["num_missing_feat"] and len(lists["bad"]) == 6
+    lists = {r["state"]: r["features"] for r in features_by_state(probe_profile).collect()}
+    assert lists["good"] == PROBE_NAMES[:5] and lists["fair"] == ["salinity"] and len(lists["bad"]) == 6
 
 
-def test_incompatible(golden, golden_profile):
-    rows = incompatible_cells(golden, golden_profile, ["row"]).collect()
-    assert sorted(r["row"] for r in rows) == [1, 4, 8]
-    reported = {r["feature"]: r["incompatibility"] for r in golden_profile.collect()}
-    assert reported["mixed_data_types"] == "yes, unknown type of data"
-    assert reported["bad_feat"] == "yes, bad feature" and reported["num_feat1"] == "no"
+def test_incompatible(probe, probe_profile):
+    rows = incompatible_cells(probe, probe_profile, ["row"]).collect()
+    assert sorted((r["row"], r["value"]) for r in rows) == [(2, "#"), (4, "12/31"), (10, "wind NE")]
+    reported = {r["feature"]: r["incompatibility"] for r in probe_profile.collect()}
+    assert reported["log_entry"] == "yes, unknown type of data"
+    assert reported["unused"] == "yes, bad feature" and reported["sonar_depth_cm"] == "no"
 
 
-def test_strict_null_typing(golden):
-    p = {r["feature"]: r for r in profile(golden, columns=GOLDEN_NAMES, strict_null_typing=True).collect()}
-    for name, n in (("text_missing_cat_feat", 5), ("text_missing_feat", 6), ("bool_missing_feat", 4)):
+def test_strict_null_typing(probe):
+    p = {r["feature"]: r for r in profile(probe, columns=PROBE_NAMES, strict_null_typing=True).collect()}
+    for name, n in (("cargo", 7), ("remark", 4), ("signal", 3)):
         assert p[name]["var_type"] == "unknown" and p[name]["n_incompatible"] == n
-    assert p["text_feat"]["var_type"] == "string"
+    assert p["pier"]["var_type"] == "string"
 
 
-def test_domain(golden_profile):
-    p = {r["feature"]: r for r in golden_profile.collect()}
-    assert p["text_cat_feat"]["domain"] == ["mild", "none", "severe"]
-    assert p["text_cat_feat"]["mode"] == "severe" and p["text_feat"]["mode"] == "greece"
-    assert p["text_feat"]["domain_size"] == 6
+def test_domain(probe, probe_profile):
+    p = {r["feature"]: r for r in probe_profile.collect()}
+    assert (p["sky"]["domain_size"], p["sky"]["mode"]) == (3, "clear") and (p["pier"]["domain_size"], p["pier"]["mode"]) == (6, "north")
+    values = {(r["feature"], r["value"]): r["n"] for r in feature_values(probe, PROBE_NAMES).collect()}
+    assert {v: n for (f, v), n in values.items() if f == "sky"} == {"clear": 6, "cloudy": 3, "rain": 3}
+    assert sum(f == "log_entry" for f, _ in values) == 4 and not any(f in ("unused", "berths") for f, _ in values)
 
 
-def test_domain_is_cut(spark):
-    df = spark.range(1000).select(F.format_string("v%04d", F.col("id") % 300).alias("t"))
-    r = profile(df, max_domain=10).first()
-    assert r["domain"] == [f"v{i:04d}" for i in range(10)]
-    assert r["domain_size"] == 300 and r["domain_truncated"]
+def test_domain_is_whole(spark):
+    df = spark.range(1000).select(F.format_string("v%04d", F.col("id") % 250).alias("t"))
+    assert profile(df).first()["domain_size"] == 250
+    assert sorted(r["value"] for r in feature_values(df).collect()) == [f"v{i:04d}" for i in range(250)]
+
+
+@pytest.mark.parametrize("size", [1, 99, 100, 250])
+def test_report_lists_all_values_or_says_so(spark, size):
+    df = spark.range(500).select(F.format_string("v%03d", F.col("id") % size).alias("t"))
+    (row,) = evaluation_report(profile(df), feature_values(df)).collect()
+    listed = "[" + ", ".join(f"v{i:03d}" for i in range(size)) + "]"
+    assert row["value_range"] == (listed if size < 100 else "Too large to display!!")
 
 
 @pytest.mark.parametrize("text,kind", [
@@ -99,7 +108,7 @@ def test_edges(spark):
     empty = spark.createDataFrame([], "a double, b string")
     assert [r["state"] for r in profile(empty).collect()] == ["bad", "bad"]
     one = profile(spark.createDataFrame([(1.5, "x")], "a double, b string")).collect()
-    assert one[0]["center"] == 1.5 and one[1]["domain"] == ["x"]
+    assert one[0]["center"] == 1.5 and (one[1]["domain_size"], one[1]["mode"]) == (1, "x")
     with_inf = profile(spark.createDataFrame([(1.0,), (float("inf"),)], "a double")).first()
     assert with_inf["var_type"] == "float" and with_inf["max"] == float("inf")
 

@@ -4,31 +4,31 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import GOLDEN_NAMES
+from conftest import PROBE_NAMES
 from gleanframe.operators import correlation
 from gleanframe.operators.correlation import correlated_pairs, pair_values
 from gleanframe.operators.moments import pair_moments
 
-GOLDEN = {
-    "spearman": {("num_feat2", "num_feat1"): 0.996965},
-    "pearson": {("num_feat2", "num_feat1"): 0.909798},
-    "kendall": {("num_feat2", "num_feat1"): 0.988826},
-    "covariance": {("num_feat2", "num_feat1"): 288.558843, ("num_missing_feat", "num_feat1"): 3.061286,
-                   ("num_missing_feat", "num_feat2"): 2.905571},
+PROBE = {
+    "spearman": {("sonar_depth_mm", "sonar_depth_cm"): 0.993007},
+    "pearson": {("sonar_depth_mm", "sonar_depth_cm"): 0.999355},
+    "kendall": {("sonar_depth_mm", "sonar_depth_cm"): 0.969697},
+    "covariance": {("sonar_depth_mm", "sonar_depth_cm"): 647.644886, ("salinity", "sonar_depth_cm"): -48.769444,
+                   ("salinity", "sonar_depth_mm"): -45.893056},
     "none": {},
 }
-UNREPORTED = {"spearman": (0.376163, 0.327327), "pearson": (0.238355, 0.227865), "kendall": (0.307794, 0.250313)}
+UNREPORTED = {"spearman": (-0.10303, -0.139394), "pearson": (-0.196268, -0.191437), "kendall": (0.022222, -0.022222)}
 
 
-@pytest.mark.parametrize("method", GOLDEN)
-def test_golden_pairs(golden, method):
-    got = {(r["f1"], r["f2"]): round(r["value"], 6) for r in correlated_pairs(golden, method, GOLDEN_NAMES).collect()}
-    assert got == GOLDEN[method]
+@pytest.mark.parametrize("method", PROBE)
+def test_probe_pairs(probe, method):
+    got = {(r["f1"], r["f2"]): round(r["value"], 6) for r in correlated_pairs(probe, method, PROBE_NAMES).collect()}
+    assert got == PROBE[method]
     if method in UNREPORTED:
-        values = pair_values(golden, method, GOLDEN_NAMES)
-        assert "num_missing_cat_feat" not in {n for p in values for n in p}
-        for f, v in zip(("num_feat1", "num_feat2"), UNREPORTED[method]):
-            assert abs(values[(f, "num_missing_feat")] - v) < 1e-6
+        values = pair_values(probe, method, PROBE_NAMES)
+        assert "berths" not in {n for p in values for n in p}
+        for f, v in zip(("sonar_depth_cm", "sonar_depth_mm"), UNREPORTED[method]):
+            assert abs(values[(f, "salinity")] - v) < 1e-6
 
 
 def ranks(v):
