@@ -137,6 +137,13 @@ def _two_column_outliers(method):
     return run
 
 
+def outlier_cells(spark, folder):
+    """The flagged cells of every column of the whole table."""
+    df = messy(spark, folder)
+    cells = gf.flag_outliers(df, messy_profile(spark, folder), KEY, "iqr")
+    return cells.select("event_id", "feature", F.col("value").cast("double").alias("value"))
+
+
 def _label_verdicts(method):
     def run(spark, folder):
         df = table(spark, folder, "labels")
@@ -279,7 +286,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
         missing_normalised, token_kinds, feature_state, feature_types, feature_range, feature_center, feature_domain,
         incompatible_cells, incompatibility_report, features_by_state, dataset_summary, evaluation_report, describe_feature,
-        outliers_verdicts, outliers_grubbs_step, outliers_grubbs, cell_status, curated_table, clean_table,
+        outlier_cells, outliers_verdicts, outliers_grubbs_step, outliers_grubbs, cell_status, curated_table, clean_table,
         similar_strings, features_json_read, csv_read, bracketed_values, similarity_none, dedup_headers, number_render, curate_events,
         curate_events_table,
     ]

@@ -26,8 +26,8 @@ PAIR_SCHEMA = T.StructType([
     T.StructField("f1", T.StringType()), T.StructField("f2", T.StringType()),
     T.StructField("value", T.DoubleType()),
 ])
-# Rank tables up to this many rows are looked up by broadcast.
-BROADCAST_RANKS = 50_000
+# Rank tables up to this many rows are looked up by broadcast, as long as all of them together have no more than the second number.
+BROADCAST_RANKS, BROADCAST_IN_ALL = 50_000, 1_000_000
 
 
 def method_name(method: str | int | None) -> str:
@@ -224,11 +224,14 @@ def _spearman(df, usable, n_rows, pairs, key):
         "g", "value", "n", (F.col("n_before") + (F.col("n") + 1) / 2).alias("rank")))
     sizes = {r["g"]: (r["d"], r["n"]) for r in ranks.groupBy("g").agg(
         F.count(F.lit(1)).alias("d"), F.sum("n").alias("n")).collect()}
-    small = [g for g in members if sizes.get(g, (0, 0))[0] <= BROADCAST_RANKS]
+    small, total = [], 0
+    for g in sorted(members, key=lambda g: (sizes.get(g, (0, 0))[0], g)):
+        total += sizes.get(g, (0, 0))[0]
+        if sizes.get(g, (0, 0))[0] <= BROADCAST_RANKS and total <= BROADCAST_IN_ALL:
+            small.append(g)
     large = [g for g in members if g not in small]
 
-    # One small partition, so that each broadcast reads little.
-    small_ranks = materialise(ranks.filter(F.col("g").isin(small)).select("g", "value", "rank").coalesce(1)) if small else None
+    small_ranks = ranks.select("g", "value", "rank") if small else None
     wide = table.select(*(ids if large else []), *[members[g].alias(f"m{g}") for g in small])
     for g in small:
         lookup = small_ranks.filter(F.col("g") == g).select(F.col("value").alias(f"m{g}"), F.col("rank").alias(f"r{g}"))

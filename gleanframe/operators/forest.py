@@ -29,8 +29,8 @@ TREES = 100
 SAMPLE_PER_TREE = 256
 JOINT_CONTAMINATION = 0.02
 EACH_CONTAMINATION = 0.01
-# Text columns with at most this many distinct values get their codes by broadcast.
-BROADCAST_VALUES = 100_000
+# Text columns whose distinct values have at most this many bytes get their codes by broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 def average_path(n: float) -> float:
@@ -133,6 +133,9 @@ def text_codes(df: DataFrame, features: Sequence[str]) -> DataFrame | None:
 def numeric_columns(df: DataFrame, rows: Sequence[Row], codes: DataFrame | None) -> DataFrame:
     """Columns ``x0, x1, ..`` for the given features: numbers as they are, text by its code."""
     name = {r["feature"]: f"x{i}" for i, r in enumerate(rows)}
+    # One row per text feature.
+    sizes = {} if codes is None else {r["feature"]: r["size"] for r in codes.groupBy("feature").agg(
+        F.sum(F.octet_length("value") + 16).alias("size")).collect()}
     out = df.select("*", *[number_of(r).alias(name[r["feature"]]) for r in rows if r["var_type"] in NUMERIC])
     for r in rows:
         if r["var_type"] in NUMERIC:
@@ -140,7 +143,7 @@ def numeric_columns(df: DataFrame, rows: Sequence[Row], codes: DataFrame | None)
         x, v = name[r["feature"]], f"_v{name[r['feature']]}"
         own = codes.filter(F.col("feature") == r["feature"]).select(F.col("value").alias(v), F.col("code").alias(x), "n")
         probe = out.withColumn(v, text_of(r["feature"]))
-        if r["domain_size"] <= BROADCAST_VALUES:
+        if sizes.get(r["feature"], 0) <= BROADCAST_BYTES:
             out = probe.join(F.broadcast(own.drop("n")), v).drop(v)
         else:
             out = hot_lookup(probe, own, [v], "n").drop(v)

@@ -6,6 +6,9 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a usual file split.
+SPLIT = 128 << 20
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder.
@@ -25,6 +28,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="gleanframe-checkpoint-")
     sc.setCheckpointDir(folder)
+    # Goes when the driver ends; the checkpoints themselves go with the tables if spark.cleaner.referenceTracking.cleanCheckpoints is on.
+    path = sc._jvm.org.apache.hadoop.fs.Path(sc.getCheckpointDir())
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
     return folder
 
 
@@ -35,6 +41,7 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def spread_out(df: DataFrame) -> DataFrame:
-    """Repartition an input that has fewer splits than the cluster has cores; leave others alone."""
+    """Repartition an input that the planner expects to be small; others have splits enough. Runs nothing."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    expected = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(expected)) <= cores * SPLIT else df

@@ -344,6 +344,7 @@ FROM cells WHERE t IS NOT NULL GROUP BY 1, 2""",
         "outliers_binary_guard": verdicts("iqr", "", "labels", label_columns) + " SELECT feature, outlier_verdict, n_outliers FROM verdicts",
         "outliers_none": "SELECT feature, 'no' AS outlier_verdict, CAST(0 AS BIGINT) AS n_outliers FROM (VALUES ('quality'), ('toxic')) v(feature)",
         "outliers_verdicts": verdicts("modified_z", MESSY, "em", MESSY_COLUMNS) + " SELECT feature, outlier_verdict, n_outliers FROM verdicts",
+        "outlier_cells": statuses("iqr") + " SELECT event_id, feature, x AS value FROM statuses JOIN cells USING (event_id, feature) WHERE status = 'outlier'",
         "outliers_grubbs_step": GRUBBS_STEP,
         "outliers_grubbs": grubbs_cells(),
         "impute_mean_mode": f"{mean_fill} SELECT event_id, {impute_select(IMPUTED_COLUMNS)} FROM em, fills",

@@ -13,7 +13,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables a
 NAMES = [
     "feature_state", "feature_center", "feature_domain", "dataset_summary", "evaluation_report", "outliers_modified_z",
     "outliers_binary_guard", "outliers_grubbs", "impute_mean_mode", "impute_random", "cell_status", "clean_table",
-    "corr_pearson", "csv_read", "dedup_headers", "bracketed_values", "features_json_read", "curate_events_table", "number_render", "curate_events",
+    "corr_pearson", "csv_read", "dedup_headers", "outlier_cells", "bracketed_values", "features_json_read", "curate_events_table", "number_render", "curate_events",
 ]
 
 
