@@ -24,7 +24,8 @@ SAFE = regex.compile(r"\S(?=\s)|[A-Za-zぁ-ゖァ-ヺ一-龥](?=[!-/:-@\[-`{-~
 
 @cache
 def encoding(rank_file: str, pattern: str):
-    """One per worker process. The file must lie on every worker, as an installed package's files do."""
+    """One per worker process, for which the workers need this package. The file must lie on every worker, as an installed
+    package's files do."""
     import tiktoken
 
     with open(rank_file, "rb") as lines:

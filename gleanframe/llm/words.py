@@ -35,10 +35,10 @@ _powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.ui
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE and its inverse to the powers 0..n-1, modulo 2^64."""
+    """BASE and its inverse to the powers 0..n-1, modulo 2^64. Kept from call to call, and short where only words were hashed."""
     if len(_powers[0]) < n:
         for k, base in enumerate((BASE, INVERSE)):
-            steps = np.full(max(n, GROUP + 1), base, dtype=np.uint64)
+            steps = np.full(max(n, 1 << 10 if n < 1 << 10 else GROUP + 1), base, dtype=np.uint64)
             steps[0] = 1
             _powers[k] = np.multiply.accumulate(steps)
     return _powers[0][:n], _powers[1][:n]
