@@ -60,7 +60,8 @@ class Shard:
     def __init__(self, strings: list[bytes]):
         data = np.frombuffer(b"\0".join(strings) + b"\0\0", dtype=np.uint8)
         self.starts = np.cumsum([0, *[len(s) + 1 for s in strings]])
-        self.text = data.astype(np.uint16) + np.uint16(2)
+        # UTF-8 has no byte above 0xF4, so that two more symbols fit in a byte; other strings take two bytes a symbol.
+        self.text = data + np.uint8(2) if data.max() < 0xFE else data.astype(np.uint16) + np.uint16(2)
         self.text[self.starts[1:] - 1] = 1
         self.text[-1] = 0
         n = len(self.text)
@@ -173,32 +174,43 @@ def induced(shard: Shard, lms: np.ndarray, lms_lcp: np.ndarray) -> tuple[np.ndar
     return np.concatenate(out_pos[::-1]), np.concatenate(out_lcp[::-1])
 
 
-def _order_of_names(names: np.ndarray) -> np.ndarray:
-    """Suffix order of the reduced string by prefix doubling, at most as many rounds as the logarithm of its longest repeat."""
-    rank, step, n = names.astype(np.int64), 1, len(names)
-    while True:
-        then = np.zeros(n, dtype=np.int64)
-        then[:-step] = rank[step:] + 1
-        key = rank * (n + 2) + then
-        order = np.argsort(key)
-        new = np.empty(n, dtype=np.int64)
-        new[order] = np.cumsum(np.append(0, np.diff(key[order]) != 0))
-        rank, step = new, step * 2
-        if rank[order[-1]] == n - 1 or step >= n:
-            return order
+def _order_of_names(names: np.ndarray, most: int) -> np.ndarray:
+    """Suffix order of the reduced string by prefix doubling, right up to `most` names. Each round sorts only what is still tied."""
+    n, step = len(names), 1
+    order = np.argsort(names, kind="stable")
+    new = np.append(True, names[order][1:] != names[order][:-1])
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]  # the first place of a group of ties
+    while step < most and not new.all():
+        tied = np.flatnonzero(~(new & np.append(new[1:], True)))  # places in groups of more than one
+        who = order[tied]
+        then = np.where(who + step < n, rank[np.minimum(who + step, n - 1)] + 1, 0)
+        by = np.argsort(rank[who] * (n + 2) + then)
+        who, then = who[by], then[by]
+        order[tied] = who
+        group = rank[who]
+        new[tied] = np.append(True, (group[1:] != group[:-1]) | (then[1:] != then[:-1]))
+        rank[who] = np.flatnonzero(new)[np.cumsum(new) - 1][tied]
+        step *= 2
+    return order
 
 
 def _common(shard: Shard, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """Common prefixes, at most `most`, of suffixes that start at a and b."""
     out, open_ = np.zeros(len(a), dtype=np.int32), np.arange(len(a))
-    wide = np.lib.stride_tricks.sliding_window_view(np.append(shard.text, np.zeros(8, np.uint16)), 8)
-    n = len(shard.text)
+    n, size = len(shard.text), shard.text.itemsize
+    padded = np.append(shard.text, np.zeros(8, shard.text.dtype))
+    # Eight bytes from every position on, compared at once: the lowest bit that differs tells the first symbol that does.
+    wide = np.ndarray(shape=(n,), dtype="<u8", buffer=padded.data, strides=(size,))
+    step = 8 // size
     while len(open_):
         x, y = a[open_] + out[open_], b[open_] + out[open_]
-        differ = wide[np.minimum(x, n - 1)] != wide[np.minimum(y, n - 1)]
-        end = differ.any(axis=1)
-        out[open_] += np.where(end, differ.argmax(axis=1), 8).astype(np.int32)
-        open_ = open_[~end & (out[open_] < most) & (np.maximum(x, y) + 8 < n)]
+        differ = wide[np.minimum(x, n - 1)] ^ wide[np.minimum(y, n - 1)]
+        end = differ != 0
+        lowest = differ & (~differ + np.uint64(1))
+        symbols = (np.frexp(lowest.astype(np.float64))[1] - 1) // (8 * size)
+        out[open_] += np.where(end, symbols, step).astype(np.int32)
+        open_ = open_[~end & (out[open_] < most) & (np.maximum(x, y) + step < n)]
     return np.minimum(out, most)
 
 
@@ -230,7 +242,7 @@ def suffix_order(strings: list[bytes], most: int) -> tuple[Shard, np.ndarray, np
             same[k + 1] = _common(shard, a[k].astype(np.int64), b[k].astype(np.int64), limit) >= size[k]
     names = np.zeros(len(lms), dtype=np.int64)
     names[index[sorted_lms]] = np.cumsum(~same)
-    final = lms[_order_of_names(names)] if same.any() else sorted_lms
+    final = lms[_order_of_names(names, most)] if same.any() else sorted_lms
     lcp = np.zeros(len(final), dtype=np.int32)
     for lo in range(1, len(final), 1 << 19):
         k = np.arange(lo, min(lo + (1 << 19), len(final)))
