@@ -22,8 +22,11 @@ SEED = 24
 PLACE = np.uint64(21)
 #: Bytes that a shard has at least before the next one begins.
 SHARD_BYTES = 3 << 19
+#: Contents of one key (a batch counts each once) beyond which its windows are sorted one by one over all tasks. Counts may miss one a
+#: partition, so a shard has at most so many contents, and one a partition, beyond SHARD_BYTES.
+HOT = 1 << 13
 
-_value = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE ^ 0x5DEECE66D))
+_value, _value2 = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE ^ x)) for x in (0x5DEECE66D, 0x2545F4914F6CDD1D))
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -35,8 +38,8 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def _segments(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(start, size, key, content) of the longest runs of windows whose first least seed stands at one place, within the texts given by
-    bounds; the key is that seed's hash. No window occurs twice in a run, as its least seed would stand at two places."""
+    """(start, size, key, mark, mark2) of the longest runs of windows whose first least seed stands at one place, within the texts given by
+    bounds; the key is that seed's hash, the marks are two hashes of the content. No window occurs twice in a run, as its least seed would stand at two places."""
     n = len(data)
     up, down = powers(n + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
@@ -58,11 +61,13 @@ def _segments(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.nda
     stop = np.append(start[1:], len(least)) - 1 + length
     keep = inside[start]
     start, stop = start[keep], stop[keep]
-    return start, stop - start, seeds[least[start]], mix((sums[stop] - sums[start]) * down[start])
+    mark = mix((sums[stop] - sums[start]) * down[start])
+    np.cumsum(_value2[data] * up[:n], out=sums[1:])
+    return start, stop - start, seeds[least[start]], mark, mix((sums[stop] - sums[start]) * down[start])
 
 
 def segments(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text, start, size, key, content hash) for groups of texts. Equal windows of `length` bytes have equal keys. Long texts go in steps
+    """(text, start, size, key, mark, mark2) for groups of texts. Equal windows of `length` bytes have equal keys. Long texts go in steps
     that overlap by length - 1 bytes; a step's end only splits a run."""
     for first, group in groups(texts):
         if len(group) == 1 and len(group[0]) > GROUP:
@@ -70,15 +75,15 @@ def segments(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]
             pieces = [(at, whole[at : at + GROUP + length - 1]) for at in range(0, len(whole) - length + 1, GROUP)]
             for at, piece in pieces:
                 data = np.append(piece, np.uint8(0))
-                start, size, key, content = _segments(data, np.array([0, len(data)]), length)
-                yield np.full(len(start), first), start + at, size, key, content
+                start, *rest = _segments(data, np.array([0, len(data)]), length)
+                yield np.full(len(start), first), start + at, *rest
         else:
             data = np.frombuffer(b"\0".join(group) + b"\0", dtype=np.uint8)
             if len(data) > length:
                 bounds = np.cumsum([0, *[len(t) + 1 for t in group]])
-                start, size, key, content = _segments(data, bounds, length)
+                start, *rest = _segments(data, bounds, length)
                 text = np.searchsorted(bounds, start, side="right") - 1
-                yield text + first, start - bounds[text], size, key, content
+                yield text + first, start - bounds[text], *rest
 
 
 def _batch_segments(batch: pa.RecordBatch, length: int):
@@ -89,12 +94,11 @@ def _batch_segments(batch: pa.RecordBatch, length: int):
     parts = list(segments(texts, length))
     if not parts:
         return None
-    text, start, size, key, content = (np.concatenate(x) for x in zip(*parts))
-    mark = (content & np.uint64(0xFFFFFFFF)) << np.uint64(32) | size.astype(np.uint64)
+    text, start, size, key, mark, mark2 = (np.concatenate(x) for x in zip(*parts))
     by = np.argsort(mix(key) ^ mark, kind="stable")
     first = np.ones(len(by), dtype=bool)
-    first[by[1:]] = (key[by[1:]] != key[by[:-1]]) | (mark[by[1:]] != mark[by[:-1]])
-    return rows, texts, text, start, size, key, mark, first
+    first[by[1:]] = np.any([x[by[1:]] != x[by[:-1]] for x in (key, mark, mark2)], axis=0)
+    return rows, texts, text, start, size, key, mark, mark2, first
 
 
 def _merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,42 +111,92 @@ def _merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 
 def _places(docs: DataFrame, length: int) -> DataFrame:
-    """(key, mark, row, start, end): segments that are the first of their content in a batch, with a key; spans of the others without."""
+    """(key, mark, mark2, row, start, end, again): segments that are the first of their content in a batch; again: spans of the others, without a key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = _batch_segments(batch, length)
             if found is None:
                 continue
-            rows, _, text, start, size, key, mark, first = found
+            rows, _, text, start, size, key, mark, mark2, first = found
             again = ~first
             own, s, e = _merged(rows[text[again]], start[again], start[again] + size[again])
             n = len(own)
+            none = np.zeros(n, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(key[first].view(np.int64), mix(own.astype(np.uint64) + s.astype(np.uint64)).view(np.int64))),
-                 pa.array(np.append(mark[first].view(np.int64), np.full(n, -1))), pa.array(np.append(rows[text[first]], own)),
+                [*(pa.array(np.append(x[first].view(np.int64), none)) for x in (key, mark, mark2)), pa.array(np.append(rows[text[first]], own)),
                  pa.array(np.append(start[first], s).astype(np.int32)), pa.array(np.append((start + size)[first], e).astype(np.int32)),
-                 pa.array(np.append(np.zeros(first.sum(), bool), np.ones(n, bool)))], ["key", "mark", "row", "start", "end", "again"])
+                 pa.array(np.append(np.zeros(first.sum(), bool), np.ones(n, bool)))], ["key", "mark", "mark2", "row", "start", "end", "again"])
 
-    return docs.mapInArrow(run, "key long, mark long, row long, start int, end int, again boolean")
+    return docs.mapInArrow(run, "key long, mark long, mark2 long, row long, start int, end int, again boolean")
 
 
-def _contents(docs: DataFrame, length: int, keys) -> DataFrame:
-    """(key, mark, row, start, content) of the segments whose key passes the filter, once a batch."""
+def _contents(docs: DataFrame, length: int, keys, hot) -> DataFrame:
+    """(key, mark, mark2, row, start, content) of the segments whose key passes the filter, once a batch. Of a hot key a row per window, without
+    a content; its marks are the window's digest."""
+    names = ["key", "mark", "mark2", "row", "start", "content"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = _batch_segments(batch, length)
             if found is None:
                 continue
-            rows, texts, text, start, size, key, mark, first = found
-            at = np.flatnonzero(first & passes(keys.value, key))
+            rows, texts, text, start, size, key, mark, mark2, first = found
+            is_hot = np.isin(key, hot.value)
+            at = np.flatnonzero(first & ~is_hot & passes(keys.value, key))
             for lo in range(0, len(at), 1 << 16):
                 own = at[lo : lo + (1 << 16)]
                 data = [texts[t][s : s + z] for t, s, z in zip(text[own].tolist(), start[own].tolist(), size[own].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[own].view(np.int64)), pa.array(mark[own].view(np.int64)), pa.array(rows[text[own]]),
-                     pa.array(start[own].astype(np.int32)), pa.array(data, pa.binary())], ["key", "mark", "row", "start", "content"])
+                    [*(pa.array(x[own].view(np.int64)) for x in (key, mark, mark2)), pa.array(rows[text[own]]),
+                     pa.array(start[own].astype(np.int32)), pa.array(data, pa.binary())], names)
+            at = np.flatnonzero(first & is_hot)
+            for lo in range(0, len(at), 1 << 10):
+                own = at[lo : lo + (1 << 10)]
+                n = size[own] - length + 1
+                begin = np.repeat(start[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                digests = b"".join(hashlib.blake2b(texts[t][s : s + length], digest_size=16).digest()
+                                   for t, s in zip(np.repeat(text[own], n).tolist(), begin.tolist()))
+                digest = np.frombuffer(digests, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(key[own], n).view(np.int64)), pa.array(digest[::2]), pa.array(digest[1::2]), pa.array(np.repeat(rows[text[own]], n)),
+                     pa.array(begin.astype(np.int32)), pa.nulls(len(begin), pa.binary())], names)
+
+    return docs.mapInArrow(run, "key long, mark long, mark2 long, row long, start int, content binary")
+
+
+def _hot_keys(keys: DataFrame) -> list[int]:
+    """Keys with more than HOT rows, counting those that stand twice in a partition: what is shuffled is those only."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, n = np.unique(np.concatenate([np.zeros(0, np.int64), *(b.column(0).to_numpy() for b in batches)]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found[n > 1]), pa.array(n[n > 1])], ["key", "n"])
 
-    return docs.mapInArrow(run, "key long, mark long, row long, start int, content binary")
+    counts = keys.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return [r.key for r in counts.filter(F.col("n") > HOT).collect()]
+
+
+def _later_windows(windows: DataFrame, length: int) -> DataFrame:
+    """(row, start, end) of windows of which an equal one, known by its marks, comes earlier. The layout is by range, so that no window has to
+    fit one task; what crosses the partitions' borders is one row a partition."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["row", "start", "a", "b", "last_a", "last_b"]
+        edge, last = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b, row, start = (batch.column(i).to_numpy() for i in range(4))
+            same = np.append(last == (a[0], b[0]), (a[1:] == a[:-1]) & (b[1:] == b[:-1]))
+            edge, last = edge or (row[0], start[0], a[0], b[0]), (a[-1], b[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(row[same]), pa.array(start[same]), *[pa.nulls(same.sum(), pa.int64())] * 4], names)
+        if edge:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32() if k == 1 else pa.int64()) for k, x in enumerate((*edge, *last))], names)
+
+    laid = windows.select("mark", "mark2", "row", "start").repartitionByRange("mark", "mark2", "row", "start").sortWithinPartitions(
+        "mark", "mark2", "row", "start")
+    found = stage(laid.mapInArrow(run, "row long, start int, a long, b long, last_a long, last_b long"), "windows")
+    edges = sorted(found.filter("a IS NOT NULL").collect(), key=lambda r: (r.a, r.b, r.row, r.start))
+    over = [(r.row, r.start) for before, r in zip(edges, edges[1:]) if (before.last_a, before.last_b) == (r.a, r.b)]
+    later = found.filter("a IS NULL").select("row", "start").unionByName(windows.sparkSession.createDataFrame(over, "row long, start int"))
+    return later.withColumn("end", F.col("start") + length)
 
 
 def shard_spans(rows: np.ndarray, starts: np.ndarray, contents: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,17 +233,17 @@ def _sorted_shards(contents: DataFrame, length: int) -> DataFrame:
                     [pa.array(row, pa.int64()), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["row", "start", "end"])
 
         for batch in batches:
-            for key, mark, row, start, content in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for key, mark, mark2, row, start, content in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if last is not None and last[0] != key and size >= SHARD_BYTES:
                     yield from flush()
                     held, size = [], 0
-                if last != (key, mark):  # of one content the first occurrence is enough
+                if last != (key, mark, mark2):  # of one content the first occurrence is enough
                     held.append((row, start, content))
                     size += len(content)
-                last = (key, mark)
+                last = (key, mark, mark2)
         yield from flush()
 
-    return contents.repartition("key").sortWithinPartitions("key", "mark", "row", "start").mapInArrow(run, "row long, start int, end int")
+    return contents.repartition("key").sortWithinPartitions("key", "mark", "mark2", "row", "start").mapInArrow(run, "row long, start int, end int")
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -207,19 +261,31 @@ def repeated_spans(numbered: DataFrame, length: int) -> DataFrame:
     """(row, start, end): every byte that a string of `length` bytes covers that starts earlier, too; spans may overlap.
 
     A window is known by the hash of its least seed, so equal windows have equal keys; runs of windows with one seed are segments. Of segments with equal content
-    all but the first are spans as they are: first within a batch, before anything is shuffled, then among all. Keys
+    (equal by two 64-bit hashes) all but the first are spans as they are: first within a batch, before anything is shuffled, then among all. Keys
     with several contents are open: their segments are sent, each content once a batch, and the suffixes of a shard of them are sorted by external
-    induction; windows with a common prefix of `length` stand together, and all but the earliest are spans.
+    induction; windows with a common prefix of `length` stand together, and all but the earliest are spans. A key with more than HOT
+    contents never meets in one task: its windows are sorted by a 128-bit digest over all tasks.
     """
-    docs = numbered.select("row", "text")
-    by_key = Window.partitionBy("key").orderBy("mark", "row", "start")
+    docs, spark = numbered.select("row", "text"), numbered.sparkSession
+    placed = stage(_places(docs, length), "places")
+    again, firsts = placed.filter("again").select("row", "start", "end"), placed.filter("NOT again").drop("again")
+    hot = _hot_keys(firsts.select("key"))
+    if hot:
+        firsts = firsts.join(F.broadcast(spark.createDataFrame([(k,) for k in hot], "key long")), "key", "left_anti")
+    by_key = Window.partitionBy("key").orderBy("mark", "mark2", "row", "start")
     all_of = by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    placed = _places(docs, length).withColumn("copy", F.col("again") | F.coalesce(F.lag("mark").over(by_key) == F.col("mark"), F.lit(False)))
-    placed = placed.withColumn("open", ~F.col("again") & (F.min("mark").over(all_of) != F.max("mark").over(all_of)))
-    placed = stage(placed.filter("copy OR open").select("key", "row", "start", "end", "copy", "open"), "segments")
-    keys = docs.sparkSession.sparkContext.broadcast(bit_filter(placed.filter("open"), "key"))
-    sorted_ = _sorted_shards(_contents(docs, length, keys), length)
-    return placed.filter("copy").select("row", "start", "end").unionByName(sorted_)
+    same = (F.lag("mark").over(by_key) == F.col("mark")) & (F.lag("mark2").over(by_key) == F.col("mark2"))
+    several = [F.min(c).over(all_of) != F.max(c).over(all_of) for c in ("mark", "mark2")]
+    met = firsts.withColumn("copy", F.coalesce(same, F.lit(False))).withColumn("open", several[0] | several[1])
+    met = stage(met.filter("copy OR open").select("key", "row", "start", "end", "copy", "open"), "segments")
+    keys = spark.sparkContext.broadcast(bit_filter(met.filter("open"), "key"))
+    contents = _contents(docs, length, keys, spark.sparkContext.broadcast(np.array(hot, dtype=np.int64).view(np.uint64)))
+    out = again.unionByName(met.filter("copy").select("row", "start", "end"))
+    if hot:
+        contents = stage(contents, "contents")
+        out = out.unionByName(_later_windows(contents.filter("content IS NULL"), length))
+        contents = contents.filter("content IS NOT NULL")
+    return out.unionByName(_sorted_shards(contents, length))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, with_text: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from gleanframe.llm import induced_sort
+from gleanframe.llm import induced_sort, suffix_dedup
 from gleanframe.llm.common import components
 from gleanframe.llm.decontaminate import contamination
 from gleanframe.llm.exact_dedup import MisraGries, exact_duplicates
@@ -169,6 +169,54 @@ def test_remove_repeats_of_repeated_and_null_ids(spark):
     assert remove_repeats(table(spark, []).limit(0)).count() == 0
 
 
+def removed(rows):
+    """Bytes and runs that go from each document, by the definition."""
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        data = t.encode()
+        gone = bytearray(len(data))
+        for s in range(len(data) - 99):
+            if data[s : s + 100] in seen:
+                gone[s : s + 100] = b"\1" * 100
+            seen.add(data[s : s + 100])
+        out[i] = (len(data), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(bytes(b for b, g in zip(data, gone) if not g)).hexdigest())
+    return out
+
+
+def test_a_hot_key_is_dealt_over_tasks(spark, monkeypatch):
+    """A passage between differing neighbours: at its edges two keys have a content for every document. None of them may reach a shard whole."""
+    rng = random.Random(14)
+    passage = prose(rng, 40)
+    rows = [(i, prose(rng, 30) + "abc"[i % 3] + " " + passage + " " + "de"[i % 2] + prose(rng, 30)) for i in range(80)]
+    held, dealt = suffix_dedup._sorted_shards, []
+
+    def counted(contents, length):
+        dealt.append(max((r["count"] for r in contents.groupBy("key").count().collect()), default=0))
+        return held(contents, length)
+
+    monkeypatch.setattr(suffix_dedup, "HOT", 20, raising=False)
+    monkeypatch.setattr(suffix_dedup, "_sorted_shards", counted)
+    got = {r["doc_id"]: tuple(r)[1:] for r in remove_repeats(table(spark, rows)).collect()}
+    assert got == removed(rows)
+    assert dealt and max(dealt) <= 20
+
+
+def test_contents_are_told_apart_by_more_than_32_bits(spark):
+    """Two texts of one window and one seed key, whose contents share 32 bits of their hash, are no copies."""
+    tail = prose(random.Random(15), 30).encode()[:92]
+    left = np.random.default_rng(5).integers(97, 123, (600_000, 8), dtype=np.uint8)
+    up = suffix_dedup.powers(101)[0]
+    hashes = (suffix_dedup._value[left] * up[:8]).sum(axis=1, dtype=np.uint64) + (suffix_dedup._value[np.frombuffer(tail, np.uint8)] * up[8:100]).sum(dtype=np.uint64)
+    low = suffix_dedup.mix(hashes) & np.uint64(0xFFFFFFFF)
+    order = np.argsort(low)
+    keys = lambda t: suffix_dedup._segments(np.frombuffer(t + b"\0", np.uint8), np.array([0, 101]), 100)[2].tolist()
+    pairs = [(left[order[k]].tobytes() + tail, left[order[k + 1]].tobytes() + tail) for k in np.flatnonzero(low[order[1:]] == low[order[:-1]])]
+    a, b = next(p for p in pairs if p[0] != p[1] and keys(p[0]) == keys(p[1]))
+    rows = [(1, a.decode()), (2, b.decode())]
+    got = {r["doc_id"]: tuple(r)[1:] for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == removed(rows) and got[2][1] == 0
+
+
 def test_contamination(spark):
     docs = sentences()
     rng = random.Random(9)
