@@ -16,8 +16,8 @@ from gleanframe.llm.words import GROUP, LOWER, as_bytes
 
 #: n-grams of 1 to SPECTRUM bytes share BUCKETS hashed places.
 SPECTRUM, BUCKETS = 4, 1 << 16
-#: Bounds of the fitted sample: labelled texts per language, languages (the most frequent ones), landmarks in all.
-PER_LANGUAGE, LANGUAGES, LANDMARKS = 200, 100, 256
+#: Bounds of the fitted sample: labelled texts per language, landmarks in all (a language has one at least).
+PER_LANGUAGE, LANDMARKS = 200, 256
 RIDGE, SHARPNESS = 1e-2, 4.0
 #: Texts per matrix product.
 BLOCK = 64
@@ -61,7 +61,7 @@ def fit(sets: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS, r
         return None
     y = np.array([languages.index(label) for label in labels])
     turn = sorted(range(len(y)), key=lambda i: (int((y[:i] == y[i]).sum()), y[i]))
-    marks = _rows([sets[i] for i in turn[:landmarks]])
+    marks = _rows([sets[i] for i in turn[: max(landmarks, len(languages))]])
     values, vectors = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
     good = values > 1e-6 * values[-1]
     root = vectors[:, good] / np.sqrt(values[good])
@@ -78,15 +78,16 @@ def fit(sets: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS, r
 def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Model | None:
     """A model of labelled rows outside the held-out fold; equal texts count once. None without such rows.
 
-    At most PER_LANGUAGE texts of each of the LANGUAGES most frequent languages are used, chosen by the texts' hashes.
+    At most PER_LANGUAGE texts of each language are used, chosen by the texts' hashes: all texts of a language that has no more.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter(~held_out(F.col("id"))).filter("lang IS NOT NULL AND text != ''")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    keyed = rows.withColumn("hash", F.xxhash64("text"))
+    counts = keyed.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")).collect()
     if not counts:
         return None
-    keyed = rows.withColumn("hash", F.xxhash64("text"))
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, 8 * PER_LANGUAGE / r["count"]))])
+    # Copies don't count: a share of the rows would draw too few texts where most rows are copies.
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, 8 * PER_LANGUAGE / max(r.n, 1)))])
     few = keyed.filter(F.pmod("hash", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("lang", "hash").distinct()
     few = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).filter(F.col("k") <= PER_LANGUAGE)
     chosen = keyed.join(F.broadcast(few.select("lang", "hash")), ["lang", "hash"]).dropDuplicates(["lang", "hash"])

@@ -10,7 +10,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from gleanframe.llm import bpe
-from gleanframe.llm.language import identify
+from gleanframe.llm.language import identify, learn
 from gleanframe.llm.quotes import normalised, parse, reply_order
 from gleanframe.llm.toxicity import PATTERNS, clause_features, compiled, lexicon, toxicity
 from gleanframe.llm.words import word_groups
@@ -67,6 +67,16 @@ def test_identify(spark):
     assert {r["lang_pred"] for r in unlabelled} == {"und"}
 
 
+def test_copies_and_many_languages_leave_no_language_out(spark):
+    rng = random.Random(9)
+    own = [(f"{i:03d}", invented(rng, ["ka", "to", "mi", "re"], 20)) for i in range(130) for _ in range(3)]
+    few = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(own)] + [(9000 + i, invented(rng, ["que", "eau"], 20), "es") for i in range(5)],
+                                "doc_id long, text string, lang string")
+    copies = spark.range(10_000, 150_000, 1, 4).select(F.col("id").alias("doc_id"), F.lit("same words again").alias("text"), F.lit("es").alias("lang"))
+    trained = {r["lang"] for r in few.filter("crc32(cast(cast(doc_id AS string) AS binary)) % 5 != 0").collect()}
+    assert len(trained) > 120 and learn(few.unionByName(copies), "doc_id", "text", "lang").languages == sorted(trained)
+
+
 def patterns(text):
     (group,) = word_groups([text.encode()])
     x = clause_features(group, lexicon({}), compiled())[0, :-1]
