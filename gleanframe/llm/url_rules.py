@@ -49,14 +49,16 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
     return F.when(best.isNotNull(), F.struct(best["rule"].alias("rule"), best["verdict"].alias("verdict")))
 
 
-def with_link(df: DataFrame) -> DataFrame:
-    """Adds target, the absolute URL of a page's canonical link, else of its redirect, else null. Needs url, html and their parts."""
-    found = [F.nullif(F.regexp_extract(F.regexp_extract("html", tag, 0), attribute, 1), F.lit(""))
-             for tag, attribute in ((CANONICAL, HREF), (REFRESH, TARGET))]
+def with_links(df: DataFrame) -> DataFrame:
+    """A row for every canonical link and redirect of a page, with target, its absolute URL. Needs url, html and their parts."""
+    def found(tag: str, attribute: str) -> Column:
+        return F.transform(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda t: F.regexp_extract(t, attribute, 1))
+
+    links = F.array_distinct(F.filter(F.concat(found(CANONICAL, HREF), found(REFRESH, TARGET)), lambda t: t != ""))
     scheme = F.substring("url", F.lit(1), F.locate("://", F.col("url")) - 1)
     link, site = F.col("link"), F.col("site")
     folder = F.regexp_replace(F.when(F.col("path") == "", F.lit("/")).otherwise(F.col("path")), r"[^/]*$", "")
-    return (df.withColumn("link", F.replace(F.coalesce(*found), F.lit("&amp;"), F.lit("&")))
+    return (df.withColumn("link", F.explode(links)).withColumn("link", F.replace("link", F.lit("&amp;"), F.lit("&")))
             .withColumn("scheme", scheme).withColumn("site", F.concat("scheme", F.lit("://"), "host"))
             .withColumn("target", F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
                         .when(link.startswith("//"), F.concat("scheme", F.lit(":"), link))
@@ -70,7 +72,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], id_col: str =
     """One row per page row: its id, host, path, rule, verdict.
 
     A rule (verdict, host, path) fits its host and all subdomains where the path starts with the rule's; the longest fits best and
-    decides. Pages without a rule take a block from their aliases: pages and link targets joined by redirects (meta refresh) and canonical links, in any number of
+    decides. Pages without a rule take a block from their aliases: pages and link targets joined by redirects (meta refresh) and canonical links, all that a page has, in any number of
     steps, of which one is blocked by a rule. An allow rule of the page itself comes before that; an allowed alias neither passes
     its allow on nor stops a block. All others are allowed. Scheme and fragment don't tell pages apart.
 
@@ -83,7 +85,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], id_col: str =
     own = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     linked = own.filter(F.col("html").rlike(CANONICAL) | F.col("html").rlike(REFRESH)).select("url", "html")
     # Written before anything filters on it: a filter pushed through would repeat all these expressions.
-    links = stage(with_link(with_parts(linked, "url")).select(F.col("node").alias("a"), "target"), "links")
+    links = stage(with_links(with_parts(linked, "url")).select(F.col("node").alias("a"), "target"), "links")
     named = components(with_parts(links, "target").select("a", F.col("node").alias("b"))).withColumn("url", F.concat(F.lit("x://"), "node")).drop("node")
     named = with_parts(named, "url").select("node", "root", rule_for(F.col("host"), F.col("path"), rules).alias("r"))
     bad = named.filter(F.col("r.verdict") == "block").select("root").distinct()

@@ -90,3 +90,14 @@ def test_rules_and_aliases(spark):
             assert tuple(r)[1:] == rows[r["page_id"]][2:], r["page_id"]
     assert judge(df.limit(0), RULES).count() == 0
     assert {r["verdict"] for r in judge(df, []).collect()} == {"allow"}
+
+
+def test_all_links_of_a_page_are_edges(spark):
+    canonical, refresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    bad = "http://a.net/fr/x"
+    rows = [(1, "http://one.org/", canonical.format("http://one.org/") + refresh.format(bad)), (2, "http://two.org/", canonical.format("http://one.org/")),
+            (3, "http://three.org/", canonical.format("/") + canonical.format(bad)), (4, "http://four.org/", refresh.format("/here") + refresh.format(bad)),
+            (5, "http://five.org/", canonical.format("") + canonical.format("http://four.org/here")), (6, "http://six.org/", canonical.format("/") + refresh.format("/x")),
+            (7, "http://seven.org/", '<link rel="canonical">')]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["verdict"] for r in judge(df, RULES).collect()} == {**dict.fromkeys(range(1, 6), "block"), 6: "allow", 7: "allow"}
