@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as registry
+import oracles
 from conftest import PROBE_NAMES
 from gleanframe.operators import correlation
 from gleanframe.operators.correlation import correlated_pairs, pair_values
@@ -145,3 +147,18 @@ def test_kendall_on_many_distinct_values(spark):
     b = np.where(rng.random(700) < 0.3, 0.0, a // 3)
     df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double")
     assert abs(pair_values(df, "kendall")[("a", "b")] - brute("kendall", a, b)) < 1e-12
+
+
+def test_registered_kendall_reads_every_derived_column(spark, tmp_path):
+    rng = np.random.default_rng(17)
+    n = 150
+    rows = [(int(k), int(k) % 997, int(line), float(q), float(p) / 100, float(d) / 100, "ANR"[int(f)]) for k, line, q, p, d, f in zip(
+        rng.integers(1, 60_000, n), rng.integers(1, 8, n), rng.integers(1, 51, n), rng.integers(90_000, 10_000_000, n), rng.integers(0, 11, n), rng.integers(0, 3, n))]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string").write.parquet(
+        f"{tmp_path}/lineitem.parquet")
+    df = registry.derived(spark, str(tmp_path)).select(*oracles.DERIVED_COLUMNS).toPandas()
+    data = {c: np.array([np.nan if v is None or v != v else float(v) for v in df[c]]) for c in oracles.DERIVED_COLUMNS if df[c].dtype != object}
+    usable = [c for c in data if np.isfinite(data[c]).mean() > 0.5]
+    want = {(q, p): round(v, 6) for p, q in combinations(usable, 2) if (v := brute("kendall", data[p], data[q])) >= 0.9}
+    got = {(r["f1"], r["f2"]): r["value"] for r in registry.queries()["corr_kendall_all"](spark, str(tmp_path)).collect()}
+    assert ("price_net", "price") in want and {k: v for k, v in got.items() if k[0] in data and k[1] in data} == want
