@@ -1,0 +1,20 @@
+"""Slices of an ordered column: a pure function of the value, so a lost task finds the same slice again."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def slice_of(value: Column, bounds: Sequence) -> Column:
+    """How many of the ascending bounds are at most value: 0 to len(bounds). Null where value is. A tree of comparisons."""
+
+    def within(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value < F.lit(bounds[middle]), within(low, middle)).otherwise(within(middle + 1, high))
+
+    return F.when(value.isNotNull(), within(0, len(bounds)))
