@@ -9,6 +9,7 @@ from gleanframe.llm.exact_dedup import exact_duplicates
 from gleanframe.llm.language import identify
 from gleanframe.llm.near_dedup import near_duplicates
 from gleanframe.llm.quotes import reply_order
+from gleanframe.llm.resample import resample
 from gleanframe.llm.suffix_dedup import remove_repeats
 from gleanframe.llm.toxicity import toxicity
 from gleanframe.llm.url_rules import judge
@@ -62,9 +63,14 @@ def op10_near_dedup(spark, folder):
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op13_resample(spark, folder):
+    return resample(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("n_words")
+
+
 def queries():
     return {f.__name__: f for f in (
-        op1_toxicity, op2_warc, op3_exact_dedup, op4_url_filters, op5_quotation_linking, op6_language, op7_byte_bpe, op8_decontaminate, op9_suffix_dedup, op10_near_dedup)}
+        op1_toxicity, op2_warc, op3_exact_dedup, op4_url_filters, op5_quotation_linking, op6_language, op7_byte_bpe, op8_decontaminate,
+        op9_suffix_dedup, op10_near_dedup, op13_resample)}
 
 
 OP2_SQL = """
@@ -150,5 +156,43 @@ FROM lowered LEFT JOIN words_hit USING (doc_id) LEFT JOIN items_hit USING (doc_i
 """
 
 
+#: CRC-32 of hexadecimal bytes: a table of 256 values, then a step a byte.
+CRC_SQL = r"""
+crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS i))
+), crcs AS (
+  SELECT item, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(strlen(item)), lambda k: CAST('0x' || substr(hexed, 2 * k + 1, 2) AS BIGINT))),
+                                           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS crc
+  FROM (SELECT item, hex(encode(item)) AS hexed FROM items), crc_table
+)"""
+
+OP13_SQL = r"""
+WITH words AS (
+  SELECT src, id, item FROM (
+    SELECT 0 AS src, doc_id AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS item
+    FROM documents
+    UNION ALL
+    SELECT 1, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark)
+), items AS (SELECT DISTINCT item FROM words), """ + CRC_SQL + r""", placed AS (
+  SELECT src, id, crc % 10000 AS bucket, n FROM (SELECT src, id, item, count(*) AS n FROM words GROUP BY ALL) JOIN crcs USING (item)
+), counts AS (
+  SELECT bucket, coalesce(sum(n) FILTER (src = 0), 0) AS s, coalesce(sum(n) FILTER (src = 1), 0) AS t FROM placed GROUP BY bucket
+), sums AS (SELECT CAST(sum(s) AS DOUBLE) + 10000 AS s_all, CAST(sum(t) AS DOUBLE) + 10000 AS t_all FROM counts
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * s_all / ((CAST(s AS DOUBLE) + 1) * t_all))) AS BIGINT) AS gain FROM counts, sums
+), weights AS (
+  SELECT doc_id, coalesce(CAST(n AS BIGINT), 0) AS n_features, coalesce(CAST(w AS BIGINT), 0) AS weight,
+         CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h
+  FROM documents LEFT JOIN (SELECT id, sum(n) AS n, sum(n * gain) AS w FROM placed JOIN gains USING (bucket) WHERE src = 0 GROUP BY id) ON doc_id = id
+), scores AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM weights
+), ranks AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scores WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM scores LEFT JOIN ranks USING (doc_id)
+"""
+
+
 def oracle_sql():
-    return {"op2_warc": OP2_SQL, "op4_url_filters": OP4_SQL, "op3_exact_dedup": OP3_SQL, "op8_decontaminate": OP8_SQL}
+    return {"op13_resample": OP13_SQL, "op2_warc": OP2_SQL, "op4_url_filters": OP4_SQL, "op3_exact_dedup": OP3_SQL, "op8_decontaminate": OP8_SQL}
