@@ -8,8 +8,10 @@ from gleanframe.llm.decontaminate import contamination
 from gleanframe.llm.exact_dedup import exact_duplicates
 from gleanframe.llm.language import identify
 from gleanframe.llm.near_dedup import near_duplicates
+from gleanframe.llm.pii import personal_data
 from gleanframe.llm.quotes import reply_order
 from gleanframe.llm.resample import resample
+from gleanframe.llm.spelling import spelling_variants
 from gleanframe.llm.suffix_dedup import remove_repeats
 from gleanframe.llm.toxicity import toxicity
 from gleanframe.llm.url_rules import judge
@@ -63,6 +65,14 @@ def op10_near_dedup(spark, folder):
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op11_spelling_variants(spark, folder):
+    return spelling_variants(table(spark, folder, "documents"), noise=199)
+
+
+def op12_personal_data(spark, folder):
+    return personal_data(table(spark, folder, "documents"))
+
+
 def op13_resample(spark, folder):
     return resample(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("n_words")
 
@@ -70,7 +80,7 @@ def op13_resample(spark, folder):
 def queries():
     return {f.__name__: f for f in (
         op1_toxicity, op2_warc, op3_exact_dedup, op4_url_filters, op5_quotation_linking, op6_language, op7_byte_bpe, op8_decontaminate,
-        op9_suffix_dedup, op10_near_dedup, op13_resample)}
+        op9_suffix_dedup, op10_near_dedup, op11_spelling_variants, op12_personal_data, op13_resample)}
 
 
 OP2_SQL = """
@@ -168,6 +178,35 @@ crc_table AS (
   FROM (SELECT item, hex(encode(item)) AS hexed FROM items), crc_table
 )"""
 
+OP11_SQL = r"""
+WITH RECURSIVE runs AS (
+  SELECT id, run, count(*) AS n FROM (
+    SELECT CAST(doc_id AS VARCHAR) AS id,
+           unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE length(run) >= 6 GROUP BY ALL
+), items AS (SELECT id || ':' || run AS item FROM runs), """ + CRC_SQL + r""", counted AS (
+  SELECT CASE WHEN crc % 199 = 0 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word, sum(n) AS n
+  FROM runs JOIN crcs ON item = id || ':' || run GROUP BY 1
+), words AS (SELECT word, CAST(n AS BIGINT) AS n FROM counted WHERE length(word) >= 6 AND n >= 5
+), shorter AS (
+  SELECT word, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS p FROM words)
+), near AS (
+  SELECT a.word, b.word AS other FROM shorter a JOIN shorter b USING (p, rest) WHERE a.word <> b.word
+  UNION SELECT s.word, w.word FROM shorter s JOIN words w ON s.rest = w.word
+  UNION SELECT w.word, s.word FROM shorter s JOIN words w ON s.rest = w.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(n) AS form_n, min(other) FILTER (n = top) AS form
+  FROM (SELECT near.word, other, n, max(n) OVER (PARTITION BY near.word) AS top FROM near JOIN words ON other = words.word) GROUP BY word
+), forms AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * n THEN form END AS form, CASE WHEN form_n >= 5 * n THEN form_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), chain AS (
+  SELECT word, word AS root FROM forms
+  UNION SELECT chain.word, forms.form FROM chain JOIN forms ON chain.root = forms.word WHERE forms.form IS NOT NULL
+), last AS (SELECT chain.word, root FROM chain JOIN forms ON chain.root = forms.word WHERE forms.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN last USING (word)
+"""
+
 OP13_SQL = r"""
 WITH words AS (
   SELECT src, id, item FROM (
@@ -195,4 +234,4 @@ SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN
 
 
 def oracle_sql():
-    return {"op13_resample": OP13_SQL, "op2_warc": OP2_SQL, "op4_url_filters": OP4_SQL, "op3_exact_dedup": OP3_SQL, "op8_decontaminate": OP8_SQL}
+    return {"op11_spelling_variants": OP11_SQL, "op13_resample": OP13_SQL, "op2_warc": OP2_SQL, "op4_url_filters": OP4_SQL, "op3_exact_dedup": OP3_SQL, "op8_decontaminate": OP8_SQL}
