@@ -163,7 +163,9 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 10, runs: int =
     if not drawn:
         return scored.withColumn("rank", none).select(F.col("id").alias(id_col), *out[1:])
     share = drawn / n
-    marks = [share * k / SLICES for k in range(1, SLICES)] + [share + (1 - share) * k / 16 for k in range(16)]
+    # Somewhat more slices than the share needs, as the sketch is near, not exact; then a few wide ones.
+    marks = [min(share * k / SLICES, 1.0) for k in range(1, SLICES + SLICES // 16)]
+    marks += [marks[-1] + (1 - marks[-1]) * k / 16 for k in range(1, 16)]
     cuts = scored.filter(fit).select(F.percentile_approx(-F.col("score"), marks, 100 * SLICES).alias("cuts")).first()["cuts"]
     scored = scored.withColumn("slice", F.when(fit, slice_of(-F.col("score"), sorted(set(cuts)))))
     before, total = {}, 0
