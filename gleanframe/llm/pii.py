@@ -106,10 +106,13 @@ def matches(text: Column, pattern: str) -> Column:
     """array<struct(start, end, match, before, after)> of all matches, leftmost first, in code points. Two passes of the pattern:
     the matches, and what lies between them."""
     def spans(at: Column) -> Column:
-        return let(prefix(F.zip_with(at["gaps"], at["found"], lambda g, m: F.length(g) + F.coalesce(F.length(m), F.lit(0)))),
-                   lambda before: F.transform(at["found"], lambda m, i: let(F.get(before, i) + F.length(F.get(at["gaps"], i)), lambda start: F.struct(
-                       start.alias("start"), (start + F.length(m)).alias("end"), m.alias("match"),
-                       F.right(F.get(at["gaps"], i), F.lit(BEFORE)).alias("before"), F.left(F.get(at["gaps"], i + 1), F.lit(AFTER)).alias("after")))))
+        def placed(before: Column) -> Column:
+            return F.transform(at["found"], lambda m, i: let(F.get(before, i) + F.length(F.get(at["gaps"], i)), lambda start: F.struct(
+                start.alias("start"), (start + F.length(m)).alias("end"), m.alias("match"),
+                F.right(F.get(at["gaps"], i), F.lit(BEFORE)).alias("before"), F.left(F.get(at["gaps"], i + 1), F.lit(AFTER)).alias("after"))))
+
+        sizes = F.zip_with(at["gaps"], at["found"], lambda g, m: F.length(g) + F.coalesce(F.length(m), F.lit(0)))
+        return let(sizes, lambda own: let(prefix(own), placed))
 
     return let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps")), spans)
 
