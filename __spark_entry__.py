@@ -220,6 +220,13 @@ def similar_strings(spark, folder):
     return pairs.select("f1", "f2", F.round("value", 6).alias("value"))
 
 
+def similar_lines(spark, folder):
+    """The same over the lines of all documents, of up to tens of thousands of characters."""
+    lines = table(spark, folder, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
+    pairs = gf.similar_strings(lines, "line")
+    return pairs.select("f1", "f2", F.round("value", 6).alias("value"))
+
+
 def features_json_read(spark, folder):
     names = ["event_id", "value_fair", "event_type", "code_text"]
     documents = messy(spark, folder).select(
@@ -287,7 +294,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         missing_normalised, token_kinds, feature_state, feature_types, feature_range, feature_center, feature_domain,
         incompatible_cells, incompatibility_report, features_by_state, dataset_summary, evaluation_report, describe_feature,
         outlier_cells, outliers_verdicts, outliers_grubbs_step, outliers_grubbs, cell_status, curated_table, clean_table,
-        similar_strings, features_json_read, csv_read, bracketed_values, similarity_none, dedup_headers, number_render, curate_events,
+        similar_strings, similar_lines, features_json_read, csv_read, bracketed_values, similarity_none, dedup_headers, number_render, curate_events,
         curate_events_table,
     ]
     return {

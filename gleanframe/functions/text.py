@@ -24,8 +24,9 @@ def clean_name(c: Column) -> Column:
 def jaro_batch(left: list[str], right: list[str]) -> np.ndarray:
     """Jaro similarity of aligned string lists.
 
-    The scan over positions of the first string is a Python loop; each step handles all pairs of
-    the batch at once. An empty string is similar (1.0) only to an empty string.
+    A character takes the first free equal one in its window. Equal characters compete only with each other, and windows move to
+    the right, so two pointers over the positions in (character, position) order decide it: one step for all pairs of the batch
+    at once, at most as many steps as both strings are long. An empty string is similar (1.0) only to an empty string.
     """
     k = len(left)
     if k == 0:
@@ -34,25 +35,32 @@ def jaro_batch(left: list[str], right: list[str]) -> np.ndarray:
     lb = np.fromiter((len(s) for s in right), np.int64, k)
     wa, wb = max(int(la.max()), 1), max(int(lb.max()), 1)
 
-    def codes(strings: list[str], width: int, pad: int) -> np.ndarray:
-        m = np.full((k, width), pad, np.int64)
+    def codes(strings: list[str], width: int) -> np.ndarray:
+        m = np.full((k, width), 1 << 30, np.int32)
         for i, s in enumerate(strings):
             if s:
                 m[i, : len(s)] = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
         return m
 
-    a, b = codes(left, wa, -1), codes(right, wb, -2)
+    a, b = codes(left, wa), codes(right, wb)
     window = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
-    positions = np.arange(wb)
-    used_b = np.zeros((k, wb), bool)
-    used_a = np.zeros((k, wa), bool)
-    rows = np.arange(k)
-    for i in range(wa):
-        hit = (b == a[:, i : i + 1]) & ~used_b & (np.abs(positions[None, :] - i) <= window[:, None])
-        found = hit.any(axis=1)
-        first = hit.argmax(axis=1)
-        used_b[rows[found], first[found]] = True
-        used_a[found, i] = True
+    place_a, place_b = np.argsort(a, axis=1, kind="stable"), np.argsort(b, axis=1, kind="stable")
+    used_a, used_b = np.zeros((k, wa), bool), np.zeros((k, wb), bool)
+    rows = np.flatnonzero((la > 0) & (lb > 0))
+    i, j = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+    while len(rows):
+        at_a, at_b = place_a[rows, i], place_b[rows, j]
+        step, apart = np.sign(a[rows, at_a] - b[rows, at_b]), at_b - at_a
+        near = window[rows]
+        step = np.where(step == 0, (apart < -near).astype(np.int32) - (apart > near), step)
+        hit = step == 0
+        used_a[rows[hit], at_a[hit]] = True
+        used_b[rows[hit], at_b[hit]] = True
+        i += step <= 0
+        j += step >= 0
+        more = (i < la[rows]) & (j < lb[rows])
+        if not more.all():
+            rows, i, j = rows[more], i[more], j[more]
     m = used_a.sum(axis=1)
     # Matched characters of each side moved to the front, in order, then compared by position.
     fa = np.take_along_axis(np.where(used_a, a, -3), np.argsort(~used_a, axis=1, kind="stable"), axis=1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +41,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """Written to the checkpoint folder as a table and read again; the folder's copy goes when the driver ends."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/gleanframe-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread_out(df: DataFrame) -> DataFrame:
     """Repartition an input that the planner expects to be small; others have splits enough. Runs nothing."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -362,6 +362,12 @@ FROM cells WHERE t IS NOT NULL GROUP BY 1, 2""",
         "covariance_pairs": pair_report(DERIVED_COLUMNS, COVARIANCE, "value >= 0.9 OR value <= -1", 2),
         "similar_strings": """WITH d AS (SELECT DISTINCT p_name AS s FROM part WHERE trim(p_name) NOT IN ('?', '', 'None', 'nan', 'NaN'))
 SELECT a.s AS f1, b.s AS f2, round(jaro_similarity(a.s, b.s), 6) AS value FROM d a JOIN d b ON a.s > b.s WHERE jaro_similarity(a.s, b.s) >= 0.92""",
+        # jaro_similarity compares bytes: every letter beyond ASCII becomes one unused byte.
+        "similar_lines": """WITH d AS (SELECT s, length(s) AS n, translate(s, 'ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü',
+  array_to_string(list_transform(range(1, 9) || range(14, 27), lambda k: chr(k::INT)), '')) AS plain
+ FROM (SELECT DISTINCT unnest(string_split(text, chr(10))) AS s FROM documents) WHERE trim(s) NOT IN ('?', '', 'None', 'nan', 'NaN'))
+SELECT a.s AS f1, b.s AS f2, round(jaro_similarity(a.plain, b.plain), 6) AS value FROM d a JOIN d b
+ ON a.s > b.s AND least(a.n, b.n) >= 0.75 * greatest(a.n, b.n) WHERE jaro_similarity(a.plain, b.plain) >= 0.92""",
         "features_json_read": f"WITH {MESSY} SELECT CAST(event_id AS DOUBLE) AS event_id, value_fair, event_type, code_text FROM em",
         "dedup_headers": "SELECT CAST(event_id AS DOUBLE) AS a1, CAST(user_id AS DOUBLE) AS b, 'z' AS a2 FROM events",
         "csv_read": f"""WITH {MESSY} SELECT CAST(event_id AS DOUBLE) AS id, value_fair AS value1,

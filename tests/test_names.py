@@ -73,17 +73,35 @@ def variants(rng, n, alphabet, longest):
     return sorted(words)
 
 
-@pytest.mark.parametrize("tile,threshold", [(1000, 0.92), (5, 0.92), (50, 0.85)])
-def test_blocking_loses_no_pair(spark, monkeypatch, tile, threshold):
+@pytest.mark.parametrize("tile,threshold,known", [(2000, 0.92, 1 << 16), (5, 0.92, 7), (50, 0.8, 1 << 16)])
+def test_the_prefix_join_loses_no_pair(spark, monkeypatch, tile, threshold, known):
     monkeypatch.setattr(names, "TILE", tile)
+    monkeypatch.setattr(names, "KNOWN_COUNTS", known)
     rng = np.random.default_rng(9)
-    words = variants(rng, 150, "abcdefgh", 12) + variants(rng, 60, "0123456789-", 30)
-    words += [f"Item#{i:05d}" for i in range(60)]
+    words = variants(rng, 150, "abcdefgh", 12) + variants(rng, 60, "0123456789-", 30) + variants(rng, 15, "abc d", 300)
+    words += [f"Item#{i:05d}" for i in range(60)] + ["😀é" * 20, "😀é" * 19 + "😀"]
     words = sorted(set(words))
     df = spark.createDataFrame([(w,) for w in words], "w string")
-    got = {(r["f2"], r["f1"]) for r in similar_strings(df, "w", threshold).collect()}
+    got = [(r["f2"], r["f1"]) for r in similar_strings(df, "w", threshold).collect()]
     want = {(a, b) for a, b in combinations(words, 2) if jaro(a, b) >= threshold}
-    assert got == want and len(want) > 100
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
+def test_prefix_size():
+    for threshold in (0.92, 0.85, 0.7, 0.5):
+        for n in range(1, 400):
+            partners = [(m, k) for k in range(1, 800) for m in [max(1, names.least_matches(n, k, threshold))] if m <= min(n, k)]
+            assert names.prefix_size(n, threshold) >= n - min(m for m, _ in partners) + 1
+    assert all(names.prefix_size(n, 0.92) <= 0.3 * n + 10 for n in range(1, 5000))
+
+
+def test_long_strings(spark):
+    rng = np.random.default_rng(2)
+    base = "".join(rng.choice(list("abcdefgh "), 3000))
+    df = spark.createDataFrame([(base,), (base[:-40],), (base[::-1],), (base[:1500] + "x" * 60 + base[1500:],)], "w string")
+    got = {(r["f2"], r["f1"]) for r in similar_strings(df, "w").collect()}
+    words = [r["w"] for r in df.collect()]
+    assert got == {(min(a, b), max(a, b)) for a, b in combinations(words, 2) if jaro(a, b) >= 0.92} and got
 
 
 def test_missing_and_repeated_values(spark):
