@@ -309,7 +309,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "corr_pearson": _pairs("pearson"),
         "corr_spearman": _pairs("spearman"),
         "corr_kendall": _pairs("kendall", oracles.KENDALL_COLUMNS),
-        "corr_kendall_all": _pairs("kendall"),  # every derived column, for which the SQL of corr_kendall is quadratic
+        "corr_kendall_all": _pairs("kendall"),  # every derived column
         "covariance_pairs": _pairs("covariance", digits=2),
         **(llm.queries() | {"pipeline": corpus_pipeline.run} if llm else {}),
     }

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from gleanframe.functions.missing import DEFAULT_TOKENS, column, normalise_missing
 from gleanframe.operators.features import raw_number, supported_columns
 from gleanframe.operators.kendall import kendall_tau
-from gleanframe.operators.materialise import materialise, spread_out
+from gleanframe.operators.materialise import spread_out, staged
 from gleanframe.operators.moments import pair_moments
 from gleanframe.operators.running import hot_lookup, running_totals
 
@@ -82,7 +82,7 @@ def pair_values(
 ) -> dict[tuple[str, str], float]:
     """The value of every usable pair (earlier column, later column), before the report filter.
 
-    With ``at_least``, Spearman pairs that provably stay below it may be left out.
+    With ``at_least``, Spearman and Kendall pairs that provably stay below it may be left out.
     """
     method = method_name(method)
     if method == "none":
@@ -98,7 +98,7 @@ def pair_values(
         moments = pair_moments(clean, spec, pairs)
         return {p: (m.correlation() if method == "pearson" else m.covariance()) for p, m in moments.items()}
     if method == "kendall":
-        return kendall_tau(clean, {c.name: c.x for c in usable}, pairs)
+        return kendall_tau(clean, {c.name: c.x for c in usable}, pairs, n_rows, at_least)
     if at_least is not None:
         pairs = _may_reach(clean, usable, n_rows, pairs, at_least)
         usable = [c for c in usable if any(c.name in p for p in pairs)]
@@ -203,7 +203,7 @@ def _spearman(df, usable, n_rows, pairs, key):
         ids = [f"_k{i}" for i in range(len(key))]
     else:
         # Without a key the rows are numbered, and written once so that the numbers hold.
-        table = materialise(spread_out(df.select(*needed)).select(F.monotonically_increasing_id().alias("_k0"), "*"))
+        table = staged(spread_out(df.select(*needed)).select(F.monotonically_increasing_id().alias("_k0"), "*"))
         ids = ["_k0"]
 
     def member(pattern: frozenset, name: str) -> Column:
@@ -220,7 +220,7 @@ def _spearman(df, usable, n_rows, pairs, key):
                 .select(*carried, "s.g", "s.value").filter("value IS NOT NULL"))
 
     counts = spread(members).groupBy("g", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranks = materialise(running_totals(counts, ["g"], ["value"], ["n"]).select(
+    ranks = staged(running_totals(counts, ["g"], ["value"], ["n"], at_most=n_rows).select(
         "g", "value", "n", (F.col("n_before") + (F.col("n") + 1) / 2).alias("rank")))
     sizes = {r["g"]: (r["d"], r["n"]) for r in ranks.groupBy("g").agg(
         F.count(F.lit(1)).alias("d"), F.sum("n").alias("n")).collect()}

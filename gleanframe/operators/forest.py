@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from gleanframe.functions.missing import DEFAULT_TOKENS, column, normalise_missing
 from gleanframe.operators.features import NUMERIC, emit_cells, load, number_of, text_of
-from gleanframe.operators.materialise import materialise, spread_out
+from gleanframe.operators.materialise import materialise, spread_out, staged
 from gleanframe.operators.profile import distinct_values
 from gleanframe.operators.quantiles import exact_quantiles
 from gleanframe.operators.running import hot_lookup, running_totals
@@ -126,7 +126,7 @@ def text_codes(df: DataFrame, features: Sequence[str]) -> DataFrame | None:
     if not features:
         return None
     values = distinct_values(df, features).withColumn("one", F.lit(1).cast("bigint"))
-    return materialise(running_totals(values, ["feature"], ["value"], ["one"]).select(
+    return staged(running_totals(values, ["feature"], ["value"], ["one"]).select(
         "feature", "value", "n", F.col("one_before").cast("double").alias("code")))
 
 

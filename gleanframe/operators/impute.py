@@ -141,7 +141,7 @@ def random_fills(clean: DataFrame, rows: Sequence[Row], key: Sequence[str], seed
         clean.select(*map(column, key), F.explode(F.array(*slots)).alias("s"))
         .filter("s IS NOT NULL").select(*map(column, key), "s.*", F.lit(1).cast("bigint").alias("one"))
     )
-    numbered = running_totals(spread, ["feature", "part"], ["h"], ["one"])
+    numbered = running_totals(spread, ["feature", "part"], ["h"], ["one"], at_most=max(r["n_rows"] for r in rows))
     # A hole and the observed value of the same number form a group of two.
     hole, seen = F.col("part") == "hole", F.col("part") == "observed"
     met = numbered.groupBy("feature", "one_before").agg(

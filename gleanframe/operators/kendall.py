@@ -1,6 +1,9 @@
 """Kendall tau-b of many column pairs, exactly, without comparing rows pairwise.
 
-Rows collapse to distinct (x, y) with counts. Each x is replaced by its position among the distinct
+First a bound: every column is cut into a few buckets, and the counts of all pairs of buckets, one scan for all pairs of columns,
+tell how many pairs of rows are discordant at least. Only pairs of columns that can still reach what is asked for go on.
+
+For those, rows collapse to distinct (x, y) with counts. Each x is replaced by its position among the distinct
 x values, written in base 16. Two rows with different x first differ at one digit; at that digit
 they lie in the same block (equal higher digits). So the concordant and discordant rows of every
 block follow from running totals in y order, one per digit value, and each pair of rows is counted
@@ -10,24 +13,101 @@ at exactly one digit. Blocks of any size are spread over tasks by ``running_tota
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanframe.operators.materialise import materialise, spread_out
+from gleanframe.operators.materialise import spread_out, staged
 from gleanframe.operators.running import hot_lookup, running_totals
+from gleanframe.operators.slices import slice_of
 
 BITS = 4
 FAN = 1 << BITS
+# Buckets of a column for the bound, column pairs counted in one scan, and pairs whose rows are expanded at a time.
+GRID, PAIRS_A_SCAN, PAIRS_AT_ONCE = 16, 5_000, 8
+
+
+def discordant(grid: np.ndarray) -> np.ndarray:
+    """Per GRID x GRID table of row counts: how many pairs of rows are surely discordant, x in a higher bucket and y in a lower."""
+    lower_x = np.cumsum(grid, axis=1) - grid
+    higher_y = np.cumsum(lower_x[:, :, ::-1], axis=2)[:, :, ::-1] - lower_x
+    return (grid * higher_y).sum(axis=(1, 2))
+
+
+def tau_bound(grid: np.ndarray) -> np.ndarray:
+    """An upper bound of tau-b per table.
+
+    Of the N pairs of rows, those untied in x are at most N, those untied in y too; let m be the lesser number. Then
+    C - D <= m - 2 D, and tau-b, which divides by the geometric mean of the two numbers, is at most 1 - 2 D / m <= 1 - 2 D / N.
+    """
+    n = grid.sum(axis=(1, 2))
+    return np.where(n > 1, 1 - 2 * discordant(grid) / np.maximum(n * (n - 1) / 2, 1), 0.0)
+
+
+def within_reach(
+    df: DataFrame, columns: Mapping[str, Column], pairs: Sequence[tuple[str, str]], at_least: float
+) -> list[tuple[str, str]]:
+    """The pairs whose bound leaves room for at_least. Two scans: bucket borders, and counts of pairs of buckets."""
+    used = sorted({n for p in pairs for n in p})
+    marks = [k / GRID for k in range(1, GRID)]
+    cuts: dict[str, list] = {}
+    for at in range(0, len(used), 100):
+        batch = used[at : at + 100]
+        row = df.agg(*[F.percentile_approx(columns[n], marks, 1000).alias(f"c{i}") for i, n in enumerate(batch)]).first()
+        cuts |= {n: sorted(set(row[f"c{i}"] or [])) for i, n in enumerate(batch)}
+    place = {n: i for i, n in enumerate(used)}
+    codes = df.select(*[F.coalesce(slice_of(columns[n], cuts[n]), F.lit(-1)).cast("tinyint").alias(f"c{i}") for i, n in enumerate(used)])
+    out: list[tuple[str, str]] = []
+    for at in range(0, len(pairs), PAIRS_A_SCAN):
+        batch = pairs[at : at + PAIRS_A_SCAN]
+        sides = [(place[a], place[b]) for a, b in batch]
+
+        def count(batches: Iterator[pa.RecordBatch], sides=sides) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(sides), GRID * GRID), dtype=np.int64)
+            for rows in batches:
+                code = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in rows.columns]
+                for k, (a, b) in enumerate(sides):
+                    both = (code[a] >= 0) & (code[b] >= 0)
+                    total[k] += np.bincount(code[a][both] * GRID + code[b][both], minlength=GRID * GRID)
+            pair, cell = np.nonzero(total)
+            yield pa.RecordBatch.from_pydict({"pair": pa.array(pair, pa.int32()), "cell": pa.array(cell, pa.int32()), "n": pa.array(total[pair, cell])})
+
+        def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in batches:
+                grid = np.zeros((rows.num_rows, GRID * GRID))
+                for k, cells in enumerate(rows.column(1).to_pylist()):
+                    for c in cells:
+                        grid[k, c["cell"]] = c["n"]
+                fits = tau_bound(grid.reshape(-1, GRID, GRID)) >= at_least - 1e-9
+                yield pa.RecordBatch.from_arrays([rows.column(0).filter(pa.array(fits))], ["pair"])
+
+        counts = codes.mapInArrow(count, "pair int, cell int, n bigint").groupBy("pair", "cell").agg(F.sum("n").alias("n"))
+        tables = counts.groupBy("pair").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))
+        out += [batch[k] for k in sorted(r["pair"] for r in tables.mapInArrow(bound, "pair int").collect())]
+    return out
 
 
 def kendall_tau(
-    df: DataFrame, columns: Mapping[str, Column], pairs: Sequence[tuple[str, str]]
+    df: DataFrame, columns: Mapping[str, Column], pairs: Sequence[tuple[str, str]], n_rows: int | None = None, at_least: float | None = None,
 ) -> dict[tuple[str, str], float]:
-    """tau-b over the rows where both columns are present; 0 where it is undefined."""
+    """tau-b over the rows where both columns are present; 0 where it is undefined.
+
+    With at_least, pairs that provably stay below it are left out. The others' rows are expanded a few pairs at a time.
+    """
     pairs = list(pairs)
+    if at_least is not None and at_least > 0:
+        pairs = within_reach(df, columns, pairs, at_least)
+    out: dict[tuple[str, str], float] = {}
+    for at in range(0, len(pairs), PAIRS_AT_ONCE):
+        out |= _exact(df, columns, pairs[at : at + PAIRS_AT_ONCE], n_rows)
+    return out
+
+
+def _exact(df, columns, pairs, n_rows):
     used = sorted({n for p in pairs for n in p})
     alias = {n: f"c{i}" for i, n in enumerate(used)}
     slots = []
@@ -35,7 +115,7 @@ def kendall_tau(
         x, y = F.col(alias[a]), F.col(alias[b])
         slots.append(F.when(x.isNotNull() & y.isNotNull(),
                             F.struct(F.lit(i).alias("p"), x.alias("x"), y.alias("y"))))
-    cells = materialise(
+    cells = staged(
         spread_out(df.select(*[columns[n].alias(alias[n]) for n in used]))
         .select(F.explode(F.array(*slots)).alias("s")).filter("s IS NOT NULL")
         .groupBy(F.col("s.p").alias("p"), F.col("s.x").alias("x"), F.col("s.y").alias("y"))
@@ -53,7 +133,7 @@ def kendall_tau(
     ties_y = {r["p"]: r["t"] for r in by_y.groupBy("p").agg(choose2(F.col("n")).alias("t")).collect()}
 
     positions = running_totals(
-        by_x.select("p", "x", "cells", F.lit(1).cast("bigint").alias("one")), ["p"], ["x"], ["one"]
+        by_x.select("p", "x", "cells", F.lit(1).cast("bigint").alias("one")), ["p"], ["x"], ["one"], n_rows
     ).select("p", "x", "cells", F.col("one_before").alias("at"))
     placed = hot_lookup(cells, positions, ["p", "x"], "cells", ["p"], n_groups=len(pairs))
     top = positions.agg(F.max("at")).first()[0] or 0
@@ -72,7 +152,7 @@ def kendall_tau(
         .groupBy("p", "level", "block", "y")
         .agg(*[F.sum(F.when(F.col("digit") == k, F.col("n")).otherwise(0)).alias(own[k]) for k in range(FAN)])
     )
-    ranked = running_totals(lines, ["p", "level", "block"], ["y"], own)
+    ranked = running_totals(lines, ["p", "level", "block"], ["y"], own, n_rows)
 
     def wide(c) -> Column:
         return F.col(c).cast("decimal(19,0)")

@@ -1,118 +1,76 @@
 """Running totals over groups of any size, and joins against tables with hot keys.
 
-``Window.partitionBy(g).orderBy(v)`` puts a whole group into one task. Here the rows are range
-partitioned by (group, order), so one group spreads over as many tasks as it needs; every task adds
-up its own slice, and one small table supplies what the slice's first group had before the slice.
+``Window.partitionBy(g).orderBy(v)`` puts a whole group into one task. Here a large group is cut into slices of the order, whose
+bounds are literals of the plan: a slice is a pure function of the value, so a lost task finds the same rows again and nothing
+has to be written in between. One small table supplies what came before a slice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanframe.operators.materialise import materialise
-
+# Rows of a group that one task numbers; a larger group is cut into slices of about half as many.
+SLICE_ROWS = 1 << 20
+# Slices of one group at most; beyond, they grow.
+MOST_SLICES = 4096
 # Keys looked up by broadcast, over all groups together. With n rows in g groups, no other key has more
 # than n * g / HOT_KEYS rows.
 HOT_KEYS = 200_000
 
 
-def _runs(pdf: pd.DataFrame, group: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of the runs of equal group keys in a sorted batch."""
-    new = np.ones(len(pdf), bool)
-    keys = [pdf[g].to_numpy() for g in group]
-    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-    starts = np.flatnonzero(new)
-    return starts, np.diff(np.append(starts, len(pdf)))
+def _code(c: Column, kind: T.DataType) -> Column:
+    """A number that never falls as c rises: the first seven bytes of text, else the value itself."""
+    if isinstance(kind, T.StringType):
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("double")
+    return c.cast("double")
+
+
+def _slice_bounds(df: DataFrame, group: list[str], code: Column) -> DataFrame | None:
+    """(group, bounds) of the groups with more than SLICE_ROWS rows, of which a table of n rows has at most n / SLICE_ROWS."""
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > SLICE_ROWS)
+    large = sizes.collect()
+    if not large:
+        return None
+    spark, fields = df.sparkSession, [df.schema[g] for g in group]
+    names = spark.createDataFrame([tuple(r[g] for g in group) for r in large], T.StructType(fields))
+    n = min(MOST_SLICES, -(-2 * max(r["_n"] for r in large) // SLICE_ROWS))
+    marks = [k / n for k in range(1, n)]
+    rows = df.join(F.broadcast(names), group).groupBy(*group).agg(F.array_distinct(F.percentile_approx(code, marks, 20 * n)).alias("_bounds")).collect()
+    return spark.createDataFrame([tuple(r) for r in rows], T.StructType([*fields, T.StructField("_bounds", T.ArrayType(T.DoubleType()))]))
 
 
 def running_totals(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], sums: Sequence[str]
+    df: DataFrame, group: Sequence[str], order: Sequence[str], sums: Sequence[str], at_most: int | None = None,
 ) -> DataFrame:
     """Add ``<s>_before`` for every column in ``sums``: its total over the earlier rows of the group.
 
-    (group, order) must identify a row. Columns in ``sums`` are bigint or double and not NULL. The
-    broadcast table has one row per partition, however many groups there are.
+    (group, order) must identify a row and not be NULL. Columns in ``sums`` are bigint or double and not NULL. A caller that
+    knows how many rows a group has ``at_most`` spares the count that finds large groups. Rows come out in order within a slice.
     """
     group, order, sums = list(group), list(order), list(sums)
-    ranged = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
-    ranged = materialise(ranged).withColumn("_slice", F.spark_partition_id())
-
-    fields = {f.name: f.dataType for f in df.schema.fields}
-    edge_schema = T.StructType(
-        [T.StructField("_slice", T.IntegerType()), T.StructField("_first", T.BooleanType())]
-        + [T.StructField(g, fields[g]) for g in group]
-        + [T.StructField(f"_t_{s}", fields[s]) for s in sums]
-    )
-
-    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Totals of the first and the last group of the slice; only these can cross its borders."""
-        first = last = None
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            starts, _ = _runs(pdf, group)
-            totals = {s: np.add.reduceat(pdf[s].to_numpy(), starts) for s in sums}
-            for r in {0, len(starts) - 1}:
-                key = tuple(pdf[g].iat[starts[r]] for g in group)
-                part = [totals[s][r] for s in sums]
-                if last is not None and last[1] == key:
-                    last = (last[0], key, [a + b for a, b in zip(last[2], part)])
-                else:
-                    last = (int(pdf["_slice"].iat[0]), key, part)
-                if first is None or first[1] == key:
-                    first = last
-        if first is not None:
-            rows = [(first[0], True, *first[1], *first[2])]
-            if last[1] != first[1]:
-                rows.append((last[0], False, *last[1], *last[2]))
-            yield pd.DataFrame(rows, columns=edge_schema.names)
-
-    earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        ranged.select("_slice", *group, *sums).mapInPandas(edges, edge_schema)
-        .select("_slice", "_first", *group, *[F.sum(f"_t_{s}").over(earlier).alias(f"_o_{s}") for s in sums])
-        .filter("_first").drop("_first")
-    )
-    keyed = ranged.join(F.broadcast(offsets), ["_slice", *group], "left").select(
-        *df.columns, *[F.coalesce(f"_o_{s}", F.lit(0)).cast(fields[s]).alias(f"_o_{s}") for s in sums])
-
-    out_schema = T.StructType(
-        [T.StructField(c, fields[c]) for c in df.columns]
-        + [T.StructField(f"{s}_before", fields[s]) for s in sums]
-    )
-    columns = list(df.columns)
-
-    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_key: tuple | None = None
-        carry: dict[str, object] = {}
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            starts, lengths = _runs(pdf, group)
-            continues = last_key == tuple(pdf[g].iat[0] for g in group)
-            result = pdf[columns].copy()
-            for s in sums:
-                v = pdf[s].to_numpy()
-                total = np.cumsum(v)
-                exclusive = total - v
-                # A run's first exclusive total is what earlier runs of this batch added up to.
-                within = exclusive - np.repeat(exclusive[starts], lengths)
-                base = pdf[f"_o_{s}"].to_numpy()[starts].copy()
-                if continues:
-                    base[0] = carry[s]
-                before = within + np.repeat(base, lengths)
-                result[f"{s}_before"] = before
-                carry[s] = before[-1] + v[-1]
-            last_key = tuple(pdf[g].iat[-1] for g in group)
-            yield result
-
-    return keyed.mapInPandas(add_up, out_schema)
+    code = _code(F.col(order[0]), df.schema[order[0]].dataType)
+    bounds = None if at_most is not None and at_most <= SLICE_ROWS else _slice_bounds(df, group, code)
+
+    def before(s: str, *within: str) -> Column:
+        earlier = Window.partitionBy(*group, *within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(s).over(earlier), F.lit(0)).cast(df.schema[s].dataType)
+
+    if bounds is None:
+        return df.select("*", *[before(s).alias(f"{s}_before") for s in sums])
+    number = F.coalesce(F.size(F.filter("_bounds", lambda b: b <= code)), F.lit(0))
+    sliced = df.join(F.broadcast(bounds), group, "left").withColumn("_slice", F.when(F.col("_bounds").isNotNull(), number).otherwise(0))
+    totals = sliced.filter("_bounds IS NOT NULL").groupBy(*group, "_slice").agg(*[F.sum(s).alias(s) for s in sums])
+    ahead = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    # A row per slice: the table's rows over SLICE_ROWS / 2.
+    offsets = totals.select(*group, "_slice", *[F.sum(s).over(ahead).alias(f"_o_{s}") for s in sums])
+    rows = sliced.drop("_bounds").select("*", *[before(s, "_slice").alias(f"{s}_before") for s in sums])
+    joined = rows.join(F.broadcast(offsets), [*group, "_slice"], "left")
+    return joined.select(*df.columns, *[
+        (F.col(f"{s}_before") + F.coalesce(f"_o_{s}", F.lit(0))).cast(df.schema[s].dataType).alias(f"{s}_before") for s in sums])
 
 
 def hot_lookup(

@@ -290,6 +290,15 @@ KENDALL = """, t AS (SELECT a AS x, b AS y, CAST(count(*) AS DOUBLE) AS n FROM p
  ty AS (SELECT sum(k * (k - 1)) / 2.0 AS v FROM (SELECT sum(n) AS k FROM t GROUP BY y))
  SELECT s / nullif(sqrt((nn * (nn - 1) / 2.0 - tx.v) * (nn * (nn - 1) / 2.0 - ty.v)), 0) FROM s, z, tx, ty"""
 
+#: The same score without pairs of rows: at each binary digit of x's position, rows with a one against those with a zero in their block.
+KENDALL_BY_DIGITS = KENDALL.replace("""s AS (SELECT sum(l.n * r.n * sign(l.x - r.x) * sign(l.y - r.y)) / 2.0 AS s FROM t l, t r)""",
+ """k AS (SELECT dense_rank() OVER (ORDER BY x) - 1 AS x, y, CAST(n AS BIGINT) AS n FROM t),
+ lv AS (SELECT unnest(range(CAST(ceil(log2(max(x) + 1)) AS BIGINT))) AS l FROM k),
+ g AS (SELECT l, x >> (l + 1) AS block, y, sum(CASE WHEN (x >> l) & 1 = 0 THEN n ELSE 0 END) AS n0, sum(CASE WHEN (x >> l) & 1 = 1 THEN n ELSE 0 END) AS n1
+  FROM k, lv GROUP BY ALL),
+ w AS (SELECT n0, n1, sum(n0) OVER (PARTITION BY l, block ORDER BY y) AS upto, sum(n0) OVER (PARTITION BY l, block) AS zeros FROM g),
+ s AS (SELECT CAST(sum(n1 * ((upto - n0) - (zeros - upto))) AS DOUBLE) AS s FROM w)""")
+
 REPORT_FACTS = """ SELECT feature, storage, var_type, measure_type, n_missing, state, lo AS min, hi AS max,
  CASE WHEN var_type = 'unknown' THEN 'yes, unknown type of data' WHEN state = 'bad' THEN 'yes, bad feature' ELSE 'no' END AS incompatibility,
  CASE WHEN var_type = 'unknown' THEN n_rows - n_missing - n_number ELSE 0 END AS n_incompatible, outlier_verdict, n_outliers
@@ -359,6 +368,7 @@ FROM cells WHERE t IS NOT NULL GROUP BY 1, 2""",
         "corr_pearson": pair_report(DERIVED_COLUMNS, PEARSON, correlation, 6),
         "corr_spearman": pair_report(DERIVED_COLUMNS, SPEARMAN, correlation, 6),
         "corr_kendall": pair_report(KENDALL_COLUMNS, KENDALL, correlation, 6),
+        "corr_kendall_all": pair_report(DERIVED_COLUMNS, KENDALL_BY_DIGITS, correlation, 6),
         "covariance_pairs": pair_report(DERIVED_COLUMNS, COVARIANCE, "value >= 0.9 OR value <= -1", 2),
         "similar_strings": """WITH d AS (SELECT DISTINCT p_name AS s FROM part WHERE trim(p_name) NOT IN ('?', '', 'None', 'nan', 'NaN'))
 SELECT a.s AS f1, b.s AS f2, round(jaro_similarity(a.s, b.s), 6) AS value FROM d a JOIN d b ON a.s > b.s WHERE jaro_similarity(a.s, b.s) >= 0.92""",

@@ -13,6 +13,7 @@ from gleanframe.operators.outliers import (
 )
 from gleanframe.operators.profile import profile, summarise
 from gleanframe.operators.quantiles import exact_quantiles
+from gleanframe.operators import running
 from gleanframe.operators.running import hot_lookup, running_totals
 
 FAR = {("sonar_depth_cm", 4), ("sonar_depth_cm", 9), ("sonar_depth_mm", 4), ("sonar_depth_mm", 9), ("salinity", 6)}
@@ -137,7 +138,13 @@ def test_exact_quantiles(spark, accuracy, limit):
         assert np.allclose(got[c], np.quantile(data[c], probs), rtol=1e-12, atol=0), c
 
 
-def test_running_totals_over_a_hot_group(spark):
+@pytest.mark.parametrize("slice_rows", [1 << 20, 50, 7])
+def test_running_totals_over_a_hot_group(spark, monkeypatch, slice_rows):
+    monkeypatch.setattr(running, "SLICE_ROWS", slice_rows)
+    text = [(f"{v * 7919 % 997:04d}é", v) for v in range(400)]
+    words = spark.createDataFrame([("a", *t) for t in text], "g string, v string, n long").repartition(3)
+    got = {r["v"]: r["n_before"] for r in running_totals(words, ["g"], ["v"], ["n"]).collect()}
+    assert got == {w: sum(n for x, n in text if x < w) for w, _ in text}
     rows = [(g, float(v), int(v) % 7 + 1) for g in ("a", "b", "c") for v in range(900 if g == "a" else 40)]
     df = spark.createDataFrame(rows, "g string, v double, n long").repartition(7)
     got = {(r["g"], r["v"]): r["n_before"] for r in running_totals(df, ["g"], ["v"], ["n"]).collect()}

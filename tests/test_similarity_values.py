@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as registry
 import oracles
 from conftest import PROBE_NAMES
-from gleanframe.operators import correlation
+from gleanframe.operators import correlation, kendall
 from gleanframe.operators.correlation import correlated_pairs, pair_values
 from gleanframe.operators.moments import pair_moments
 
@@ -162,3 +162,34 @@ def test_registered_kendall_reads_every_derived_column(spark, tmp_path):
     want = {(q, p): round(v, 6) for p, q in combinations(usable, 2) if (v := brute("kendall", data[p], data[q])) >= 0.9}
     got = {(r["f1"], r["f2"]): r["value"] for r in registry.queries()["corr_kendall_all"](spark, str(tmp_path)).collect()}
     assert ("price_net", "price") in want and {k: v for k, v in got.items() if k[0] in data and k[1] in data} == want
+
+
+def test_tau_bound_is_never_too_low():
+    rng = np.random.default_rng(11)
+    for _ in range(200):
+        n = int(rng.integers(2, 80))
+        a = rng.integers(0, rng.integers(2, 60), n).astype(float)
+        b = np.round(a * rng.normal() + rng.normal(size=n) * rng.choice([0.1, 3, 30]))
+        cuts = [np.unique(np.quantile(v, np.arange(1, kendall.GRID) / kendall.GRID)) for v in (a, b)]
+        code = [np.searchsorted(c, v, side="right") for c, v in zip(cuts, (a, b))]
+        grid = np.zeros((1, kendall.GRID, kendall.GRID))
+        np.add.at(grid[0], tuple(code), 1)
+        x, y = np.sign(a[:, None] - a), np.sign(b[:, None] - b)
+        plain = (np.greater.outer(code[0], code[0]) & np.less.outer(code[1], code[1])).sum()
+        assert kendall.discordant(grid)[0] == plain <= (x * y < 0).sum() / 2
+        assert kendall.tau_bound(grid)[0] >= brute("kendall", a, b) - 1e-9
+
+
+def test_pruned_kendall_keeps_what_is_reported(spark, monkeypatch):
+    monkeypatch.setattr(kendall, "PAIRS_A_SCAN", 4)
+    monkeypatch.setattr(kendall, "PAIRS_AT_ONCE", 2)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=600)
+    data = {"a": x, "b": x + rng.normal(size=600) * 0.02, "c": x + rng.normal(size=600), "d": rng.normal(size=600), "e": -x, "f": np.round(x * 2)}
+    rows = [[None if k in (1, 3) and i % 5 == 0 else float(v[i]) for k, v in enumerate(data.values())] for i in range(600)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in data)).repartition(5)
+    columns, pairs = {n: F.col(n) for n in data}, list(combinations(data, 2))
+    whole = kendall.kendall_tau(df, columns, pairs)
+    pruned = kendall.kendall_tau(df, columns, pairs, 600, 0.9)
+    assert {p: v for p, v in whole.items() if v >= 0.9} == {p: v for p, v in pruned.items() if v >= 0.9} and ("a", "b") in pruned
+    assert len(pruned) < len(pairs) / 2
