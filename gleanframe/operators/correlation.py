@@ -15,7 +15,7 @@ from gleanframe.operators.features import raw_number, supported_columns
 from gleanframe.operators.kendall import kendall_tau
 from gleanframe.operators.materialise import spread_out, staged
 from gleanframe.operators.moments import pair_moments
-from gleanframe.operators.running import hot_lookup, running_totals
+from gleanframe.operators.running import SLICE_ROWS, hot_lookup, running_totals
 
 METHODS = ("spearman", "pearson", "kendall", "covariance", "none")
 METHOD_IDS = {1: "spearman", 2: "pearson", 3: "kendall", 4: "covariance", 5: "none"}
@@ -220,6 +220,8 @@ def _spearman(df, usable, n_rows, pairs, key):
                 .select(*carried, "s.g", "s.value").filter("value IS NOT NULL"))
 
     counts = spread(members).groupBy("g", "value").agg(F.count(F.lit(1)).alias("n"))
+    if n_rows > SLICE_ROWS:  # read several times then
+        counts = staged(counts)
     ranks = staged(running_totals(counts, ["g"], ["value"], ["n"], at_most=n_rows).select(
         "g", "value", "n", (F.col("n_before") + (F.col("n") + 1) / 2).alias("rank")))
     sizes = {r["g"]: (r["d"], r["n"]) for r in ranks.groupBy("g").agg(

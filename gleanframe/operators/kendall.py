@@ -3,11 +3,10 @@
 First a bound: every column is cut into a few buckets, and the counts of all pairs of buckets, one scan for all pairs of columns,
 tell how many pairs of rows are discordant at least. Only pairs of columns that can still reach what is asked for go on.
 
-For those, rows collapse to distinct (x, y) with counts. Each x is replaced by its position among the distinct
-x values, written in base 16. Two rows with different x first differ at one digit; at that digit
-they lie in the same block (equal higher digits). So the concordant and discordant rows of every
-block follow from running totals in y order, one per digit value, and each pair of rows is counted
-at exactly one digit. Blocks of any size are spread over tasks by ``running_totals``.
+For those, rows collapse to distinct (x, y) with counts and are dealt to slices of x. Inside a slice a task counts by merging, in
+n log n. Rows of different slices first differ at one base-16 digit of their slices' numbers; at that digit they lie in the same
+block (equal higher digits). So the concordant and discordant rows of every block follow from running totals in y order, one per
+digit value, and each pair of rows is counted at exactly one digit. An x that fills a slice alone has nothing to count inside.
 """
 
 from __future__ import annotations
@@ -22,11 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanframe.operators.materialise import spread_out, staged
-from gleanframe.operators.running import hot_lookup, running_totals
+from gleanframe.operators.running import running_totals
 from gleanframe.operators.slices import slice_of
 
 BITS = 4
 FAN = 1 << BITS
+# Distinct (x, y) that one task merges, and slices of a pair at most; beyond, slices grow.
+SLICE_CELLS, MOST_SLICES = 1 << 20, 1024
 # Buckets of a column for the bound, column pairs counted in one scan, and pairs whose rows are expanded at a time.
 GRID, PAIRS_A_SCAN, PAIRS_AT_ONCE = 16, 5_000, 8
 
@@ -126,22 +127,98 @@ def _exact(df, columns, pairs, n_rows):
         wide = n.cast("decimal(19,0)")
         return F.sum((wide * (wide - 1)).cast("decimal(38,0)"))
 
-    by_x = cells.groupBy("p", "x").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("cells"))
-    by_y = cells.groupBy("p", "y").agg(F.sum("n").alias("n"))
-    total = {r["p"]: r["n"] for r in cells.groupBy("p").agg(F.sum("n").alias("n")).collect()}
-    ties_x = {r["p"]: r["t"] for r in by_x.groupBy("p").agg(choose2(F.col("n")).alias("t")).collect()}
-    ties_y = {r["p"]: r["t"] for r in by_y.groupBy("p").agg(choose2(F.col("n")).alias("t")).collect()}
+    sizes = {r["p"]: r for r in cells.groupBy("p").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("cells")).collect()}
+    ties_x, ties_y = ({r["p"]: r["t"] for r in cells.groupBy("p", c).agg(F.sum("n").alias("n")).groupBy("p").agg(choose2(F.col("n")).alias("t")).collect()}
+                      for c in ("x", "y"))
+    inside, across, slices = _sliced(cells, max((r["cells"] for r in sizes.values()), default=0))
+    scores = {r["p"]: r["s"] for r in _inside(inside).groupBy("p").agg(F.sum("s").alias("s")).collect()}
+    if across is not None:
+        for r in _across(across, slices, n_rows).groupBy("p").agg(F.sum("s").alias("s")).collect():
+            scores[r["p"]] = (scores.get(r["p"]) or 0) + (r["s"] or 0)
+
+    out = {}
+    for i, pair in enumerate(pairs):
+        n = Decimal(sizes[i]["n"] if i in sizes else 0)
+        all_pairs = n * (n - 1) / 2
+        # choose2 summed n(n-1), twice the number of tied pairs.
+        rest = (all_pairs - (ties_x.get(i) or Decimal(0)) / 2) * (all_pairs - (ties_y.get(i) or Decimal(0)) / 2)
+        out[pair] = float((scores.get(i) or Decimal(0)) / rest.sqrt()) if rest > 0 else 0.0
+    return out
 
-    positions = running_totals(
-        by_x.select("p", "x", "cells", F.lit(1).cast("bigint").alias("one")), ["p"], ["x"], ["one"], n_rows
-    ).select("p", "x", "cells", F.col("one_before").alias("at"))
-    placed = hot_lookup(cells, positions, ["p", "x"], "cells", ["p"], n_groups=len(pairs))
-    top = positions.agg(F.max("at")).first()[0] or 0
-    levels = max(1, math.ceil((top + 1).bit_length() / BITS))
 
-    digits = placed.select("p", "y", "n", "at", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level"))
+def _sliced(cells: DataFrame, largest: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """cells with ``at``, the number of their slice of x: those whose slice holds several x, and all if there are several slices."""
+    n = min(MOST_SLICES, -(-largest // SLICE_CELLS))
+    if n < 2:
+        return cells.withColumn("at", F.lit(0)), None, 1
+    marks = [k / n for k in range(1, n)]
+    at, alone, slices = F.lit(0), F.lit(False), 1
+    for r in cells.groupBy("p").agg(F.percentile_approx("x", marks, 20 * n).alias("cuts")).collect():
+        many = {a for a, b in zip(r["cuts"], r["cuts"][1:]) if a == b}
+        cuts = sorted(set(r["cuts"]) | {math.nextafter(float(x), math.inf) for x in many})
+        slices = max(slices, len(cuts) + 1)
+        at = F.when(F.col("p") == r["p"], slice_of(F.col("x"), cuts)).otherwise(at)
+        alone = alone | ((F.col("p") == r["p"]) & F.col("x").isin(sorted(many))) if many else alone
+    placed = cells.withColumn("at", at)
+    return placed.filter(~alone), placed, slices
+
+
+def concordance(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> int:
+    """Concordant less discordant pairs of rows, where cell k stands for n[k] rows. Binary digits of x's position, highest first;
+    the cells lie in (block, y) order throughout."""
+    order = np.argsort(y, kind="stable")
+    x, y, n = np.unique(x, return_inverse=True)[1][order], y[order], n[order]
+    exact = n if float(n.sum()) < 2.0**31 else n.astype(object)
+    total, rows = 0, np.arange(len(x))
+    for level in reversed(range(int(x.max()).bit_length())):
+        block, one = x >> (level + 1), ((x >> level) & 1) == 1
+        zeros = np.where(one, 0, n)
+        upto = np.cumsum(zeros)
+        new_block = np.diff(block, prepend=-1) != 0
+        new_y = new_block | (np.diff(y, prepend=y[0]) != 0)
+        first_block, first_y = (np.maximum.accumulate(np.where(new, rows, 0)) for new in (new_block, new_y))
+        last_block, last_y = (np.append(np.flatnonzero(new)[1:], len(x))[np.cumsum(new) - 1] - 1 for new in (new_block, new_y))
+        earlier = upto - zeros
+        lead = (earlier[first_y] - earlier[first_block]) - (upto[last_block] - upto[last_y])
+        total += int(np.dot(exact[one], lead[one]))
+        order = np.argsort(x >> level, kind="stable")
+        x, y, n, exact = x[order], y[order], n[order], exact[order]
+    return total
+
+
+def _inside(cells: DataFrame) -> DataFrame:
+    """``(p, s)``: per slice, its concordant less its discordant pairs of rows."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def score() -> Iterator[pa.RecordBatch]:
+            if held:
+                x, y, n = (np.concatenate(v) for v in zip(*held))
+                yield pa.RecordBatch.from_pydict({"p": pa.array([now[0]], pa.int32()), "s": pa.array([str(concordance(x, y, n))])})
+
+        for batch in batches:
+            p, at, x, y, n = (c.to_numpy() for c in batch.columns)
+            edges = [0, *(np.flatnonzero((np.diff(p) != 0) | (np.diff(at) != 0)) + 1).tolist(), len(p)]
+            for start, end in zip(edges, edges[1:]):
+                if start == end:
+                    continue
+                if (name := (int(p[start]), int(at[start]))) != now:
+                    yield from score()
+                    now, held = name, []
+                held.append((x[start:end], y[start:end], n[start:end]))
+        yield from score()
+
+    dealt = cells.select("p", "at", "x", "y", "n").repartition("p", "at").sortWithinPartitions("p", "at")
+    return dealt.mapInArrow(merge, "p int, s string").withColumn("s", F.col("s").cast("decimal(38,0)"))
+
+
+def _across(cells: DataFrame, slices: int, n_rows: int | None) -> DataFrame:
+    """``(p, s)``: concordant less discordant pairs of rows of different slices."""
+    levels = max(1, math.ceil((slices - 1).bit_length() / BITS))
+    digits = cells.groupBy("p", "at", "y").agg(F.sum("n").alias("n")).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
     # shiftright takes a literal shift only, so one branch per level.
-    block, digit = F.lit(None).cast("bigint"), F.lit(None).cast("bigint")
+    block, digit = F.lit(None).cast("int"), F.lit(None).cast("int")
     for lv in range(levels):
         here = F.col("level") == lv
         block = F.when(here, F.shiftright("at", BITS * (lv + 1))).otherwise(block)
@@ -166,14 +243,4 @@ def _exact(df, columns, pairs, n_rows):
             elif j > k:
                 upper = upper + F.col(f"d{j}_before")
         score = score + wide(own[k]) * (lower - upper).cast("decimal(19,0)")
-    scores = {r["p"]: r["s"] for r in ranked.select("p", score.cast("decimal(38,0)").alias("v"))
-              .groupBy("p").agg(F.sum("v").alias("s")).collect()}
-
-    out = {}
-    for i, pair in enumerate(pairs):
-        n = Decimal(total.get(i, 0))
-        all_pairs = n * (n - 1) / 2
-        # choose2 summed n(n-1), twice the number of tied pairs.
-        rest = (all_pairs - (ties_x.get(i) or Decimal(0)) / 2) * (all_pairs - (ties_y.get(i) or Decimal(0)) / 2)
-        out[pair] = float((scores.get(i) or Decimal(0)) / rest.sqrt()) if rest > 0 else 0.0
-    return out
+    return ranked.select("p", score.cast("decimal(38,0)").alias("s"))

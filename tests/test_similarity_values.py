@@ -193,3 +193,23 @@ def test_pruned_kendall_keeps_what_is_reported(spark, monkeypatch):
     pruned = kendall.kendall_tau(df, columns, pairs, 600, 0.9)
     assert {p: v for p, v in whole.items() if v >= 0.9} == {p: v for p, v in pruned.items() if v >= 0.9} and ("a", "b") in pruned
     assert len(pruned) < len(pairs) / 2
+
+
+def test_concordance():
+    rng = np.random.default_rng(13)
+    for _ in range(60):
+        k = int(rng.integers(1, 60))
+        x, y = rng.integers(0, rng.integers(1, 40), k).astype(float), rng.integers(0, rng.integers(1, 40), k).astype(float)
+        n = rng.integers(1, rng.choice([2, 1 << 40]), k)
+        want = sum(int(n[i]) * int(n[j]) * int(np.sign(x[i] - x[j]) * np.sign(y[i] - y[j])) for i in range(k) for j in range(i))
+        assert kendall.concordance(x, y, n) == want
+
+
+def test_slices_add_up(spark, monkeypatch):
+    monkeypatch.setattr(kendall, "SLICE_CELLS", 20)
+    rng = np.random.default_rng(14)
+    a = np.where(rng.random(700) < 0.4, 5.0, np.round(rng.normal(size=700) * 30))
+    data = {"a": a, "b": np.round(a + rng.normal(size=700) * 9), "c": rng.normal(size=700)}
+    df = spark.createDataFrame(np.column_stack(list(data.values())).tolist(), "a double, b double, c double").repartition(3)
+    got = kendall.kendall_tau(df, {n: F.col(n) for n in data}, list(combinations(data, 2)))
+    assert all(abs(v - brute("kendall", data[p], data[q])) < 1e-12 for (p, q), v in got.items()) and len(got) == 3
