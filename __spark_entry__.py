@@ -17,7 +17,9 @@ from gleanframe.functions.numbers import render_number, token_kind  # noqa: E402
 from gleanframe.operators.features import text_of  # noqa: E402
 from gleanframe.operators.grubbs import first_step  # noqa: E402
 from gleanframe.functions.text import clean_name  # noqa: E402
-from gleanframe.sources.readers import rows_from_features, rows_from_lines  # noqa: E402
+from gleanframe.operators.materialise import fresh_path  # noqa: E402
+from gleanframe.sources.readers import read_dataset, rows_from_features, rows_from_lines  # noqa: E402
+from gleanframe.sources.writers import write_table  # noqa: E402
 
 try:  # the training-data operators are optional
     import corpus_pipeline
@@ -244,6 +246,35 @@ def csv_read(spark, folder):
     return rows_from_lines(lines, "id,value,note,value")
 
 
+def csv_files(spark, folder):
+    """Every column written as CSV files and read again by the file's extension."""
+    path = fresh_path(spark, ".csv")
+    write_table(messy(spark, folder), path, "csv", "overwrite")
+    return read_dataset(spark, path)
+
+
+def jsonl_files(spark, folder):
+    path = fresh_path(spark, ".jsonl")
+    messy(spark, folder).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    return read_dataset(spark, path).withColumn("empty_col", F.col("empty_col").cast("double"))
+
+
+def json_files(spark, folder):
+    """Every column in JSON documents of up to 5000 rows, a document a file, as text."""
+    df, path = messy(spark, folder), fresh_path(spark, ".json")
+    names = F.lit(f"[{','.join(f'"{c}"' for c in df.columns)}]")
+
+    def cell(name):  # the JSON text of one cell
+        whole = F.to_json(F.array(F.col(name)), {"ignoreNullFields": "false"})
+        return F.substring(whole, F.lit(2), F.length(whole) - 2)
+
+    rows = df.select((F.col("event_id") / 5000).cast("long").alias("part"), F.concat(F.lit("["), F.concat_ws(",", *map(cell, df.columns)), F.lit("]")).alias("row"))
+    documents = rows.groupBy("part").agg(F.array_join(F.collect_list("row"), ",").alias("rows")).select(
+        "part", F.concat(F.lit('{"features":'), names, F.lit(',"data":['), "rows", F.lit("]}")).alias("value"))
+    documents.write.mode("overwrite").partitionBy("part").text(path)
+    return read_dataset(spark, path)
+
+
 def dedup_headers(spark, folder):
     lines = table(spark, folder, "events").select(
         F.concat_ws(",", F.col("event_id").cast("string"), F.col("user_id").cast("string"), F.lit("z")).alias("value"))
@@ -263,6 +294,49 @@ def similarity_none(spark, folder):
     return result.corr_pairs.select("f1", "f2", "value").unionByName(result.lex_pairs.select("f1", "f2", "value"))
 
 
+def similarity_by_numbers(spark, folder):
+    """The pair reports of methods 5 (none), 2 (Pearson) and 4 (covariance)."""
+    out = None
+    for number, digits in ((5, 6), (2, 6), (4, 2)):
+        pairs = gf.correlated_pairs(derived(spark, folder), number)
+        pairs = pairs.select(F.lit(number).alias("method"), "f1", "f2", F.round("value", digits).alias("value"))
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
+def impute_by_numbers(spark, folder):
+    out = None
+    for number, name in sorted(oracles.IMPUTE_NUMBERS.items()):
+        rows = _imputed(number if number else None)(spark, folder).withColumn("method", F.lit(number))
+        rows = rows.withColumn("value_fair", F.col("value_fair").cast("double")).withColumn("digit_fair", F.col("digit_fair").cast("double"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def curate_by_numbers(spark, folder):
+    """Verdicts of curations whose methods go by number, and of one without any, which takes the z-score."""
+    out = None
+    for number in (None, 2, 3):
+        facts = gf.curate(messy(spark, folder), KEY, outlier_method=number, imputation=1, similarity=5).profile
+        facts = facts.select(F.lit(number or 0).alias("method"), "feature", "outlier_verdict", "n_outliers")
+        out = facts if out is None else out.unionByName(facts)
+    return out
+
+
+def written_report(spark, folder):
+    """The report of a curation as it is read again from what was written: its table, and the combined document."""
+    path = fresh_path(spark)
+    result = gf.curate(messy(spark, folder), KEY, outlier_method="iqr", imputation="mean_mode", stage=True)
+    gf.write_reports(result, path, "parquet", name="events")
+    fields = "rows struct<curated:bigint,clean:bigint>, profile array<struct<feature:string,n_missing:bigint,state:string>>"
+    document = spark.read.text(f"{path}/events_results").select(F.from_json("value", fields).alias("d"))
+    listed = document.select("d.rows", F.explode("d.profile").alias("p")).select(
+        "p.feature", F.col("p.n_missing").alias("json_missing"), F.col("p.state").alias("json_state"),
+        F.col("rows.curated").alias("n_curated"), F.col("rows.clean").alias("n_clean"))
+    rows = spark.read.parquet(f"{path}/events_curated").agg(F.count(F.lit(1)).alias("n_read"))
+    return spark.read.parquet(f"{path}/events_evaluation").join(listed, "feature").crossJoin(rows)
+
+
 def number_render(spark, folder):
     return messy(spark, folder).select("event_id", render_number(F.col("value_fair")).alias("value_fair"),
                                        render_number(F.col("event_type")).alias("event_type"))
@@ -295,7 +369,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         incompatible_cells, incompatibility_report, features_by_state, dataset_summary, evaluation_report, describe_feature,
         outlier_cells, outliers_verdicts, outliers_grubbs_step, outliers_grubbs, cell_status, curated_table, clean_table,
         similar_strings, similar_lines, features_json_read, csv_read, bracketed_values, similarity_none, dedup_headers, number_render, curate_events,
-        curate_events_table,
+        curate_events_table, csv_files, jsonl_files, json_files, similarity_by_numbers, impute_by_numbers, curate_by_numbers, written_report,
     ]
     return {
         **{f.__name__: f for f in plain},

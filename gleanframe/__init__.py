@@ -20,12 +20,12 @@ from gleanframe.operators.profile import (  # noqa: E402
 )
 from gleanframe.operators.report import evaluation_report  # noqa: E402
 from gleanframe.operators.status import cell_status, clean, curated  # noqa: E402
-from gleanframe.plans.curate import CurationResult, curate  # noqa: E402
+from gleanframe.plans.curate import CurationResult, curate, curate_file  # noqa: E402
 from gleanframe.sources.readers import dedup_names, read_dataset  # noqa: E402
 from gleanframe.sources.writers import write_reports  # noqa: E402
 
 __all__ = [
-    "CurationResult", "DEFAULT_TOKENS", "cell_status", "clean", "correlated_pairs", "curate", "curated",
+    "CurationResult", "DEFAULT_TOKENS", "cell_status", "clean", "correlated_pairs", "curate", "curate_file", "curated",
     "dedup_names", "describe_feature", "evaluation_report", "feature_state", "feature_values", "features_by_state", "fit_rules", "flag_outliers",
     "impute", "incompatible_cells", "is_missing", "normalise_missing", "outlier_verdicts", "profile",
     "read_dataset", "render_number", "similar_names", "similar_strings", "summarise", "token_kind",

@@ -41,13 +41,21 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh_path(spark: SparkSession, suffix: str = "") -> str:
+    """A new path in the checkpoint folder; what is written there goes when the driver ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/gleanframe-{uuid.uuid4().hex}{suffix}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop)  # what does not exist cannot be marked
+    files.deleteOnExit(hadoop)
+    return path
+
+
 def staged(df: DataFrame) -> DataFrame:
-    """Written to the checkpoint folder as a table and read again; the folder's copy goes when the driver ends."""
+    """Written to the checkpoint folder as a table and read again."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/gleanframe-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    path = fresh_path(spark)
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

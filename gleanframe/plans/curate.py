@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from gleanframe.functions.missing import DEFAULT_TOKENS, column, normalise_missing
 from gleanframe.operators import correlation, impute, outliers
 from gleanframe.operators.features import skipped_columns
+from gleanframe.operators.materialise import staged
 from gleanframe.operators.names import similar_names
 from gleanframe.operators.profile import feature_values, profile, summarise
 from gleanframe.operators.report import evaluation_report
 from gleanframe.operators.status import cell_status, clean, curated
+from gleanframe.sources.readers import read_dataset
 
 
 @dataclass
@@ -45,18 +47,21 @@ def curate(
     seed: int = 0,
     tokens: Sequence[str] = DEFAULT_TOKENS,
     strict_null_typing: bool = False,
+    stage: bool = False,
 ) -> CurationResult:
     """Annotate, assess, flag, relate and fill. ``key`` names the columns that identify a row.
 
     Methods go by name or by number; without one, nothing is filled, outliers go by z-score and
     similarity (values and names alike) is skipped. Nested columns are passed through and listed in
-    ``skipped``.
+    ``skipped``. With ``stage`` the table is written once to the checkpoint folder, and every step reads that.
     """
     key = list(key)
     features = [c for c in df.columns if c not in key]
     skipped = skipped_columns(df, features)
     features = [c for c in features if c not in skipped]
     base = normalise_missing(df, tokens)
+    if stage:
+        base = staged(base)
     facts = profile(base, threshold, features, tokens=tokens, strict_null_typing=strict_null_typing)
 
     method = outliers.method_name(outlier_method)
@@ -86,3 +91,10 @@ def curate(
         lex_pairs=lex,
         skipped=skipped,
     )
+
+
+def curate_file(spark: SparkSession, path: str, key: Sequence[str], fmt: str | None = None, **methods) -> CurationResult:
+    """``curate`` on a file. Formats that every step would parse again (CSV, JSON) are staged: a CSV file is read for its header,
+    for its types and for the staged table, and not again."""
+    fmt = fmt or path.rstrip("/").rsplit(".", 1)[-1].lower()
+    return curate(read_dataset(spark, path, fmt), key, stage=fmt != "parquet", **methods)

@@ -5,13 +5,15 @@ from __future__ import annotations
 import json
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanframe.functions.missing import column, is_nested
 from gleanframe.functions.numbers import render_number
 
+#: Tables with a row per row or cell of the input; their rows are counted while they are written.
+ROW_TABLES = ("cells", "curated", "clean")
 TABLES = ("evaluation", "profile", "values", "summary", "cells", "curated", "clean", "corr_pairs", "lex_pairs")
 
 
@@ -36,11 +38,16 @@ def write_reports(result, path: str, fmt: str = "parquet", name: str = "dataset"
     """Each table under ``<path>/<name>_<table>``, and the combined ``<path>/<name>_results`` JSON.
 
     The combined document holds what is bounded by the number of columns; the row-level tables and the whole
-    domains (``values``) are datasets beside it.
+    domains (``values``) are datasets beside it, of which it has the numbers of rows.
     """
+    rows = {}
     for table in TABLES:
-        write_table(getattr(result, table), f"{path}/{name}_{table}", fmt, mode)
-    document = {"timestamp": datetime.now(timezone.utc).isoformat()}
+        df = getattr(result, table)
+        if table in ROW_TABLES:
+            rows[table] = Observation()
+            df = df.observe(rows[table], F.count(F.lit(1)).alias("rows"))
+        write_table(df, f"{path}/{name}_{table}", fmt, mode)
+    document = {"timestamp": datetime.now(timezone.utc).isoformat(), "rows": {t: o.get["rows"] for t, o in rows.items()}}
     for table in ("summary", "profile", "corr_pairs", "lex_pairs"):
         document[table] = [r.asDict(recursive=True) for r in getattr(result, table).collect()]
     document["skipped"] = dict(result.skipped)

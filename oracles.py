@@ -48,6 +48,7 @@ DERIVED_COLUMNS = [
     "qty_sparse", "qty_some", "const_col", "flag_text",
 ]
 KENDALL_COLUMNS = ["l_linenumber", "qty", "qty_adj", "disc", "qty_some", "const_col"]
+IMPUTE_NUMBERS = {0: "none", 1: "mean_mode", 2: "random", 3: "zeros"}
 IMPUTED_COLUMNS = [("value_fair", True), ("digit_fair", True), ("type_fair", False)]
 NUMERIC_MESSY = ["value_good", "value_fair", "value_bad", "digit_fair", "flag01", "reg_year", "code_text", "float_text"]
 
@@ -331,7 +332,7 @@ def oracle_sql() -> dict[str, str]:
         f"max(CASE WHEN feature = '{c}' THEN status END) AS st_{c}" for c, _ in MESSY_COLUMNS)
     mean_fill = f"WITH {MESSY}, {MEAN_FILLS}"
     correlation = "value >= 0.9 AND value <= 1"
-    return {
+    sql = {
         "missing_normalised": f"WITH {MESSY} SELECT event_id, {text('type_fair')} AS type_fair, value_fair FROM em",
         "token_kinds": "WITH " + MESSY + ", " + long_table("em", [c for c in MESSY_COLUMNS if not c[1]]) + """
 SELECT feature, CASE WHEN x IS NULL THEN 'string' WHEN x % 1 = 0 THEN 'int' ELSE 'float' END AS kind, count(*) AS n
@@ -389,3 +390,22 @@ SELECT a.s AS f1, b.s AS f2, round(jaro_similarity(a.plain, b.plain), 6) AS valu
  ELSE CAST(value_fair AS VARCHAR) END AS value_fair, event_type FROM em""",
         "curate_events": verdicts("modified_z", MESSY, "em", MESSY_COLUMNS) + REPORT_FACTS,
     }
+    plain = {c: f"CAST({c} AS DOUBLE) AS {c}" if stored else f"{text(c)} AS {c}" for c, stored in MESSY_COLUMNS}
+    from_text = plain | {c: f"CAST({c} AS DOUBLE) AS {c}" for c in ("code_text", "float_text")}
+    raw = {c: f"CAST({c} AS DOUBLE) AS {c}" if stored else c for c, stored in MESSY_COLUMNS}
+    whole = {c: x for c, x in plain.items()} | {c: c for c in ("digit_fair", "flag01", "reg_year")}
+    sql |= {
+        "csv_files": f"WITH {MESSY} SELECT CAST(event_id AS DOUBLE) AS event_id, {', '.join(from_text.values())} FROM em",
+        "jsonl_files": f"WITH {MESSY} SELECT event_id, {', '.join(whole.values())} FROM em",
+        "json_files": f"WITH {MESSY} SELECT CAST(event_id AS DOUBLE) AS event_id, {', '.join(raw.values())} FROM em",
+        "similarity_by_numbers": f"SELECT 2 AS method, * FROM ({sql['corr_pearson']}) UNION ALL SELECT 4, * FROM ({sql['covariance_pairs']})",
+        "impute_by_numbers": " UNION ALL ".join(
+            f"SELECT {k} AS method, event_id, CAST(value_fair AS DOUBLE) AS value_fair, CAST(digit_fair AS DOUBLE) AS digit_fair, type_fair FROM ({sql[f'impute_{m}']})"
+            for k, m in IMPUTE_NUMBERS.items()),
+        "curate_by_numbers": " UNION ALL ".join(
+            f"SELECT {k} AS method, * FROM ({verdicts(m, MESSY, 'em', MESSY_COLUMNS)} SELECT feature, outlier_verdict, n_outliers FROM verdicts)"
+            for k, m in ((0, "zscore"), (2, "modified_z"), (3, "iqr"))),
+        "written_report": f"""SELECT r.*, missing_values AS json_missing, state AS json_state, n AS n_curated, n AS n_clean, n AS n_read
+FROM ({sql['evaluation_report']}) r, (SELECT count(*) AS n FROM events)""",
+    }
+    return sql

@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import PROBE_NAMES, PROBE_ROWS
-from gleanframe import curate, profile, read_dataset, write_reports
+from gleanframe import curate, curate_file, profile, read_dataset, write_reports
 from gleanframe.operators.impute import impute
 from gleanframe.operators.outliers import fit_rules, flag_outliers
 from gleanframe.operators.status import cell_status, clean, curated
+from gleanframe.sources.writers import write_table
 from gleanframe.sources.readers import dedup_names, read_csv, rows_from_lines
 
 
@@ -202,6 +203,18 @@ def test_curate_and_reports(spark, probe, tmp_path, fmt):
     assert back.count() == 12 and {"row", "salinity", "_status"} <= set(back.columns)
 
 
+def test_curate_file_stages_what_has_to_be_parsed(spark, probe, tmp_path):
+    write_table(probe, f"{tmp_path}/probe.csv", "csv")
+    result = curate_file(spark, f"{tmp_path}/probe.csv", ["row"], outlier_method="iqr")
+    for df in (result.curated, result.clean, result.cells):
+        files = df.inputFiles()
+        assert files and not any(str(tmp_path) in f for f in files)
+    assert result.summary.first()["n_instances"] == 12
+    write_reports(result, f"{tmp_path}/out", "json", name="probe")
+    document = json.loads(spark.read.text(f"{tmp_path}/out/probe_results").first()[0])
+    assert document["rows"] == {t: spark.read.json(f"{tmp_path}/out/probe_{t}").count() for t in ("cells", "curated", "clean")}
+
+
 def test_defaults(probe):
     result = curate(probe, ["row"])
     assert result.corr_pairs.count() == 0 and result.lex_pairs.count() == 0
