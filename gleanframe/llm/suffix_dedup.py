@@ -22,8 +22,8 @@ SEED = 24
 PLACE = np.uint64(21)
 #: Bytes that a shard has at least before the next one begins.
 SHARD_BYTES = 3 << 19
-#: Contents of one key (a batch counts each once) beyond which its windows are sorted one by one over all tasks. Counts may miss one a
-#: partition, so a shard has at most so many contents, and one a partition, beyond SHARD_BYTES.
+#: Contents of one key (a batch counts each once) beyond which its windows are sorted one by one over all tasks, so a shard has at most
+#: so many contents beyond SHARD_BYTES.
 HOT = 1 << 13
 
 _value, _value2 = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE ^ x)) for x in (0x5DEECE66D, 0x2545F4914F6CDD1D))
@@ -98,9 +98,36 @@ def _batch_segments(batch: pa.RecordBatch, length: int):
     by = np.argsort(mix(key) ^ mark, kind="stable")
     first = np.ones(len(by), dtype=bool)
     first[by[1:]] = np.any([x[by[1:]] != x[by[:-1]] for x in (key, mark, mark2)], axis=0)
+    # Marks only say which contents to compare.
+    leader = np.empty(len(by), dtype=np.int64)
+    leader[by] = by[np.maximum.accumulate(np.where(first[by], np.arange(len(by)), 0))]
+
+    def content(i: int) -> bytes:
+        return texts[text[i]][start[i] : start[i] + size[i]]
+
+    for i in np.flatnonzero(~first).tolist():
+        first[i] = content(i) != content(leader[i])
     return rows, texts, text, start, size, key, mark, mark2, first
 
 
+def _digests(texts, text, start, size) -> np.ndarray:
+    """128-bit digests of the given stretches, as two columns of 64 bits."""
+    found = b"".join(hashlib.blake2b(texts[t][s : s + z], digest_size=16).digest() for t, s, z in zip(text.tolist(), start.tolist(), size.tolist()))
+    return np.frombuffer(found, dtype=np.int64).reshape(-1, 2)
+
+
+def _key_counts(docs: DataFrame, length: int) -> DataFrame:
+    """(key, n) of the keys with several contents or in several batches: a batch counts each content once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _batch_segments(batch, length)
+            if found is not None:
+                key, n = np.unique(found[5][found[8]].view(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int32))], ["key", "n"])
+
+    return docs.mapInArrow(run, "key long, n int").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
+
+
 def _merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans sorted by row and start, whose ends ascend in a row; those that touch become one."""
     if not len(row):
@@ -110,18 +137,22 @@ def _merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return row[at], start[at], end[np.append(at[1:], len(row)) - 1]
 
 
-def _places(docs: DataFrame, length: int) -> DataFrame:
-    """(key, mark, mark2, row, start, end, again): segments that are the first of their content in a batch; again: spans of the others, without a key."""
+def _places(docs: DataFrame, length: int, several, hot) -> DataFrame:
+    """(key, mark, mark2, row, start, end, again): segments that are the first of their content in a batch, if their key is one of several and
+    not hot; the marks are a digest of the content. again: spans of the others of the batch, without a key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = _batch_segments(batch, length)
             if found is None:
                 continue
-            rows, _, text, start, size, key, mark, mark2, first = found
+            rows, texts, text, start, size, key, mark, mark2, first = found
             again = ~first
             own, s, e = _merged(rows[text[again]], start[again], start[again] + size[again])
             n = len(own)
             none = np.zeros(n, dtype=np.int64)
+            first = first & passes(several.value, key) & ~passes(hot.value, key)
+            mark, mark2 = np.zeros_like(key), np.zeros_like(key)
+            mark[first], mark2[first] = _digests(texts, text[first], start[first], size[first]).view(np.uint64).T
             yield pa.RecordBatch.from_arrays(
                 [*(pa.array(np.append(x[first].view(np.int64), none)) for x in (key, mark, mark2)), pa.array(np.append(rows[text[first]], own)),
                  pa.array(np.append(start[first], s).astype(np.int32)), pa.array(np.append((start + size)[first], e).astype(np.int32)),
@@ -141,7 +172,7 @@ def _contents(docs: DataFrame, length: int, keys, hot) -> DataFrame:
             if found is None:
                 continue
             rows, texts, text, start, size, key, mark, mark2, first = found
-            is_hot = np.isin(key, hot.value)
+            is_hot = passes(hot.value, key)
             at = np.flatnonzero(first & ~is_hot & passes(keys.value, key))
             for lo in range(0, len(at), 1 << 16):
                 own = at[lo : lo + (1 << 16)]
@@ -154,26 +185,14 @@ def _contents(docs: DataFrame, length: int, keys, hot) -> DataFrame:
                 own = at[lo : lo + (1 << 10)]
                 n = size[own] - length + 1
                 begin = np.repeat(start[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                digests = b"".join(hashlib.blake2b(texts[t][s : s + length], digest_size=16).digest()
-                                   for t, s in zip(np.repeat(text[own], n).tolist(), begin.tolist()))
-                digest = np.frombuffer(digests, dtype=np.int64)
+                digest = _digests(texts, np.repeat(text[own], n), begin, np.full(len(begin), length))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(key[own], n).view(np.int64)), pa.array(digest[::2]), pa.array(digest[1::2]), pa.array(np.repeat(rows[text[own]], n)),
+                    [pa.array(np.repeat(key[own], n).view(np.int64)), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(np.repeat(rows[text[own]], n)),
                      pa.array(begin.astype(np.int32)), pa.nulls(len(begin), pa.binary())], names)
 
     return docs.mapInArrow(run, "key long, mark long, mark2 long, row long, start int, content binary")
 
 
-def _hot_keys(keys: DataFrame) -> list[int]:
-    """Keys with more than HOT rows, counting those that stand twice in a partition: what is shuffled is those only."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, n = np.unique(np.concatenate([np.zeros(0, np.int64), *(b.column(0).to_numpy() for b in batches)]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(found[n > 1]), pa.array(n[n > 1])], ["key", "n"])
-
-    counts = keys.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return [r.key for r in counts.filter(F.col("n") > HOT).collect()]
-
-
 def _later_windows(windows: DataFrame, length: int) -> DataFrame:
     """(row, start, end) of windows of which an equal one, known by its marks, comes earlier. The layout is by range, so that no window has to
     fit one task; what crosses the partitions' borders is one row a partition."""
@@ -237,10 +256,10 @@ def _sorted_shards(contents: DataFrame, length: int) -> DataFrame:
                 if last is not None and last[0] != key and size >= SHARD_BYTES:
                     yield from flush()
                     held, size = [], 0
-                if last != (key, mark, mark2):  # of one content the first occurrence is enough
+                if last != (key, content):  # of one content the first occurrence is enough; equal ones have equal marks
                     held.append((row, start, content))
                     size += len(content)
-                last = (key, mark, mark2)
+                last = (key, content)
         yield from flush()
 
     return contents.repartition("key").sortWithinPartitions("key", "mark", "mark2", "row", "start").mapInArrow(run, "row long, start int, end int")
@@ -260,18 +279,19 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated_spans(numbered: DataFrame, length: int) -> DataFrame:
     """(row, start, end): every byte that a string of `length` bytes covers that starts earlier, too; spans may overlap.
 
-    A window is known by the hash of its least seed, so equal windows have equal keys; runs of windows with one seed are segments. Of segments with equal content
-    (equal by two 64-bit hashes) all but the first are spans as they are: first within a batch, before anything is shuffled, then among all. Keys
-    with several contents are open: their segments are sent, each content once a batch, and the suffixes of a shard of them are sorted by external
+    A window is known by the hash of its least seed, so equal windows have equal keys; runs of windows with one seed are segments. Keys are
+    counted first, and a filter of fixed size keeps those out that occur once, which most do: nothing else of them is ever written. Of segments
+    with equal content all but the first are spans as they are: first within a batch, compared byte by byte, before anything is shuffled, then
+    among all, by a 128-bit digest. Keys with several contents are open: their segments are sent, each content once a batch, and the suffixes of a shard of them are sorted by external
     induction; windows with a common prefix of `length` stand together, and all but the earliest are spans. A key with more than HOT
     contents never meets in one task: its windows are sorted by a 128-bit digest over all tasks.
     """
     docs, spark = numbered.select("row", "text"), numbered.sparkSession
-    placed = stage(_places(docs, length), "places")
+    counts = stage(_key_counts(docs, length), "keys")
+    are_hot = bool(counts.filter(F.col("n") > HOT).take(1))
+    several, hot = (spark.sparkContext.broadcast(bit_filter(counts.filter(F.col("n") > least), "key")) for least in (1, HOT))
+    placed = stage(_places(docs, length, several, hot), "places")
     again, firsts = placed.filter("again").select("row", "start", "end"), placed.filter("NOT again").drop("again")
-    hot = _hot_keys(firsts.select("key"))
-    if hot:
-        firsts = firsts.join(F.broadcast(spark.createDataFrame([(k,) for k in hot], "key long")), "key", "left_anti")
     by_key = Window.partitionBy("key").orderBy("mark", "mark2", "row", "start")
     all_of = by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     same = (F.lag("mark").over(by_key) == F.col("mark")) & (F.lag("mark2").over(by_key) == F.col("mark2"))
@@ -279,9 +299,9 @@ def repeated_spans(numbered: DataFrame, length: int) -> DataFrame:
     met = firsts.withColumn("copy", F.coalesce(same, F.lit(False))).withColumn("open", several[0] | several[1])
     met = stage(met.filter("copy OR open").select("key", "row", "start", "end", "copy", "open"), "segments")
     keys = spark.sparkContext.broadcast(bit_filter(met.filter("open"), "key"))
-    contents = _contents(docs, length, keys, spark.sparkContext.broadcast(np.array(hot, dtype=np.int64).view(np.uint64)))
+    contents = _contents(docs, length, keys, hot)
     out = again.unionByName(met.filter("copy").select("row", "start", "end"))
-    if hot:
+    if are_hot:
         contents = stage(contents, "contents")
         out = out.unionByName(_later_windows(contents.filter("content IS NULL"), length))
         contents = contents.filter("content IS NOT NULL")

@@ -244,3 +244,12 @@ def test_contamination(spark):
     none = contamination(table(spark, docs), bench.limit(0)).collect()
     assert len(none) == len(docs) and not any(r["contaminated"] for r in none)
     assert contamination(table(spark, []).limit(0), bench).count() == 0
+
+
+def test_remove_repeats_of_a_text_of_over_a_mebibyte(spark):
+    rng = random.Random(21)
+    long = prose(rng, 210_000)
+    rows = [(1, "abc" * 400), (2, long), (3, long[700_000:700_150] + "." + long[1_048_500:1_048_700]), (4, "cab" * 300 + long[:99]), (5, "cab" * 300)]
+    assert len(long) > 1 << 20
+    got = {r["doc_id"]: tuple(r)[1:] for r in remove_repeats(table(spark, rows)).collect()}
+    assert got == removed(rows)
