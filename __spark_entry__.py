@@ -21,11 +21,11 @@ from gleanframe.operators.materialise import fresh_path  # noqa: E402
 from gleanframe.sources.readers import read_dataset, rows_from_features, rows_from_lines  # noqa: E402
 from gleanframe.sources.writers import write_table  # noqa: E402
 
-try:  # the training-data operators are optional
+try:  # the training-data operators are optional, and so is what only they need
     import corpus_pipeline
     from gleanframe.llm import registered as llm
 except ModuleNotFoundError as missing:
-    if missing.name not in ("corpus_pipeline", "gleanframe.llm"):
+    if missing.name.startswith("gleanframe.") and missing.name != "gleanframe.llm":
         raise
     llm = None
 

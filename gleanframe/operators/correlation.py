@@ -14,7 +14,7 @@ from gleanframe.functions.missing import DEFAULT_TOKENS, column, normalise_missi
 from gleanframe.operators.features import raw_number, supported_columns
 from gleanframe.operators.kendall import kendall_tau
 from gleanframe.operators.materialise import spread_out, staged
-from gleanframe.operators.moments import pair_moments
+from gleanframe.operators.moments import PAIRS_AS_AGGREGATES, pair_moments, strong_pairs
 from gleanframe.operators.running import SLICE_ROWS, hot_lookup, running_totals
 
 METHODS = ("spearman", "pearson", "kendall", "covariance", "none")
@@ -82,7 +82,7 @@ def pair_values(
 ) -> dict[tuple[str, str], float]:
     """The value of every usable pair (earlier column, later column), before the report filter.
 
-    With ``at_least``, Spearman and Kendall pairs that provably stay below it may be left out.
+    With ``at_least``, pairs below it (in size, for Pearson and covariance) may be left out before they reach the driver.
     """
     method = method_name(method)
     if method == "none":
@@ -92,11 +92,14 @@ def pair_values(
     usable, n_rows = _usable(clean, names)
     if len(usable) < 2:
         return {}
-    pairs = [(a.name, b.name) for a, b in combinations(usable, 2)]
     if method in ("pearson", "covariance"):
         spec = {c.name: (c.x, c.mean, c.n_present < n_rows) for c in usable}
-        moments = pair_moments(clean, spec, pairs)
+        if at_least is not None and len(usable) * (len(usable) - 1) // 2 > PAIRS_AS_AGGREGATES:
+            moments = strong_pairs(clean, spec, method, at_least)
+        else:
+            moments = pair_moments(clean, spec, list(combinations(spec, 2)))
         return {p: (m.correlation() if method == "pearson" else m.covariance()) for p, m in moments.items()}
+    pairs = [(a.name, b.name) for a, b in combinations(usable, 2)]
     if method == "kendall":
         return kendall_tau(clean, {c.name: c.x for c in usable}, pairs, n_rows, at_least)
     if at_least is not None:
@@ -115,7 +118,8 @@ def correlated_pairs(
     from 0.9 up or -1 down.
     """
     method = method_name(method)
-    values = pair_values(df, method, columns, key, tokens, None if abs_value else REPORTED_FROM)
+    ranked = method in ("spearman", "kendall")
+    values = pair_values(df, method, columns, key, tokens, None if abs_value and ranked else REPORTED_FROM)
     order = {n: i for i, n in enumerate(supported_columns(df, columns))}
     rows = []
     for (earlier, later), v in values.items():

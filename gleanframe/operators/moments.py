@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 # Up to this many pairs are plain aggregates; beyond, one pass of matrix products per task.
 PAIRS_AS_AGGREGATES = 100
+# Columns of a block, rows multiplied at a time, and bytes of sums that one task keeps.
+BLOCK, ROWS, TILE_BYTES = 500, 1 << 14, 64 << 20
+SUMS = ("n", "a", "b", "aa", "bb", "ab")
 # A variance below this share of the second moment is rounding noise around a constant.
 CONSTANT_SHARE = 1e-12
 
@@ -89,33 +92,98 @@ def _by_aggregates(shifted, alias, nullable, pairs):
 
 
 def _by_products(shifted, alias, used, pairs):
-    """Each task adds up matrix products of its rows and emits one row per left column."""
-    k = len(used)
-
-    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((5, k, k))
-        for batch in batches:
-            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
-            for at in range(0, len(x), 65536):
-                part = x[at : at + 65536]
-                seen = ~np.isnan(part)
-                m, v = seen.astype(float), np.where(seen, part, 0.0)
-                total += np.stack([m.T @ m, v.T @ m, m.T @ v, (v * v).T @ m, v.T @ v])
-        n, a, b, aa, ab = total
-        yield pa.RecordBatch.from_pydict({
-            "i": pa.array(range(k), pa.int32()),
-            **{name: pa.array(list(v), pa.list_(pa.float64()))
-               for name, v in (("n", n), ("a", a), ("b", b), ("aa", aa), ("ab", ab))},
-        })
-
-    schema = "i int, n array<double>, a array<double>, b array<double>, aa array<double>, ab array<double>"
-    parts = shifted.mapInArrow(products, schema)
-    cells = parts.select("i", F.posexplode(F.arrays_zip("n", "a", "b", "aa", "ab")).alias("j", "c"))
-    sums = cells.groupBy("i", "j").agg(*[F.sum(f"c.{s}").alias(s) for s in ("n", "a", "b", "aa", "ab")])
-    got = {(r["i"], r["j"]): r for r in sums.collect()}
     at = {n: i for i, n in enumerate(used)}
+    rows = _products(shifted.select(*[alias[n] for n in used]), len(used)).collect()
+    got = {(r["i"], r["j"]): PairMoments(*[r[s] for s in SUMS]) for r in rows}
     out = {}
     for p, q in pairs:
-        r, back = got[(at[p], at[q])], got[(at[q], at[p])]
-        out[(p, q)] = PairMoments(r["n"], r["a"], r["b"], r["aa"], back["aa"], r["ab"])
+        m = got.get((min(at[p], at[q]), max(at[p], at[q])), PairMoments(0, 0, 0, 0, 0, 0))
+        out[(p, q)] = m if at[p] < at[q] else PairMoments(m.n, m.b, m.a, m.bb, m.aa, m.ab)
+    return out
+
+
+def strong_pairs(
+    df: DataFrame, columns: Mapping[str, tuple[Column, float, bool]], method: str, at_least: float,
+) -> dict[tuple[str, str], PairMoments]:
+    """The pairs (earlier column, later column) whose correlation or covariance is at_least so large in size.
+
+    They are found where the sums of a pair come together; the driver gets no others, however many columns there are.
+    """
+    used = list(columns)
+    shifted = df.select(*[(columns[n][0] - F.lit(columns[n][1])).alias(f"x{i}") for i, n in enumerate(used)])
+    rows = _products(shifted, len(used), method, at_least - 1e-6).collect()
+    return {(used[r["i"]], used[r["j"]]): PairMoments(*[r[s] for s in SUMS]) for r in rows}
+
+
+def _strong(method: str, at_least: float, n, a, b, aa, bb, ab) -> np.ndarray:
+    """Which sums may belong to a reported pair; PairMoments decides."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        joint = ab - a * b / n
+        if method == "covariance":
+            return ~(np.abs(joint / (n - 1)) < at_least)
+        return ~(np.abs(joint) / np.sqrt((aa - a * a / n) * (bb - b * b / n)) < at_least)
+
+
+def _products(shifted: DataFrame, k: int, method: str | None = None, at_least: float = 0.0) -> DataFrame:
+    """``(i, j, n, a, b, aa, bb, ab)`` of the pairs i < j of k columns, or of the strong ones alone.
+
+    Blocks of BLOCK columns: a task adds up matrix products of two blocks over its rows, one array per column and sum; arrays of
+    the same column meet in one task. As many tiles as fit TILE_BYTES share a pass over the table.
+    """
+    blocks = -(-k // BLOCK)
+    tiles = [(i, j) for i in range(blocks) for j in range(i, blocks)]
+    a_pass = max(1, TILE_BYTES // (len(SUMS) * 8 * min(k, BLOCK) ** 2))
+    schema = "tile int, i int, " + ", ".join(f"{s} array<double>" for s in SUMS)
+    out = None
+    for at in range(0, len(tiles), a_pass):
+        own = tiles[at : at + a_pass]
+
+        def products(batches: Iterator[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
+            width = [min(k, (b + 1) * BLOCK) - b * BLOCK for b in range(blocks)]
+            totals = [np.zeros((len(SUMS), width[i], width[j])) for i, j in own]
+            for batch in batches:
+                for lo in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(lo, ROWS)
+                    ready = {}
+                    for b in {b for tile in own for b in tile}:
+                        x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in part.columns[b * BLOCK : b * BLOCK + width[b]]])
+                        seen = ~np.isnan(x)
+                        v = np.where(seen, x, 0.0)
+                        ready[b] = seen.astype(float), v, v * v
+                    for total, (i, j) in zip(totals, own):
+                        (m, v, vv), (mj, vj, vvj) = ready[i], ready[j]
+                        total += np.stack([m.T @ mj, v.T @ mj, m.T @ vj, vv.T @ mj, m.T @ vvj, v.T @ vj])
+            for number, (total, (i, _)) in enumerate(zip(totals, own)):
+                yield pa.RecordBatch.from_pydict({
+                    "tile": pa.array([number] * total.shape[1], pa.int32()), "i": pa.array(range(i * BLOCK, i * BLOCK + total.shape[1]), pa.int32()),
+                    **{s: pa.array(list(v), pa.list_(pa.float64())) for s, v in zip(SUMS, total)}})
+
+        def added(batches: Iterator[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
+            now, sums = None, None
+
+            def found() -> Iterator[pa.RecordBatch]:
+                if now is None:
+                    return
+                j = own[now[0]][1] * BLOCK + np.arange(sums.shape[1])
+                keep = j > now[1]
+                if method:
+                    keep &= _strong(method, at_least, *sums) & (sums[0] >= 2)
+                yield pa.RecordBatch.from_pydict({
+                    "i": pa.array(np.full(keep.sum(), now[1]), pa.int32()), "j": pa.array(j[keep], pa.int32()),
+                    **{s: pa.array(v[keep]) for s, v in zip(SUMS, sums)}})
+
+            for batch in batches:
+                for r in range(batch.num_rows):
+                    key = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
+                    one = np.stack([batch.column(2 + s)[r].values.to_numpy() for s in range(len(SUMS))])
+                    if key == now:
+                        sums = sums + one
+                    else:
+                        yield from found()
+                        now, sums = key, one
+            yield from found()
+
+        parts = shifted.mapInArrow(products, schema).repartition("tile", "i").sortWithinPartitions("tile", "i")
+        pairs = parts.mapInArrow(added, "i int, j int, " + ", ".join(f"{s} double" for s in SUMS))
+        out = pairs if out is None else out.unionByName(pairs)
     return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as registry
 import oracles
 from conftest import PROBE_NAMES
-from gleanframe.operators import correlation, kendall
+from gleanframe.operators import correlation, kendall, moments
 from gleanframe.operators.correlation import correlated_pairs, pair_values
 from gleanframe.operators.moments import pair_moments
 
@@ -213,3 +213,35 @@ def test_slices_add_up(spark, monkeypatch):
     df = spark.createDataFrame(np.column_stack(list(data.values())).tolist(), "a double, b double, c double").repartition(3)
     got = kendall.kendall_tau(df, {n: F.col(n) for n in data}, list(combinations(data, 2)))
     assert all(abs(v - brute("kendall", data[p], data[q])) < 1e-12 for (p, q), v in got.items()) and len(got) == 3
+
+
+@pytest.mark.parametrize("block,tile_bytes", [(500, 64 << 20), (3, 64 << 20), (2, 1)])
+def test_blocks_give_every_pair_once(mixed, monkeypatch, block, tile_bytes):
+    monkeypatch.setattr(moments, "BLOCK", block)
+    monkeypatch.setattr(moments, "TILE_BYTES", tile_bytes)
+    df, data = mixed
+    spec = {c: (F.col(c), 0.5, True) for c in data if c != "flat"}
+    pairs = list(combinations(spec, 2))
+    want = pair_moments(df, spec, pairs)
+    for p, m in pair_moments(df, spec, [(q, p) for p, q in pairs], max_aggregates=0).items():
+        one = want[p[::-1]]
+        assert np.allclose([m.n, m.a, m.b, m.aa, m.bb, m.ab], [one.n, one.b, one.a, one.bb, one.aa, one.ab], rtol=1e-12)
+    for method, least in (("pearson", 0.3), ("covariance", 0.2)):
+        value = {p: m.correlation() if method == "pearson" else m.covariance() for p, m in want.items()}
+        strong = moments.strong_pairs(df, spec, method, least)
+        # What is undefined or rounds up may come along.
+        assert {p for p in strong if abs(value[p]) >= least} == {p for p, v in value.items() if abs(v) >= least} and 0 < len(strong) < len(pairs)
+
+
+def test_wide_tables_bring_reported_pairs_only(spark, monkeypatch):
+    monkeypatch.setattr(moments, "BLOCK", 40)
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(60, 150))
+    x[:, 149] = 3 * x[:, 0] + rng.normal(size=60) * 0.01
+    x[:, 77] = -x[:, 12]
+    df = spark.createDataFrame(x.tolist(), ", ".join(f"c{i} double" for i in range(150))).repartition(3)
+    values = pair_values(df, "pearson", at_least=0.9)
+    assert set(values) == {("c0", "c149"), ("c12", "c77")}
+    got = [(r["f1"], r["f2"]) for r in correlated_pairs(df, "pearson").collect()]
+    assert got == [("c149", "c0")]
+    assert [(r["f1"], r["f2"]) for r in correlated_pairs(df, "pearson", abs_value=True).collect()] == [("c77", "c12"), ("c149", "c0")]
