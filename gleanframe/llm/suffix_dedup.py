@@ -139,85 +139,63 @@ def _merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 def _places(docs: DataFrame, length: int, several, hot) -> DataFrame:
     """(key, mark, mark2, row, start, end, again): segments that are the first of their content in a batch, if their key is one of several and
-    not hot; the marks are a digest of the content. again: spans of the others of the batch, without a key."""
+    not hot; the marks are a digest of the content. Of a hot key every window stands by itself, and its digest is its key as well.
+    again: spans of the others of the batch, which have their row for a key."""
+    names = ["key", "mark", "mark2", "row", "start", "end", "again"]
+
+    def places(key, digest, row, start, end, again):
+        columns = [pa.array(x) for x in (key, digest[:, 0].copy(), digest[:, 1].copy(), row, start.astype(np.int32), end.astype(np.int32))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(key), again))], names)
+
+    def spans(row, start, end):
+        own = _merged(row, start, end)
+        return places(own[0], np.zeros((len(own[0]), 2), dtype=np.int64), *own, True)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = _batch_segments(batch, length)
             if found is None:
                 continue
-            rows, texts, text, start, size, key, mark, mark2, first = found
+            rows, texts, text, start, size, key, _, _, first = found
             again = ~first
-            own, s, e = _merged(rows[text[again]], start[again], start[again] + size[again])
-            n = len(own)
-            none = np.zeros(n, dtype=np.int64)
-            first = first & passes(several.value, key) & ~passes(hot.value, key)
-            mark, mark2 = np.zeros_like(key), np.zeros_like(key)
-            mark[first], mark2[first] = _digests(texts, text[first], start[first], size[first]).view(np.uint64).T
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(np.append(x[first].view(np.int64), none)) for x in (key, mark, mark2)), pa.array(np.append(rows[text[first]], own)),
-                 pa.array(np.append(start[first], s).astype(np.int32)), pa.array(np.append((start + size)[first], e).astype(np.int32)),
-                 pa.array(np.append(np.zeros(first.sum(), bool), np.ones(n, bool)))], ["key", "mark", "mark2", "row", "start", "end", "again"])
+            yield spans(rows[text[again]], start[again], start[again] + size[again])
+            is_hot = passes(hot.value, key)
+            at = np.flatnonzero(first & ~is_hot & passes(several.value, key))
+            for own in np.split(at, range(1 << 16, len(at), 1 << 16)):
+                yield places(key[own].view(np.int64), _digests(texts, text[own], start[own], size[own]), rows[text[own]], start[own], start[own] + size[own], False)
+            at = np.flatnonzero(first & is_hot)
+            for own in np.split(at, range(1 << 10, len(at), 1 << 10)):
+                n = size[own] - length + 1
+                begin = np.repeat(start[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                row = rows[np.repeat(text[own], n)]
+                digest = _digests(texts, np.repeat(text[own], n), begin, np.full(len(begin), length))
+                new = np.zeros(len(begin), dtype=bool)
+                new[np.unique(digest, axis=0, return_index=True)[1]] = True
+                yield places(digest[new, 0].copy(), digest[new], row[new], begin[new], begin[new] + length, False)
+                yield spans(row[~new], begin[~new], begin[~new] + length)
 
     return docs.mapInArrow(run, "key long, mark long, mark2 long, row long, start int, end int, again boolean")
 
 
 def _contents(docs: DataFrame, length: int, keys, hot) -> DataFrame:
-    """(key, mark, mark2, row, start, content) of the segments whose key passes the filter, once a batch. Of a hot key a row per window, without
-    a content; its marks are the window's digest."""
-    names = ["key", "mark", "mark2", "row", "start", "content"]
-
+    """(key, mark, mark2, row, start, content) of the segments whose key passes the filter and is not hot, each content once a batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = _batch_segments(batch, length)
             if found is None:
                 continue
             rows, texts, text, start, size, key, mark, mark2, first = found
-            is_hot = passes(hot.value, key)
-            at = np.flatnonzero(first & ~is_hot & passes(keys.value, key))
+            at = np.flatnonzero(first & passes(keys.value, key) & ~passes(hot.value, key))
             for lo in range(0, len(at), 1 << 16):
                 own = at[lo : lo + (1 << 16)]
                 data = [texts[t][s : s + z] for t, s, z in zip(text[own].tolist(), start[own].tolist(), size[own].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [*(pa.array(x[own].view(np.int64)) for x in (key, mark, mark2)), pa.array(rows[text[own]]),
-                     pa.array(start[own].astype(np.int32)), pa.array(data, pa.binary())], names)
-            at = np.flatnonzero(first & is_hot)
-            for lo in range(0, len(at), 1 << 10):
-                own = at[lo : lo + (1 << 10)]
-                n = size[own] - length + 1
-                begin = np.repeat(start[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                digest = _digests(texts, np.repeat(text[own], n), begin, np.full(len(begin), length))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(key[own], n).view(np.int64)), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(np.repeat(rows[text[own]], n)),
-                     pa.array(begin.astype(np.int32)), pa.nulls(len(begin), pa.binary())], names)
+                     pa.array(start[own].astype(np.int32)), pa.array(data, pa.binary())], ["key", "mark", "mark2", "row", "start", "content"])
 
     return docs.mapInArrow(run, "key long, mark long, mark2 long, row long, start int, content binary")
 
 
-def _later_windows(windows: DataFrame, length: int) -> DataFrame:
-    """(row, start, end) of windows of which an equal one, known by its marks, comes earlier. The layout is by range, so that no window has to
-    fit one task; what crosses the partitions' borders is one row a partition."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["row", "start", "a", "b", "last_a", "last_b"]
-        edge, last = None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b, row, start = (batch.column(i).to_numpy() for i in range(4))
-            same = np.append(last == (a[0], b[0]), (a[1:] == a[:-1]) & (b[1:] == b[:-1]))
-            edge, last = edge or (row[0], start[0], a[0], b[0]), (a[-1], b[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(row[same]), pa.array(start[same]), *[pa.nulls(same.sum(), pa.int64())] * 4], names)
-        if edge:
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32() if k == 1 else pa.int64()) for k, x in enumerate((*edge, *last))], names)
-
-    laid = windows.select("mark", "mark2", "row", "start").repartitionByRange("mark", "mark2", "row", "start").sortWithinPartitions(
-        "mark", "mark2", "row", "start")
-    found = stage(laid.mapInArrow(run, "row long, start int, a long, b long, last_a long, last_b long"), "windows")
-    edges = sorted(found.filter("a IS NOT NULL").collect(), key=lambda r: (r.a, r.b, r.row, r.start))
-    over = [(r.row, r.start) for before, r in zip(edges, edges[1:]) if (before.last_a, before.last_b) == (r.a, r.b)]
-    later = found.filter("a IS NULL").select("row", "start").unionByName(windows.sparkSession.createDataFrame(over, "row long, start int"))
-    return later.withColumn("end", F.col("start") + length)
-
-
 def shard_spans(rows: np.ndarray, starts: np.ndarray, contents: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end) covered by windows of the contents that start earlier elsewhere in the shard."""
     order = np.lexsort((starts, rows))
@@ -284,28 +262,20 @@ def repeated_spans(numbered: DataFrame, length: int) -> DataFrame:
     with equal content all but the first are spans as they are: first within a batch, compared byte by byte, before anything is shuffled, then
     among all, by a 128-bit digest. Keys with several contents are open: their segments are sent, each content once a batch, and the suffixes of a shard of them are sorted by external
     induction; windows with a common prefix of `length` stand together, and all but the earliest are spans. A key with more than HOT
-    contents never meets in one task: its windows are sorted by a 128-bit digest over all tasks.
+    contents never meets in one task: each of its windows goes by its own 128-bit digest, as a segment does.
     """
     docs, spark = numbered.select("row", "text"), numbered.sparkSession
     counts = stage(_key_counts(docs, length), "keys")
-    are_hot = bool(counts.filter(F.col("n") > HOT).take(1))
     several, hot = (spark.sparkContext.broadcast(bit_filter(counts.filter(F.col("n") > least), "key")) for least in (1, HOT))
-    placed = stage(_places(docs, length, several, hot), "places")
-    again, firsts = placed.filter("again").select("row", "start", "end"), placed.filter("NOT again").drop("again")
-    by_key = Window.partitionBy("key").orderBy("mark", "mark2", "row", "start")
+    by_key = Window.partitionBy("key", "again").orderBy("mark", "mark2", "row", "start")
     all_of = by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     same = (F.lag("mark").over(by_key) == F.col("mark")) & (F.lag("mark2").over(by_key) == F.col("mark2"))
-    several = [F.min(c).over(all_of) != F.max(c).over(all_of) for c in ("mark", "mark2")]
-    met = firsts.withColumn("copy", F.coalesce(same, F.lit(False))).withColumn("open", several[0] | several[1])
+    differ = [F.min(c).over(all_of) != F.max(c).over(all_of) for c in ("mark", "mark2")]
+    met = _places(docs, length, several, hot).withColumn("copy", F.col("again") | F.coalesce(same, F.lit(False))).withColumn("open", differ[0] | differ[1])
     met = stage(met.filter("copy OR open").select("key", "row", "start", "end", "copy", "open"), "segments")
     keys = spark.sparkContext.broadcast(bit_filter(met.filter("open"), "key"))
     contents = _contents(docs, length, keys, hot)
-    out = again.unionByName(met.filter("copy").select("row", "start", "end"))
-    if are_hot:
-        contents = stage(contents, "contents")
-        out = out.unionByName(_later_windows(contents.filter("content IS NULL"), length))
-        contents = contents.filter("content IS NOT NULL")
-    return out.unionByName(_sorted_shards(contents, length))
+    return met.filter("copy").select("row", "start", "end").unionByName(_sorted_shards(contents, length))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, with_text: bool = False) -> DataFrame:
