@@ -97,6 +97,12 @@ def feature_domain(spark, folder):
     return gf.feature_values(df, columns).join(facts, "feature")
 
 
+def domain_of_texts(spark, folder):
+    """Size and mode of the domains of whole documents, whose texts are counted by digest."""
+    facts = gf.profile(table(spark, folder, "documents"), columns=["text", "lang", "source"])
+    return facts.select("feature", "domain_size", F.md5("mode").alias("mode_md5"), "n_missing", "state")
+
+
 def incompatible_cells(spark, folder):
     cells = gf.incompatible_cells(messy(spark, folder), messy_profile(spark, folder), KEY)
     return cells.select("event_id", "feature", "value")
@@ -365,7 +371,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
-        missing_normalised, token_kinds, feature_state, feature_types, feature_range, feature_center, feature_domain,
+        missing_normalised, token_kinds, feature_state, feature_types, feature_range, feature_center, feature_domain, domain_of_texts,
         incompatible_cells, incompatibility_report, features_by_state, dataset_summary, evaluation_report, describe_feature,
         outlier_cells, outliers_verdicts, outliers_grubbs_step, outliers_grubbs, cell_status, curated_table, clean_table,
         similar_strings, similar_lines, features_json_read, csv_read, bracketed_values, similarity_none, dedup_headers, number_render, curate_events,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -19,6 +20,9 @@ from gleanframe.operators.quantiles import exact_quantiles
 # aggregates of all batches run side by side in one job, each reading only its own columns.
 COLUMNS_PER_PASS = 10
 
+# Characters up to which a text value is grouped as it is; longer ones go by digest.
+SHORT = 32
+
 # Name parts that mark a numeric column as a date. Case-sensitive.
 DATE_NAME_PARTS = ("year", "Year", "Date", "date", "Dates", "yr")
 # This one counts only in names without the veto part.
@@ -142,13 +146,43 @@ def feature_values(
     return distinct_values(normalise_missing(df.select(*map(column, names)), tokens), names)
 
 
-def domain_facts(clean: DataFrame, names: Sequence[str]) -> DataFrame:
-    """``(feature, domain_size, mode, distinct_mean)`` per text column; the values themselves are ``feature_values``."""
-    return distinct_values(clean, names).groupBy("feature").agg(
-        F.count(F.lit(1)).alias("domain_size"),
-        F.min(F.struct((-F.col("n")).alias("k"), F.col("value").alias("v")))["v"].alias("mode"),
-        F.avg(parse_number(F.col("value"))).alias("distinct_mean"),
-    )
+def domain_facts(clean: DataFrame, names: Sequence[str]) -> dict[str, tuple[int, str, float | None]]:
+    """``{feature: (domain_size, mode, distinct_mean)}`` of text columns; the values themselves are ``feature_values``.
+
+    Values of more than SHORT characters are counted by digest, with their first characters beside it, so long texts are not
+    shuffled. The mode is the smallest of the most frequent values; where it is a long one, its text is fetched among the values
+    that begin as the smallest beginning does.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), text_of(n).alias("value")) for n in names])).alias("p")
+    long = F.length("value") > SHORT
+    cells = clean.select(pairs).select("p.feature", "p.value").filter("value IS NOT NULL").select(
+        "feature", "value", F.when(long, F.md5("value")).alias("digest"), F.when(long, F.substring("value", 1, SHORT // 2)).otherwise(F.col("value")).alias("head"))
+    groups = cells.groupBy("feature", "digest", "head").agg(F.count(F.lit(1)).alias("n"), F.min(parse_number(F.col("value"))).alias("x"))
+    first = F.struct((-F.col("n")).alias("k"), F.col("head").alias("v"))
+    facts = groups.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("size"), F.avg("x").alias("mean"),
+        F.min(F.when(F.col("digest").isNull(), first)).alias("short"), F.min(F.when(F.col("digest").isNotNull(), first)).alias("long")).collect()
+    texts: dict[str, str] = {}
+    sought = [r for r in facts if r["long"] and not (r["short"] and r["short"]["k"] < r["long"]["k"])]
+    for once in (True, False):
+        own = [r for r in sought if (r["long"]["k"] == -1) == once]
+        if not own:
+            continue
+        fits = [(F.col("feature") == r["feature"]) & F.col("digest").isNotNull() & (F.col("head") == r["long"]["v"]) for r in own]
+        some = cells.filter(reduce(lambda a, b: a | b, fits))
+        if not once:  # where every value occurs once, all that begin so are as frequent
+            top = [f & (F.col("n") == -r["long"]["k"]) for f, r in zip(fits, own)]
+            some = some.join(groups.filter(reduce(lambda a, b: a | b, top)), ["feature", "digest"], "left_semi")
+        texts |= {r["feature"]: r["v"] for r in some.groupBy("feature").agg(F.min("value").alias("v")).collect()}
+    out = {}
+    for r in facts:
+        short, long = r["short"], r["long"]
+        top = min(x["k"] for x in (short, long) if x)
+        ties = [short["v"]] if short and short["k"] == top else []
+        if long and long["k"] == top:
+            ties.append(texts[r["feature"]])
+        out[r["feature"]] = r["size"], min(ties, key=str.encode), r["mean"]
+    return out
 
 
 def profile(
@@ -209,9 +243,9 @@ def profile(
     text_names = [n for n in names if n not in continuous]
     distinct_mean: dict[str, float | None] = {}
     if text_names:
-        for d in domain_facts(clean, text_names).collect():
-            rows[names.index(d["feature"])].update(domain_size=d["domain_size"], mode=d["mode"])
-            distinct_mean[d["feature"]] = d["distinct_mean"]
+        for n, (size, mode, mean) in domain_facts(clean, text_names).items():
+            rows[names.index(n)].update(domain_size=size, mode=mode)
+            distinct_mean[n] = mean
 
     by_median = [r for r in rows if r["min"] is not None
                  and (r["var_type"] == "date" or r["measure_type"] == "categorical")]

@@ -394,7 +394,11 @@ SELECT a.s AS f1, b.s AS f2, round(jaro_similarity(a.plain, b.plain), 6) AS valu
     from_text = plain | {c: f"CAST({c} AS DOUBLE) AS {c}" for c in ("code_text", "float_text")}
     raw = {c: f"CAST({c} AS DOUBLE) AS {c}" if stored else c for c, stored in MESSY_COLUMNS}
     whole = {c: x for c, x in plain.items()} | {c: c for c in ("digit_fair", "flag01", "reg_year")}
+    texts = [("text", False), ("lang", False), ("source", False)]
     sql |= {
+        "domain_of_texts": facts("", "documents", texts) + """, counts AS (SELECT feature, t, count(*) AS n FROM cells WHERE t IS NOT NULL GROUP BY ALL),
+domains AS (SELECT feature, count(*) AS domain_size, md5(arg_min(t, (-n, t))) AS mode_md5 FROM counts GROUP BY feature)
+SELECT feature, domain_size, mode_md5, n_missing, state FROM facts JOIN domains USING (feature)""",
         "csv_files": f"WITH {MESSY} SELECT CAST(event_id AS DOUBLE) AS event_id, {', '.join(from_text.values())} FROM em",
         "jsonl_files": f"WITH {MESSY} SELECT event_id, {', '.join(whole.values())} FROM em",
         "json_files": f"WITH {MESSY} SELECT CAST(event_id AS DOUBLE) AS event_id, {', '.join(raw.values())} FROM em",

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -153,3 +155,20 @@ def test_parse_number_of_big_values(spark):
 def test_odd_column_names(spark):
     df = spark.createDataFrame([(1.0, "a")], "`a.b` double, `x (mg)` string")
     assert [r["feature"] for r in profile(df).collect()] == ["a.b", "x (mg)"]
+
+
+def test_domains_by_digest(spark):
+    """Short and long values, ties between them, equal beginnings, and columns where every value occurs once."""
+    stem = "the same beginning of all values "
+    columns = {
+        "long_twice": [stem + "b", stem + "b", stem + "a", stem + "a", "zz", "zz", "y"],
+        "long_once": [stem + x for x in "gfedcba"],
+        "short_wins": ["a", "a", "a", stem + "a", stem + "a", "b", None],
+        "tie": ["the same", "the same", stem + "x", stem + "x", "zz", "q", ""],
+        "accents": ["é" * 40, "é" * 40, "z" * 40, "z" * 40, "1", None, "2"],
+    }
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{n} string" for n in columns)).repartition(3)
+    got = {r["feature"]: (r["domain_size"], r["mode"]) for r in profile(df).collect()}
+    for n, values in columns.items():
+        seen = Counter(v for v in values if v)
+        assert got[n] == (len(seen), min(seen, key=lambda v: (-seen[v], v.encode()))), n

@@ -14,7 +14,7 @@ NAMES = [
     "feature_state", "feature_center", "feature_domain", "dataset_summary", "evaluation_report", "outliers_modified_z",
     "outliers_binary_guard", "outliers_grubbs", "impute_mean_mode", "impute_random", "cell_status", "clean_table",
     "corr_pearson", "csv_read", "dedup_headers", "outlier_cells", "bracketed_values", "features_json_read", "curate_events_table", "number_render", "curate_events",
-    "csv_files", "jsonl_files", "json_files", "similarity_by_numbers", "impute_by_numbers", "written_report", "similar_lines", "corr_kendall_all",
+    "csv_files", "jsonl_files", "json_files", "similarity_by_numbers", "impute_by_numbers", "written_report", "similar_lines", "corr_kendall_all", "domain_of_texts",
 ]
 
 
