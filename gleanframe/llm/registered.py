@@ -92,32 +92,56 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
 FROM own LEFT JOIN best USING (digest)
 """
 
-OP4_SQL = r"""
+LOWERED = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _host(url: str) -> str:
+    return f"translate(regexp_extract({_rest(url)}, '^([^/?#]*)', 1), {LOWERED})"
+
+
+def _rest(url: str) -> str:
+    return f"CASE WHEN position('://' IN {url}) > 0 THEN substr({url}, position('://' IN {url}) + 3) ELSE '' END"
+
+
+def _path(url: str) -> str:
+    return f"regexp_extract({_rest(url)}, '^[^/?#]*([^?#]*)', 1)"
+
+
+def _node(url: str) -> str:
+    path = _path(url)
+    done = f"""list_reduce(list_concat([''], string_split({path}, '/')[2:]),
+      lambda done, part: CASE part WHEN '.' THEN done WHEN '..' THEN regexp_replace(done, '/[^/]*$', '') ELSE done || '/' || part END)"""
+    plain = f"""CASE WHEN {path} = '' THEN '/' WHEN NOT regexp_matches({path}, '/\\.\\.?(/|$)') THEN {path}
+      WHEN {done} = '' THEN '/' ELSE {done} || CASE WHEN regexp_matches({path}, '/\\.\\.?$') THEN '/' ELSE '' END END"""
+    return f"regexp_replace({_host(url)}, ':(80|443)?$', '') || {plain} || coalesce(regexp_extract({_rest(url)}, '^[^?#]*(\\?[^#]*)', 1), '')"
+
+
+def _absolute(link: str, url: str) -> str:
+    site, folder = f"'x://' || {_host(url)}", f"regexp_replace(CASE WHEN {_path(url)} = '' THEN '/' ELSE {_path(url)} END, '[^/]*$', '')"
+    return f"""CASE WHEN regexp_matches({link}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {link}
+      WHEN regexp_matches({link}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+      WHEN {link} LIKE '//%' THEN 'x:' || {link} WHEN {link} LIKE '/%' THEN {site} || {link} WHEN {link} LIKE '#%' THEN {url}
+      WHEN {link} LIKE '?%' THEN {site} || {_path(url)} || {link} ELSE {site} || {folder} || {link} END"""
+
+
+HREF_SQL, URL_SQL = ("'(?is)\\b%s\\s*=\\s*[\"'']?\\s*([^\"''\\s>]+)'" % k for k in ("href", "url"))
+OP4_SQL = rf"""
 WITH RECURSIVE rules(verdict, host, path) AS (VALUES
   ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
-), raw AS (
-  SELECT page_id, url, html, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
 ), own AS (
-  SELECT page_id, url, html, rest,
-         translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail FROM raw
+  SELECT page_id, url, {_host('url')} AS host, {_path('url')} AS path, {_node('url')} AS node,
+         regexp_replace(html, '(?is)<!--.*?(-->|\z)|<script\b.*?(</script\s*>|\z)', ' ', 'g') AS html FROM pages
+), named AS (
+  SELECT *, replace(regexp_extract(regexp_extract(html, '(?is)<base\b[^>]*\bhref\b[^>]*>'), {HREF_SQL}, 1), '&amp;', '&') AS base FROM own WHERE host <> ''
+), based AS (
+  SELECT node, html, coalesce(CASE WHEN base <> '' THEN {_absolute('base', 'url')} END, url) AS base FROM named
 ), found AS (
-  SELECT *, replace(coalesce(
-    nullif(regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1), ''),
-    nullif(regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1), '')), '&amp;', '&') AS link
-  FROM own
-), resolved AS (
-  SELECT host || tail AS a,
-         CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
-              WHEN link LIKE '//%' THEN regexp_extract(url, '^(.*?)://', 1) || ':' || link
-              WHEN link LIKE '/%' THEN 'x://' || regexp_extract(rest, '^([^/?#]*)', 1) || link
-              WHEN link LIKE '#%' THEN url
-              WHEN link LIKE '?%' THEN 'x://' || regexp_extract(rest, '^([^/?#]*)', 1) || path || link
-              ELSE 'x://' || regexp_extract(rest, '^([^/?#]*)', 1) || regexp_replace(CASE WHEN path = '' THEN '/' ELSE path END, '[^/]*$', '') || link END AS target
-  FROM found WHERE link IS NOT NULL AND host <> ''
-), edges AS (
-  SELECT a, translate(regexp_extract(substr(target, position('://' IN target) + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
-            || regexp_extract(substr(target, position('://' IN target) + 3), '^[^/?#]*([^#]*)', 1) AS b FROM resolved
+  SELECT node, base, replace(unnest(list_concat(
+    list_transform(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), lambda t: regexp_extract(t, {HREF_SQL}, 1)),
+    list_transform(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), lambda t: regexp_extract(t, {URL_SQL}, 1)))), '&amp;', '&') AS link
+  FROM based
+), resolved AS (SELECT node AS a, {_absolute('link', 'base')} AS target FROM found WHERE link <> ''
+), edges AS (SELECT a, {_node('target')} AS b FROM resolved WHERE target IS NOT NULL AND {_host('target')} <> ''
 ), both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges
 ), reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a
 ), ruled AS (
@@ -129,9 +153,9 @@ WITH RECURSIVE rules(verdict, host, path) AS (VALUES
   SELECT page_id, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(verdict, length(r.host || r.path)) AS verdict
   FROM own JOIN rules r ON (own.host = r.host OR suffix(own.host, '.' || r.host)) AND starts_with(own.path, r.path) GROUP BY page_id
 )
-SELECT own.page_id, own.host, own.path, best.rule,
+SELECT own.page_id, coalesce(own.host, '') AS host, coalesce(own.path, '') AS path, best.rule,
        coalesce(best.verdict, CASE WHEN spread.node IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
-FROM own LEFT JOIN best USING (page_id) LEFT JOIN spread ON spread.node = own.host || own.tail AND own.host <> ''
+FROM own LEFT JOIN best USING (page_id) LEFT JOIN spread ON spread.node = own.node AND own.host <> ''
 """
 
 OP3_SQL = """

@@ -16,17 +16,35 @@ MOST_RULES = 10_000
 CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
 REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 HREF = r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)"
+BASE_TAG = r"(?is)<base\b[^>]*\bhref\b[^>]*>"
+#: What browsers don't read as tags.
+UNREAD = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)"
+#: A scheme that leads to no page.
+NO_PAGE = r"^[A-Za-z][A-Za-z0-9+.-]*:(?!//)"
 TARGET = r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)"
 
 
+def without_dots(path: Column) -> Column:
+    """The path with "." and ".." segments taken out; an empty path is "/"."""
+    def step(done: Column, part: Column) -> Column:
+        return F.when(part == ".", done).when(part == "..", F.regexp_replace(done, r"/[^/]*$", "")).otherwise(F.concat(done, F.lit("/"), part))
+
+    parts = F.split(path, "/")
+    done = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.lit(""), step)
+    whole = F.concat(done, F.when(path.rlike(r"/\.\.?$"), "/").otherwise(""))
+    return F.when(path == "", "/").when(path.rlike(r"/\.\.?(?:/|$)"), F.when(done == "", "/").otherwise(whole)).otherwise(path)
+
+
 def with_parts(df: DataFrame, url: str) -> DataFrame:
-    """Adds rest (what follows the first ://, or the empty text), host, path, and node: what names a page whatever its scheme and
-    fragment, which is host, path and query, null without a host. Step by step, so that no expression holds another twice."""
+    """Adds rest (what follows the first ://, or the empty text), host, path, and node: what names a page whatever its scheme,
+    default port, dot segments and fragment, which is host, path and query, null without a host. Step by step, so that no expression
+    holds another twice."""
     at = F.locate("://", F.coalesce(F.col(url), F.lit("")))
+    query = F.regexp_extract("rest", r"^[^?#]*(\?[^#]*)?", 1)
     return (df.withColumn("rest", F.when(at > 0, F.substring(F.col(url), at + 3, F.length(url))).otherwise(""))
             .withColumn("host", F.translate(F.regexp_extract("rest", r"^([^/?#]*)", 1), AZ, LOWER_AZ))
             .withColumn("path", F.regexp_extract("rest", r"^[^/?#]*([^?#]*)", 1))
-            .withColumn("node", F.when(F.col("host") != "", F.concat("host", F.regexp_extract("rest", r"^[^/?#]*([^#]*)", 1)))))
+            .withColumn("node", F.when(F.col("host") != "", F.concat(F.regexp_replace("host", r":(?:80|443)?$", ""), without_dots(F.col("path")), query))))
 
 
 def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
@@ -49,23 +67,33 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
     return F.when(best.isNotNull(), F.struct(best["rule"].alias("rule"), best["verdict"].alias("verdict")))
 
 
+def absolute(link: Column, url: str) -> Column:
+    """The URL that a link leads to from url, whose parts are at hand. Null if it leads to no page."""
+    link = F.replace(link, F.lit("&amp;"), F.lit("&"))
+    scheme = F.substring(F.col(url), F.lit(1), F.locate("://", F.col(url)) - 1)
+    site = F.concat(scheme, F.lit("://"), "host")
+    folder = F.regexp_replace(F.when(F.col("path") == "", F.lit("/")).otherwise(F.col("path")), r"[^/]*$", "")
+    return (F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link).when(link.rlike(NO_PAGE), F.lit(None))
+            .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
+            .when(link.startswith("/"), F.concat(site, link))
+            .when(link.startswith("#"), F.col(url))
+            .when(link.startswith("?"), F.concat(site, "path", link))
+            .otherwise(F.concat(site, folder, link)))
+
+
 def with_links(df: DataFrame) -> DataFrame:
-    """A row for every canonical link and redirect of a page, with target, its absolute URL. Needs url, html and their parts."""
+    """(a, target): a row for every canonical link and redirect of a page: its node, and the link's absolute URL, from the page's
+    base if it names one. Comments and scripts are not read. Needs url, html and the url's parts."""
     def found(tag: str, attribute: str) -> Column:
         return F.transform(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda t: F.regexp_extract(t, attribute, 1))
 
     links = F.array_distinct(F.filter(F.concat(found(CANONICAL, HREF), found(REFRESH, TARGET)), lambda t: t != ""))
-    scheme = F.substring("url", F.lit(1), F.locate("://", F.col("url")) - 1)
-    link, site = F.col("link"), F.col("site")
-    folder = F.regexp_replace(F.when(F.col("path") == "", F.lit("/")).otherwise(F.col("path")), r"[^/]*$", "")
-    return (df.withColumn("link", F.explode(links)).withColumn("link", F.replace("link", F.lit("&amp;"), F.lit("&")))
-            .withColumn("scheme", scheme).withColumn("site", F.concat("scheme", F.lit("://"), "host"))
-            .withColumn("target", F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
-                        .when(link.startswith("//"), F.concat("scheme", F.lit(":"), link))
-                        .when(link.startswith("/"), F.concat(site, link))
-                        .when(link.startswith("#"), F.col("url"))
-                        .when(link.startswith("?"), F.concat(site, "path", link))
-                        .otherwise(F.concat(site, folder, link))))
+    base = F.regexp_extract(F.regexp_extract("html", BASE_TAG, 0), HREF, 1)
+    read = df.filter("host <> ''").withColumn("a", F.col("node")).withColumn("html", F.regexp_replace("html", UNREAD, " "))
+    based = read.withColumn("base", base).withColumn("base", F.when(F.col("base") != "", absolute(F.col("base"), "url")))
+    based = based.withColumn("links", links).withColumn("base", F.coalesce("base", "url"))
+    return with_parts(based.select("a", "links", "base"), "base").withColumn("link", F.explode("links")).withColumn(
+        "target", absolute(F.col("link"), "base")).select("a", "target")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -74,7 +102,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], id_col: str =
     A rule (verdict, host, path) fits its host and all subdomains where the path starts with the rule's; the longest fits best and
     decides. Pages without a rule take a block from their aliases: pages and link targets joined by redirects (meta refresh) and canonical links, all that a page has, in any number of
     steps, of which one is blocked by a rule. An allow rule of the page itself comes before that; an allowed alias neither passes
-    its allow on nor stops a block. All others are allowed. Scheme and fragment don't tell pages apart.
+    its allow on nor stops a block. All others are allowed. Scheme, default port, dot segments and fragment don't tell pages apart;
+    an empty path is "/". Links count from the page's base; those in comments and scripts don't.
 
     Null URLs and URLs without :// have empty host and path, no rule and no alias; null html has no link. Repeated rows are judged each, null ids kept. Other
     columns are not looked at.
@@ -85,7 +114,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], id_col: str =
     own = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     linked = own.filter(F.col("html").rlike(CANONICAL) | F.col("html").rlike(REFRESH)).select("url", "html")
     # Written before anything filters on it: a filter pushed through would repeat all these expressions.
-    links = stage(with_links(with_parts(linked, "url")).select(F.col("node").alias("a"), "target"), "links")
+    links = stage(with_links(with_parts(linked, "url")), "links")
     named = components(with_parts(links, "target").select("a", F.col("node").alias("b"))).withColumn("url", F.concat(F.lit("x://"), "node")).drop("node")
     named = with_parts(named, "url").select("node", "root", rule_for(F.col("host"), F.col("path"), rules).alias("r"))
     bad = named.filter(F.col("r.verdict") == "block").select("root").distinct()

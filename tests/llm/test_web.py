@@ -4,8 +4,10 @@ import gzip
 import hashlib
 from collections import Counter
 
+import duckdb
+
 from gleanframe.llm import warc
-from gleanframe.llm.registered import RULES
+from gleanframe.llm.registered import OP4_SQL, RULES
 from gleanframe.llm.url_rules import judge
 
 LONG = "<p>" + "w" * 1200 + "</p>"
@@ -101,3 +103,30 @@ def test_all_links_of_a_page_are_edges(spark):
             (7, "http://seven.org/", '<link rel="canonical">')]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {r["page_id"]: r["verdict"] for r in judge(df, RULES).collect()} == {**dict.fromkeys(range(1, 6), "block"), 6: "allow", 7: "allow"}
+
+
+def test_spellings_of_one_url(spark, tmp_path):
+    """Bare hosts, dot segments, ports, bases, comments, scripts and links to no page: code and SQL agree, and both with the expectation."""
+    canonical, refresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    bad = refresh.format("http://a.net/fr/x")
+    rows = [
+        (1, "http://one.org", bad, "block"), (2, "http://two.org/x", canonical.format("http://one.org/"), "block"),
+        (3, "http://three.org/a/b/../c/./d", bad, "block"), (4, "http://four.org/", canonical.format("https://three.org/a/c/d"), "block"),
+        (5, "http://five.org/a/b", canonical.format("../z"), "block"), (6, "http://five.org/z", bad, "block"),
+        (7, "http://six.org:80/p", bad, "block"), (8, "https://seven.org:443/", canonical.format("https://six.org/p"), "block"),
+        (9, "http://eight.org/p/q", '<base href="/other/">' + canonical.format("r"), "block"), (10, "http://eight.org/other/r?", "", "allow"),
+        (11, "http://eight.org/other/r", bad, "block"), (12, "http://nine.org/", f"<!-- {canonical.format('http://one.org')} --><p>", "allow"),
+        (13, "http://ten.org/", f"<script>x = '{canonical.format('http://one.org')}'</script>", "allow"), (14, "http://ten.org/m", canonical.format("mailto:a@one.org"), "allow"),
+        (15, "http://el.org/..", canonical.format("http://six.org/./p/"), "allow"), (16, "http://el.org/", "<!-- open " + bad, "allow"),
+        (17, "http://el.org:8080/", canonical.format("http://one.org/."), "block"), (18, "http://TW.org/A/..", canonical.format("http://one.org?"), "block"),
+        (19, "http://tw.org/", canonical.format("http://one.org#x"), "block"), (20, "http://th.org/x/..", canonical.format("//one.org"), "block"),
+        (21, "http://th.org", "", "block"), (22, None, canonical.format("http://one.org"), "allow"), (23, "http://ft.org/", None, "allow"),
+    ]
+    spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {tuple(r) for r in judge(spark.read.parquet(f"{tmp_path}/pages.parquet"), RULES).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    sql = con.execute(OP4_SQL)
+    assert [d[0] for d in sql.description] == ["page_id", "host", "path", "rule", "verdict"]
+    assert got == set(sql.fetchall())
+    assert {r[0]: r[4] for r in got} == {r[0]: r[3] for r in rows}
