@@ -131,23 +131,30 @@ def text_codes(df: DataFrame, features: Sequence[str]) -> DataFrame | None:
 
 
 def numeric_columns(df: DataFrame, rows: Sequence[Row], codes: DataFrame | None) -> DataFrame:
-    """Columns ``x0, x1, ..`` for the given features: numbers as they are, text by its code."""
+    """Columns ``x0, x1, ..`` for the given features: numbers as they are, text by its code.
+
+    Small domains are looked up by broadcast. All large ones together are one table of (row, feature, value), looked up once and
+    turned back, so the table is read as often for one such column as for many.
+    """
     name = {r["feature"]: f"x{i}" for i, r in enumerate(rows)}
     # One row per text feature.
     sizes = {} if codes is None else {r["feature"]: r["size"] for r in codes.groupBy("feature").agg(
         F.sum(F.octet_length("value") + 16).alias("size")).collect()}
     out = df.select("*", *[number_of(r).alias(name[r["feature"]]) for r in rows if r["var_type"] in NUMERIC])
+    large = [f for f, size in sorted(sizes.items()) if size > BROADCAST_BYTES]
     for r in rows:
-        if r["var_type"] in NUMERIC:
+        if r["var_type"] in NUMERIC or r["feature"] in large:
             continue
         x, v = name[r["feature"]], f"_v{name[r['feature']]}"
         own = codes.filter(F.col("feature") == r["feature"]).select(F.col("value").alias(v), F.col("code").alias(x), "n")
-        probe = out.withColumn(v, text_of(r["feature"]))
-        if sizes.get(r["feature"], 0) <= BROADCAST_BYTES:
-            out = probe.join(F.broadcast(own.drop("n")), v).drop(v)
-        else:
-            out = hot_lookup(probe, own, [v], "n").drop(v)
-    return out
+        out = out.withColumn(v, text_of(r["feature"])).join(F.broadcast(own.drop("n")), v).drop(v)
+    if not large:
+        return out
+    out = staged(out.withColumn("_row", F.monotonically_increasing_id()))
+    cells = out.select("_row", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), text_of(f).alias("value")) for f in large])).alias("c"))
+    found = hot_lookup(cells.select("_row", "c.*"), codes.filter(F.col("feature").isin(large)), ["feature", "value"], "n", ["feature"], n_groups=len(large))
+    wide = found.groupBy("_row").agg(*[F.max(F.when(F.col("feature") == f, F.col("code"))).alias(name[f]) for f in large])
+    return out.join(wide, "_row").drop("_row")
 
 
 def _in_parallel(spark, count: int, work, schema: str) -> pa.Table:

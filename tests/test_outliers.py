@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import PROBE_NAMES
 from gleanframe.functions.student import grubbs_critical
-from gleanframe.operators import grubbs
+from gleanframe.operators import forest, grubbs
 from gleanframe.operators.forest import _step_function, average_path, forest_depths, grow_forest
 from gleanframe.operators.outliers import (
     fit_rules, flag_outliers, method_name, outlier_verdicts, with_verdicts,
@@ -202,3 +202,25 @@ def test_forest(cloud, method):
 def test_forest_without_good_columns(spark):
     df = spark.createDataFrame([(1, None), (2, 1.0)], "k int, a double")
     assert flag_outliers(df, profile(df, columns=["a"]), ["k"], "forest_joint").count() == 0
+
+
+def test_codes_of_large_text_columns(spark, monkeypatch):
+    """Looked up all at once: the same codes as by broadcast, and as many scans for three columns as for one."""
+    rng = np.random.default_rng(6)
+    rows = [(k, f"a{rng.integers(0, 40)}", f"b{rng.integers(0, 7)}", f"é{rng.integers(0, 300)}", float(k % 5)) for k in range(400)]
+    df = spark.createDataFrame(rows, "k int, a string, b string, c string, x double").repartition(3)
+    facts = {r["feature"]: r for r in profile(df, columns=["a", "b", "c", "x"]).collect()}
+    scans = []
+    for names in (["a"], ["a", "b", "c"]):
+        wanted = [facts[n] for n in [*names, "x"]]
+        codes = forest.text_codes(df, names)
+        columns = ["k", *[f"x{i}" for i in range(len(wanted))]]
+        small = {tuple(r) for r in forest.numeric_columns(df, wanted, codes).select(*columns).collect()}
+        monkeypatch.setattr(forest, "BROADCAST_BYTES", 0)
+        large = forest.numeric_columns(df, wanted, codes).select(*columns)
+        assert {tuple(r) for r in large.collect()} == small and len(small) == 400
+        scans.append(large._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        monkeypatch.undo()
+    assert scans[0] == scans[1]
+    order = {v: i for i, v in enumerate(sorted({r[1] for r in rows}))}
+    assert {(r[0], r[1]) for r in small} == {(r[0], float(order[r[1]])) for r in rows}
