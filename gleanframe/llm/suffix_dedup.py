@@ -16,8 +16,9 @@ from gleanframe.llm.decontaminate import bit_filter, passes
 from gleanframe.llm.induced_sort import suffix_order
 from gleanframe.llm.words import BASE, GROUP, as_bytes, groups, mix, powers
 
-#: Bytes of the seeds whose least hash stands for a window.
-SEED = 24
+#: Bytes of the seeds whose least hash stands for a window: about half of a window at most. Short seeds meet by chance, the more
+#: often the more text there is, and every such meeting has to be sorted out; long seeds make more, shorter runs of windows.
+SEED = 48
 #: Bits for a place in a group of texts; the rest of 64 are the hash by which seeds are compared.
 PLACE = np.uint64(21)
 #: Bytes that a shard has at least before the next one begins.
@@ -40,13 +41,13 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 def _segments(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(start, size, key, mark, mark2) of the longest runs of windows whose first least seed stands at one place, within the texts given by
     bounds; the key is that seed's hash, the marks are two hashes of the content. No window occurs twice in a run, as its least seed would stand at two places."""
-    n = len(data)
+    n, seed = len(data), min(SEED, (length + 1) // 2)
     up, down = powers(n + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_value[data] * up[:n], out=sums[1:])
-    seeds = mix((sums[SEED:] - sums[:-SEED]) * down[: n - SEED + 1])
+    seeds = mix((sums[seed:] - sums[:-seed]) * down[: n - seed + 1])
     packed = (seeds >> PLACE << PLACE) | np.arange(len(seeds), dtype=np.uint64)
-    least = (sliding_least(packed, length - SEED + 1) & ((np.uint64(1) << PLACE) - np.uint64(1))).astype(np.int64)
+    least = (sliding_least(packed, length - seed + 1) & ((np.uint64(1) << PLACE) - np.uint64(1))).astype(np.int64)
     first, last = bounds[:-1], bounds[1:] - 1 - length
     inside = np.zeros(n + 2, dtype=np.int32)
     full = last >= first
