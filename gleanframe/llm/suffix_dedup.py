@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, ShortType, StructField, StructType
@@ -23,9 +24,11 @@ SEED = 48
 PLACE = np.uint64(21)
 #: Bytes that a shard has at least before the next one begins.
 SHARD_BYTES = 3 << 19
+#: Bytes of text whose segments a task holds at a time.
+BATCH_BYTES = 8 << 20
 #: Contents of one key (a batch counts each once) beyond which its windows are sorted one by one over all tasks, so a shard has at most
 #: so many contents beyond SHARD_BYTES.
-HOT = 1 << 13
+HOT = 1 << 14
 
 _value, _value2 = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE ^ x)) for x in (0x5DEECE66D, 0x2545F4914F6CDD1D))
 
@@ -87,6 +90,18 @@ def segments(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]
                 yield text + first, start - bounds[text], *rest
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about BATCH_BYTES of text, or one row; what is said of a batch below is said of such a part."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + BATCH_BYTES, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def _batch_segments(batch: pa.RecordBatch, length: int):
     """The segments of a batch of (row, text) in the order of rows and starts, whether each is the batch's first of its content, texts."""
     order = np.argsort(batch.column(0).to_numpy(), kind="stable")
@@ -120,7 +135,7 @@ def _digests(texts, text, start, size) -> np.ndarray:
 def _key_counts(docs: DataFrame, length: int) -> DataFrame:
     """(key, n) of the keys with several contents or in several batches: a batch counts each content once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             found = _batch_segments(batch, length)
             if found is not None:
                 key, n = np.unique(found[5][found[8]].view(np.int64), return_counts=True)
@@ -153,7 +168,7 @@ def _places(docs: DataFrame, length: int, several, hot) -> DataFrame:
         return places(own[0], np.zeros((len(own[0]), 2), dtype=np.int64), *own, True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             found = _batch_segments(batch, length)
             if found is None:
                 continue
@@ -181,7 +196,7 @@ def _places(docs: DataFrame, length: int, several, hot) -> DataFrame:
 def _contents(docs: DataFrame, length: int, keys, hot) -> DataFrame:
     """(key, mark, mark2, row, start, content) of the segments whose key passes the filter and is not hot, each content once a batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             found = _batch_segments(batch, length)
             if found is None:
                 continue
