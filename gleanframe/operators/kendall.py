@@ -3,10 +3,10 @@
 First a bound: every column is cut into a few buckets, and the counts of all pairs of buckets, one scan for all pairs of columns,
 tell how many pairs of rows are discordant at least. Only pairs of columns that can still reach what is asked for go on.
 
-For those, rows collapse to distinct (x, y) with counts and are dealt to slices of x. Inside a slice a task counts by merging, in
-n log n. Rows of different slices first differ at one base-16 digit of their slices' numbers; at that digit they lie in the same
-block (equal higher digits). So the concordant and discordant rows of every block follow from running totals in y order, one per
-digit value, and each pair of rows is counted at exactly one digit. An x that fills a slice alone has nothing to count inside.
+For those, rows collapse to distinct (x, y) with counts. Large pairs are cut into slices of x and slices of y. Two cells in one slice
+of x are compared by merging there, in n log n; two in one slice of y but not of x are merged in that slice, where only the number of
+the slice of x counts; the order of all others follows from the numbers of both their slices, so from one table of counts. Each pair
+of cells is counted at exactly one of these. An x that fills a slice alone has nothing to count inside.
 """
 
 from __future__ import annotations
@@ -19,13 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanframe.operators.materialise import spread_out, staged
-from gleanframe.operators.running import running_totals
-from gleanframe.operators.slices import slice_of
 
-BITS = 4
-FAN = 1 << BITS
 # Distinct (x, y) that one task merges, and slices of a pair at most; beyond, slices grow.
 SLICE_CELLS, MOST_SLICES = 1 << 20, 1024
 # Buckets of a column for the bound, column pairs counted in one scan, and pairs whose rows are expanded at a time.
@@ -61,19 +58,24 @@ def within_reach(
         row = df.agg(*[F.percentile_approx(columns[n], marks, 1000).alias(f"c{i}") for i, n in enumerate(batch)]).first()
         cuts |= {n: sorted(set(row[f"c{i}"] or [])) for i, n in enumerate(batch)}
     place = {n: i for i, n in enumerate(used)}
-    codes = df.select(*[F.coalesce(slice_of(columns[n], cuts[n]), F.lit(-1)).cast("tinyint").alias(f"c{i}") for i, n in enumerate(used)])
+    # Values go to their buckets by numpy: as expressions, the borders of a dozen columns make a method too large to be compiled.
+    values = df.select(*[columns[n].cast("double").alias(f"c{i}") for i, n in enumerate(used)])
+    borders, wide = [np.array(cuts[n], dtype=float) for n in used], GRID + 1
     out: list[tuple[str, str]] = []
     for at in range(0, len(pairs), PAIRS_A_SCAN):
         batch = pairs[at : at + PAIRS_A_SCAN]
         sides = [(place[a], place[b]) for a, b in batch]
 
         def count(batches: Iterator[pa.RecordBatch], sides=sides) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((len(sides), GRID * GRID), dtype=np.int64)
+            total = np.zeros((len(sides), wide * wide), dtype=np.int64)
             for rows in batches:
-                code = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in rows.columns]
+                code = []
+                for c, own in zip(rows.columns, borders):
+                    code.append(np.searchsorted(own, c.to_numpy(zero_copy_only=False), side="right"))
+                    code[-1][c.is_null().to_numpy(zero_copy_only=False)] = GRID  # a bucket of its own, left out below
                 for k, (a, b) in enumerate(sides):
-                    both = (code[a] >= 0) & (code[b] >= 0)
-                    total[k] += np.bincount(code[a][both] * GRID + code[b][both], minlength=GRID * GRID)
+                    total[k] += np.bincount(code[a] * wide + code[b], minlength=wide * wide)
+            total = total.reshape(-1, wide, wide)[:, :GRID, :GRID].reshape(len(sides), GRID * GRID)
             pair, cell = np.nonzero(total)
             yield pa.RecordBatch.from_pydict({"pair": pa.array(pair, pa.int32()), "cell": pa.array(cell, pa.int32()), "n": pa.array(total[pair, cell])})
 
@@ -86,7 +88,7 @@ def within_reach(
                 fits = tau_bound(grid.reshape(-1, GRID, GRID)) >= at_least - 1e-9
                 yield pa.RecordBatch.from_arrays([rows.column(0).filter(pa.array(fits))], ["pair"])
 
-        counts = codes.mapInArrow(count, "pair int, cell int, n bigint").groupBy("pair", "cell").agg(F.sum("n").alias("n"))
+        counts = values.mapInArrow(count, "pair int, cell int, n bigint").groupBy("pair", "cell").agg(F.sum("n").alias("n"))
         tables = counts.groupBy("pair").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))
         out += [batch[k] for k in sorted(r["pair"] for r in tables.mapInArrow(bound, "pair int").collect())]
     return out
@@ -104,11 +106,11 @@ def kendall_tau(
         pairs = within_reach(df, columns, pairs, at_least)
     out: dict[tuple[str, str], float] = {}
     for at in range(0, len(pairs), PAIRS_AT_ONCE):
-        out |= _exact(df, columns, pairs[at : at + PAIRS_AT_ONCE], n_rows)
+        out |= _exact(df, columns, pairs[at : at + PAIRS_AT_ONCE])
     return out
 
 
-def _exact(df, columns, pairs, n_rows):
+def _exact(df, columns, pairs):
     used = sorted({n for p in pairs for n in p})
     alias = {n: f"c{i}" for i, n in enumerate(used)}
     slots = []
@@ -130,11 +132,11 @@ def _exact(df, columns, pairs, n_rows):
     sizes = {r["p"]: r for r in cells.groupBy("p").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("cells")).collect()}
     ties_x, ties_y = ({r["p"]: r["t"] for r in cells.groupBy("p", c).agg(F.sum("n").alias("n")).groupBy("p").agg(choose2(F.col("n")).alias("t")).collect()}
                       for c in ("x", "y"))
-    inside, across, slices = _sliced(cells, max((r["cells"] for r in sizes.values()), default=0))
-    scores = {r["p"]: r["s"] for r in _inside(inside).groupBy("p").agg(F.sum("s").alias("s")).collect()}
-    if across is not None:
-        for r in _across(across, slices, n_rows).groupBy("p").agg(F.sum("s").alias("s")).collect():
-            scores[r["p"]] = (scores.get(r["p"]) or 0) + (r["s"] or 0)
+    parts = _sliced(cells, max((r["cells"] for r in sizes.values()), default=0))
+    scores: dict[int, Decimal] = {}
+    for part in parts:
+        for r in part.groupBy("p").agg(F.sum("s").alias("s")).collect():
+            scores[r["p"]] = scores.get(r["p"], Decimal(0)) + r["s"]
 
     out = {}
     for i, pair in enumerate(pairs):
@@ -146,21 +148,39 @@ def _exact(df, columns, pairs, n_rows):
     return out
 
 
-def _sliced(cells: DataFrame, largest: int) -> tuple[DataFrame, DataFrame | None, int]:
-    """cells with ``at``, the number of their slice of x: those whose slice holds several x, and all if there are several slices."""
+def _sliced(cells: DataFrame, largest: int) -> list[DataFrame]:
+    """Tables of ``(p, s)`` whose sums are the concordant less the discordant pairs of rows of p."""
     n = min(MOST_SLICES, -(-largest // SLICE_CELLS))
     if n < 2:
-        return cells.withColumn("at", F.lit(0)), None, 1
-    marks = [k / n for k in range(1, n)]
-    at, alone, slices = F.lit(0), F.lit(False), 1
-    for r in cells.groupBy("p").agg(F.percentile_approx("x", marks, 20 * n).alias("cuts")).collect():
-        many = {a for a, b in zip(r["cuts"], r["cuts"][1:]) if a == b}
-        cuts = sorted(set(r["cuts"]) | {math.nextafter(float(x), math.inf) for x in many})
-        slices = max(slices, len(cuts) + 1)
-        at = F.when(F.col("p") == r["p"], slice_of(F.col("x"), cuts)).otherwise(at)
-        alone = alone | ((F.col("p") == r["p"]) & F.col("x").isin(sorted(many))) if many else alone
-    placed = cells.withColumn("at", at)
-    return placed.filter(~alone), placed, slices
+        return [_inside(cells.withColumn("at", F.lit(0)))]
+    marks, cuts = [k / n for k in range(1, n)], {}
+    for r in cells.groupBy("p").agg(*[F.percentile_approx(c, marks, 20 * n).alias(c) for c in ("x", "y")]).collect():
+        many = sorted({a for a, b in zip(r["x"], r["x"][1:]) if a == b})
+        cuts[r["p"]] = sorted({*r["x"], *(math.nextafter(float(x), math.inf) for x in many)}), sorted(set(r["y"])), many
+    placed = _placed(cells, cuts)
+    # Of a slice of y, the cells of one y and one slice of x count as one, so a frequent y makes no large slice.
+    beside = placed.groupBy("p", "at", "low", "y").agg(F.sum("n").alias("n")).select(
+        "p", F.col("low").alias("at"), F.col("at").cast("double").alias("x"), "y", "n")
+    return [_inside(placed.filter("NOT alone")), _inside(beside), _across(placed)]
+
+
+def _placed(cells: DataFrame, cuts: Mapping[int, tuple[list, list, list]]) -> DataFrame:
+    """cells with ``at`` and ``low``, the numbers of their slices of x and y, and ``alone``: x fills its slice."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, x, y = (batch.column(k).to_numpy() for k in range(3))
+            at, low, alone = np.zeros(len(p), np.int32), np.zeros(len(p), np.int32), np.zeros(len(p), bool)
+            for name in np.unique(p).tolist():
+                own, (of_x, of_y, many) = p == name, cuts[name]
+                at[own], low[own] = np.searchsorted(of_x, x[own], side="right"), np.searchsorted(of_y, y[own], side="right")
+                alone[own] = np.isin(x[own], many)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at), pa.array(low), pa.array(alone)], names)
+
+    rows = cells.select("p", "x", "y", "n")
+    names = [*rows.columns, "at", "low", "alone"]
+    schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL("at int, low int, alone boolean").fields])
+    return rows.mapInArrow(place, schema)
 
 
 def concordance(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> int:
@@ -213,34 +233,28 @@ def _inside(cells: DataFrame) -> DataFrame:
     return dealt.mapInArrow(merge, "p int, s string").withColumn("s", F.col("s").cast("decimal(38,0)"))
 
 
-def _across(cells: DataFrame, slices: int, n_rows: int | None) -> DataFrame:
-    """``(p, s)``: concordant less discordant pairs of rows of different slices."""
-    levels = max(1, math.ceil((slices - 1).bit_length() / BITS))
-    digits = cells.groupBy("p", "at", "y").agg(F.sum("n").alias("n")).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
-    # shiftright takes a literal shift only, so one branch per level.
-    block, digit = F.lit(None).cast("int"), F.lit(None).cast("int")
-    for lv in range(levels):
-        here = F.col("level") == lv
-        block = F.when(here, F.shiftright("at", BITS * (lv + 1))).otherwise(block)
-        digit = F.when(here, F.shiftright("at", BITS * lv).bitwiseAND(F.lit(FAN - 1))).otherwise(digit)
-    own = [f"d{k}" for k in range(FAN)]
-    lines = (
-        digits.withColumn("block", block).withColumn("digit", digit)
-        .groupBy("p", "level", "block", "y")
-        .agg(*[F.sum(F.when(F.col("digit") == k, F.col("n")).otherwise(0)).alias(own[k]) for k in range(FAN)])
-    )
-    ranked = running_totals(lines, ["p", "level", "block"], ["y"], own, n_rows)
-
-    def wide(c) -> Column:
-        return F.col(c).cast("decimal(19,0)")
-
-    score = F.lit(0).cast("decimal(38,0)")
-    for k in range(FAN):
-        lower, upper = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
-        for j in range(FAN):
-            if j < k:
-                lower = lower + F.col(f"d{j}_before")
-            elif j > k:
-                upper = upper + F.col(f"d{j}_before")
-        score = score + wide(own[k]) * (lower - upper).cast("decimal(19,0)")
-    return ranked.select("p", score.cast("decimal(38,0)").alias("s"))
+def grid_concordance(grid: np.ndarray) -> int:
+    """Concordant less discordant pairs of rows that differ in both places of a table of row counts."""
+    exact = grid if float(grid.sum()) < 2.0**31 else grid.astype(object)
+    lower_x = np.cumsum(exact, axis=0) - exact
+    upto_y = np.cumsum(lower_x, axis=1)
+    return int((exact * (upto_y - lower_x - (upto_y[:, -1:] - upto_y))).sum())
+
+
+def _across(placed: DataFrame) -> DataFrame:
+    """``(p, s)``: concordant less discordant pairs of rows that differ in both slices; a task has the counts of one p."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            p, *rest = (c.to_numpy() for c in batch.columns)
+            for name in np.unique(p).tolist():
+                held.setdefault(name, []).append([c[p == name] for c in rest])
+        for name, parts in held.items():
+            at, low, n = (np.concatenate(c) for c in zip(*parts))
+            grid = np.zeros((at.max() + 1, low.max() + 1), dtype=np.int64)
+            grid[at, low] = n
+            yield pa.RecordBatch.from_pydict({"p": pa.array([name], pa.int32()), "s": pa.array([str(grid_concordance(grid))])})
+
+    counts = placed.groupBy("p", "at", "low").agg(F.sum("n").alias("n")).repartition("p")
+    return counts.mapInArrow(score, "p int, s string").withColumn("s", F.col("s").cast("decimal(38,0)"))

@@ -245,3 +245,25 @@ def test_wide_tables_bring_reported_pairs_only(spark, monkeypatch):
     got = [(r["f1"], r["f2"]) for r in correlated_pairs(df, "pearson").collect()]
     assert got == [("c149", "c0")]
     assert [(r["f1"], r["f2"]) for r in correlated_pairs(df, "pearson", abs_value=True).collect()] == [("c77", "c12"), ("c149", "c0")]
+
+
+def test_grid_concordance():
+    rng = np.random.default_rng(23)
+    for most in (2, 1 << 33):
+        g = rng.integers(0, most, (4, 5))
+        cells = [(i, j) for i in range(4) for j in range(5)]
+        want = sum(int(g[a]) * int(g[b]) * int(np.sign((a[0] - b[0]) * (a[1] - b[1]))) for a, b in combinations(cells, 2))
+        assert kendall.grid_concordance(g) == want
+
+
+def test_sliced_kendall_forms_no_wide_rows(spark, monkeypatch):
+    """Cells of different slices are neither expanded nor put into generated expressions whose size grows with the slices."""
+    monkeypatch.setattr(kendall, "SLICE_CELLS", 10)
+    rng = np.random.default_rng(24)
+    x = np.where(rng.random(400) < 0.3, 2.0, rng.normal(size=400))
+    y = np.where(rng.random(400) < 0.3, -1.0, x + rng.normal(size=400))
+    cells = spark.createDataFrame([(0, float(a), float(b), 1) for a, b in zip(x, y)], "p int, x double, y double, n long")
+    parts = kendall._sliced(cells, 400)
+    assert sum(r["s"] for part in parts for r in part.collect()) == int((np.sign(x[:, None] - x) * np.sign(y[:, None] - y)).sum()) // 2
+    plans = "".join(part._jdf.queryExecution().optimizedPlan().toString() for part in parts)
+    assert "Window" not in plans and "CASE" not in plans
