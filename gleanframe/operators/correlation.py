@@ -14,7 +14,7 @@ from gleanframe.functions.missing import DEFAULT_TOKENS, column, normalise_missi
 from gleanframe.operators.features import raw_number, supported_columns
 from gleanframe.operators.kendall import kendall_tau
 from gleanframe.operators.materialise import spread_out, staged
-from gleanframe.operators.moments import PAIRS_AS_AGGREGATES, pair_moments, strong_pairs
+from gleanframe.operators.moments import PAIRS_AS_AGGREGATES, PairMoments, pair_moments, strong_pairs
 from gleanframe.operators.running import SLICE_ROWS, hot_lookup, running_totals
 
 METHODS = ("spearman", "pearson", "kendall", "covariance", "none")
@@ -28,6 +28,8 @@ PAIR_SCHEMA = T.StructType([
 ])
 # Rank tables up to this many rows are looked up by broadcast, as long as all of them together have no more than the second number.
 BROADCAST_RANKS, BROADCAST_IN_ALL = 50_000, 1_000_000
+# Pairs whose rows are expanded at a time.
+PAIRS_AT_ONCE = 8
 
 
 def method_name(method: str | int | None) -> str:
@@ -189,8 +191,10 @@ def _spearman(df, usable, n_rows, pairs, key):
     """Average ranks over the rows where both columns of a pair are present, then their correlation.
 
     Which rows those are depends only on the missing patterns involved, so each (pattern, column) is
-    ranked once. Ranks come from running totals over distinct values and go back to the rows by
-    broadcast where a rank table is small, otherwise by a join in which hot values are split off.
+    ranked once. Ranks come from running totals over distinct values. A few pairs collapse to distinct
+    (x, y) with counts, which meet the ranks (see _cross_sums). With more pairs than ranked columns the
+    ranks go back to the rows by broadcast where a rank table is small, otherwise by a join in which hot
+    values are split off.
     """
     by_name = {c.name: c for c in usable}
     leader = _null_classes(df, [c for c in usable if c.n_present < n_rows])
@@ -230,6 +234,12 @@ def _spearman(df, usable, n_rows, pairs, key):
         "g", "value", "n", (F.col("n_before") + (F.col("n") + 1) / 2).alias("rank")))
     sizes = {r["g"]: (r["d"], r["n"]) for r in ranks.groupBy("g").agg(
         F.count(F.lit(1)).alias("d"), F.sum("n").alias("n")).collect()}
+    rank_pairs = sorted(set(pair_groups.values()))
+    if len(rank_pairs) <= len(members):
+        rows = {g: n for g, (_, n) in sizes.items()}
+        own, cross = _cross_sums(table, members, ranks, rows, rank_pairs)
+        return {p: PairMoments(rows.get(a, 0), 0.0, 0.0, own.get(a, 0.0), own.get(b, 0.0), cross.get((a, b), 0.0)).correlation()
+                for p, (a, b) in pair_groups.items()}
     small, total = [], 0
     for g in sorted(members, key=lambda g: (sizes.get(g, (0, 0))[0], g)):
         total += sizes.get(g, (0, 0))[0]
@@ -255,6 +265,29 @@ def _spearman(df, usable, n_rows, pairs, key):
     for (pattern, name), g in groups.items():
         n = sizes.get(g, (0, 0))[1]
         spec[g] = (F.col(f"r{g}"), (n + 1) / 2, bool(pattern) or by_name[name].n_present < n_rows)
-    rank_pairs = sorted(set(pair_groups.values()))
     moments = pair_moments(wide, spec, rank_pairs)
     return {p: moments[g].correlation() for p, g in pair_groups.items()}
+
+
+def _cross_sums(table, members, ranks, rows, rank_pairs):
+    """The sum of squares of every group's centred ranks, and of the products of every pair's.
+
+    Rows become distinct (x, y) with counts and look up the rank of x; the sums by y then meet the ranks of y one to one. Nothing
+    is joined or grouped by row.
+    """
+    centre = F.create_map(*[F.lit(v) for g, n in rows.items() for v in (g, (n + 1) / 2)])[F.col("g")]
+    ranks = ranks.withColumn("rank", F.col("rank") - centre) if rows else ranks
+    own = {r["g"]: r["s"] for r in ranks.groupBy("g").agg(F.sum(F.col("n") * F.col("rank") * F.col("rank")).alias("s")).collect()}
+    cross = {}
+    for at in range(0, len(rank_pairs), PAIRS_AT_ONCE):
+        slots = [F.when(members[a].isNotNull() & members[b].isNotNull(),
+                        F.struct(F.lit(a).alias("g"), F.lit(b).alias("h"), members[a].alias("value"), members[b].alias("y")))
+                 for a, b in rank_pairs[at : at + PAIRS_AT_ONCE]]
+        spread = table.select(F.explode(F.array(*slots)).alias("s")).filter("s IS NOT NULL").select("s.*")
+        cells = staged(spread.groupBy("g", "h", "value", "y").agg(F.count(F.lit(1)).alias("c")))
+        found = hot_lookup(cells, ranks, ["g", "value"], "n", ["g"], n_groups=len(members))
+        by_y = found.groupBy("g", "h", "y").agg(F.sum(F.col("c") * F.col("rank")).alias("s"))
+        met = by_y.join(ranks.select(F.col("g").alias("h"), F.col("value").alias("y"), "rank"), ["h", "y"])
+        for r in met.groupBy("g", "h").agg(F.sum(F.col("s") * F.col("rank")).alias("s")).collect():
+            cross[(r["g"], r["h"])] = r["s"]
+    return own, cross

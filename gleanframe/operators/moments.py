@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Up to this many pairs are plain aggregates; beyond, one pass of matrix products per task.
-PAIRS_AS_AGGREGATES = 100
+# Up to this many pairs are plain aggregates; beyond, one pass of matrix products per task. Half a dozen sums a pair soon make a
+# generated method that is too large to be compiled.
+PAIRS_AS_AGGREGATES = 3
 # Columns of a block, rows multiplied at a time, and bytes of sums that one task keeps.
 BLOCK, ROWS, TILE_BYTES = 500, 1 << 14, 64 << 20
 SUMS = ("n", "a", "b", "aa", "bb", "ab")

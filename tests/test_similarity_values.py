@@ -267,3 +267,13 @@ def test_sliced_kendall_forms_no_wide_rows(spark, monkeypatch):
     assert sum(r["s"] for part in parts for r in part.collect()) == int((np.sign(x[:, None] - x) * np.sign(y[:, None] - y)).sum()) // 2
     plans = "".join(part._jdf.queryExecution().optimizedPlan().toString() for part in parts)
     assert "Window" not in plans and "CASE" not in plans
+
+
+def test_few_ranked_pairs_are_not_joined_by_row(spark, mixed, monkeypatch):
+    df, data = mixed
+    monkeypatch.setattr(correlation, "PAIRS_AT_ONCE", 1)
+    seen = []
+    monkeypatch.setattr(correlation, "pair_moments", lambda *a, **k: seen.append(a) or pair_moments(*a, **k))
+    for pair in (("a", "b"), ("hot", "gap1"), ("gap1", "gap2"), ("gap1", "split"), ("a", "big")):
+        assert abs(pair_values(df, "spearman", list(pair)).get(pair, 0.0) - brute("spearman", *[data[c] for c in pair])) < 1e-9
+    assert not seen  # the wide way adds up moments of the rows
