@@ -6,11 +6,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from gleanframe.functions.missing import DEFAULT_TOKENS, column, normalise_missing
 from gleanframe.operators import correlation, impute, outliers
 from gleanframe.operators.features import skipped_columns
-from gleanframe.operators.materialise import staged
+from gleanframe.operators.materialise import spread_out, staged
 from gleanframe.operators.names import similar_names
 from gleanframe.operators.profile import feature_values, profile, summarise
 from gleanframe.operators.report import evaluation_report
@@ -47,21 +48,25 @@ def curate(
     seed: int = 0,
     tokens: Sequence[str] = DEFAULT_TOKENS,
     strict_null_typing: bool = False,
-    stage: bool = False,
+    stage: bool | None = None,
 ) -> CurationResult:
     """Annotate, assess, flag, relate and fill. ``key`` names the columns that identify a row.
 
     Methods go by name or by number; without one, nothing is filled, outliers go by z-score and
     similarity (values and names alike) is skipped. Nested columns are passed through and listed in
-    ``skipped``. With ``stage`` the table is written once to the checkpoint folder, and every step reads that.
+    ``skipped``. With ``stage`` the table is written once to the checkpoint folder, spread over the cores, and every step reads only its
+    columns of that; without, every one of some dozen passes makes the whole table again, in as many tasks as its files have splits.
+    None: as far as all columns can be written.
     """
     key = list(key)
     features = [c for c in df.columns if c not in key]
     skipped = skipped_columns(df, features)
     features = [c for c in features if c not in skipped]
     base = normalise_missing(df, tokens)
+    if stage is None:
+        stage = not any(isinstance(f.dataType, T.NullType) for f in base.schema)
     if stage:
-        base = staged(base)
+        base = staged(spread_out(base))
     facts = profile(base, threshold, features, tokens=tokens, strict_null_typing=strict_null_typing)
 
     method = outliers.method_name(outlier_method)

@@ -234,3 +234,13 @@ def test_layout_does_not_matter(probe):
     for t in ("cells", "curated", "clean"):
         a, b = (sorted(map(str, getattr(r, t).collect())) for r in (one, two))
         assert a == b
+
+
+def test_passes_read_what_was_computed_once(spark):
+    """Every pass of a curation reads a stored table, spread over the cores, not the plan that made it."""
+    df = spark.range(200).coalesce(1).selectExpr("id", "cast(id % 7 as double) * 1.25 as x", "concat('slowly-made-', id % 3) as t")
+    result = curate(df, ["id"], similarity="none")
+    for rows in (result.curated, result.clean, result.cells):
+        assert "slowly-made-" not in rows._jdf.queryExecution().analyzed().toString()
+    void = df.withColumn("v", F.lit(None))  # cannot be written
+    assert curate(void, ["id"], similarity="none").curated.count() == 200
