@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from gleanframe.llm.common import stage
 from gleanframe.llm.words import BASE, LOWER, Words, as_bytes, word_groups
-from gleanframe.operators.slices import slice_of
 
 BUCKETS = 10_000
 #: Beyond this length a feature has a matrix nearly to itself; the library's crc32 takes it in one call.
@@ -167,7 +166,9 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 10, runs: int =
     marks = [min(share * k / SLICES, 1.0) for k in range(1, SLICES + SLICES // 16)]
     marks += [marks[-1] + (1 - marks[-1]) * k / 16 for k in range(1, 16)]
     cuts = scored.filter(fit).select(F.percentile_approx(-F.col("score"), marks, 100 * SLICES).alias("cuts")).first()["cuts"]
-    scored = scored.withColumn("slice", F.when(fit, slice_of(-F.col("score"), sorted(set(cuts)))))
+    # One function over an array: as a tree of half a thousand comparisons it would be compiled to a very large method on every executor.
+    bounds = F.array(*[F.lit(int(c)) for c in sorted(set(cuts))])
+    scored = scored.withColumn("slice", F.when(fit, F.size(F.filter(bounds, lambda b: b <= -F.col("score")))))
     before, total = {}, 0
     for r in sorted(scored.filter(fit).groupBy("slice").count().collect()):
         if total < drawn:

@@ -73,3 +73,11 @@ def test_repeated_rows_and_empty_tables(spark):
     assert drawn == sorted(drawn, reverse=True) and drawn[-1] >= max(r["score"] for r in got if not r["rank"])
     assert resample(df.limit(0), df).collect() == []
     assert len(resample(spark.createDataFrame([(1, "all")], "doc_id int, text string"), df).collect()) == 1
+
+
+def test_slices_are_no_tree_of_comparisons(spark):
+    """Half a thousand bounds as nested conditions make a generated method that takes hundreds of megabytes to compile."""
+    rng = random.Random(8)
+    df = spark.createDataFrame(list(enumerate(texts(rng, 400))), "doc_id long, text string")
+    out = resample(df, df.limit(20), percent=50, least_words=1)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("CASE WHEN") < 20
