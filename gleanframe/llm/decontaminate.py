@@ -62,9 +62,10 @@ def bit_filter(hashes: DataFrame, column: str) -> np.ndarray:
     the driver gets at most FILTER_BITS / 64 rows, and a filter of that many bits, however many hashes there are."""
     slot = F.shiftrightunsigned(F.col(column), 64 - FILTER_BITS.bit_length() + 1)
     rows = hashes.select(slot.alias("slot")).groupBy(F.shiftrightunsigned("slot", 6).alias("word")).agg(
-        F.expr("bit_or(shiftleft(1L, cast(slot % 64 AS int))) AS bits")).toPandas()
+        F.expr("bit_or(shiftleft(1L, cast(slot % 64 AS int))) AS bits"))
     out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    for batch in rows.toArrow().to_batches():  # 16 bytes a row, no Python object for each
+        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
     return out.view(np.uint64)
 
 

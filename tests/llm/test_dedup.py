@@ -93,6 +93,14 @@ def test_components(spark):
     assert all((got[a] == got[b]) == (find(a) == find(b)) for a, b in combinations(parent, 2))
 
 
+def test_components_come_as_one_table(spark):
+    """A caller that reads them several times plans no join of a round again."""
+    rng = random.Random(6)
+    edges = [(rng.randrange(90), rng.randrange(90)) for _ in range(60)] + [(i, i + 1) for i in range(200, 260)]
+    plan = components(spark.createDataFrame(edges, "a long, b long"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_bag_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(2)
     one, two = rng.integers(0, 30, 300).astype(np.uint64), rng.integers(0, 30, 300)
