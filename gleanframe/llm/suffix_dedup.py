@@ -15,11 +15,13 @@ from pyspark.sql.types import IntegerType, LongType, ShortType, StructField, Str
 from gleanframe.llm.common import stage
 from gleanframe.llm.decontaminate import bit_filter, passes
 from gleanframe.llm.induced_sort import suffix_order
-from gleanframe.llm.words import BASE, GROUP, as_bytes, groups, mix, powers
+from gleanframe.llm.words import BASE, as_bytes, groups, mix, powers
 
 #: Bytes of the seeds whose least hash stands for a window: about half of a window at most. Short seeds meet by chance, the more
 #: often the more text there is, and every such meeting has to be sorted out; long seeds make more, shorter runs of windows.
 SEED = 48
+#: Bytes of texts, or of a long text, that are hashed at a time: eight bytes for each in a dozen arrays, which stay in a core's cache.
+GROUP = 1 << 17
 #: Bits for a place in a group of texts; the rest of 64 are the hash by which seeds are compared.
 PLACE = np.uint64(21)
 #: Bytes that a shard has at least before the next one begins.
@@ -43,7 +45,7 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 def _segments(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(start, size, key, mark, mark2) of the longest runs of windows whose first least seed stands at one place, within the texts given by
-    bounds; the key is that seed's hash, the marks are two hashes of the content. No window occurs twice in a run, as its least seed would stand at two places."""
+    bounds; the key is that seed's hash, mixed again as least hashes crowd at the low end, the marks are two hashes of the content. No window occurs twice in a run, as its least seed would stand at two places."""
     n, seed = len(data), min(SEED, (length + 1) // 2)
     up, down = powers(n + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
@@ -67,13 +69,13 @@ def _segments(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.nda
     start, stop = start[keep], stop[keep]
     mark = mix((sums[stop] - sums[start]) * down[start])
     np.cumsum(_value2[data] * up[:n], out=sums[1:])
-    return start, stop - start, seeds[least[start]], mark, mix((sums[stop] - sums[start]) * down[start])
+    return start, stop - start, mix(seeds[least[start]]), mark, mix((sums[stop] - sums[start]) * down[start])
 
 
 def segments(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(text, start, size, key, mark, mark2) for groups of texts. Equal windows of `length` bytes have equal keys. Long texts go in steps
     that overlap by length - 1 bytes; a step's end only splits a run."""
-    for first, group in groups(texts):
+    for first, group in groups(texts, GROUP):
         if len(group) == 1 and len(group[0]) > GROUP:
             whole = np.frombuffer(group[0], dtype=np.uint8)
             pieces = [(at, whole[at : at + GROUP + length - 1]) for at in range(0, len(whole) - length + 1, GROUP)]

@@ -89,13 +89,13 @@ def beginnings(words: Words, which: np.ndarray, size: int) -> np.ndarray:
     return mix(total)
 
 
-def groups(texts: list[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """(index of the first, texts) in groups of about GROUP bytes and at most 2^15 texts; null counts as empty."""
+def groups(texts: list[bytes | None], most: int = GROUP) -> Iterator[tuple[int, list[bytes]]]:
+    """(index of the first, texts) in groups of about `most` bytes and at most 2^15 texts; null counts as empty."""
     group: list[bytes] = []
     size = first = 0
     for i, text in enumerate(texts):
         text = text or b""
-        if group and (size + len(text) > GROUP or len(group) == 1 << 15):
+        if group and (size + len(text) > most or len(group) == 1 << 15):
             yield first, group
             group, size, first = [], 0, i
         group.append(text)
