@@ -108,3 +108,25 @@ def test_missing_and_repeated_values(spark):
     df = spark.createDataFrame([("customer_id",), ("customer_idx",), ("customer_id",), ("",), (None,), ("?",)], "w string")
     assert [(r["f1"], r["f2"]) for r in similar_strings(df, "w").collect()] == [("customer_idx", "customer_id")]
     assert similar_strings(df.filter(F.lit(False)), "w").count() == 0
+
+
+@pytest.mark.parametrize("block,threshold,kinds", [(4096, 0.92, 1 << 10), (7, 0.92, 12), (20, 0.75, 1 << 10)])
+def test_long_strings_are_compared_in_blocks_and_not_sent(spark, monkeypatch, block, threshold, kinds):
+    """Every long line was sent once for each block of lines with the same element, which filled the disk."""
+    sent, tiled = [], names.tiled
+    monkeypatch.setattr(names, "tiled", lambda rows: sent.append(rows.agg(F.max("length")).first()[0]) or tiled(rows))
+    monkeypatch.setattr(names, "BLOCK", block)
+    monkeypatch.setattr(names, "KINDS", kinds)
+    rng = np.random.default_rng(12)
+    lines = variants(rng, 25, "etaoins rhl", 60) + variants(rng, 30, "etaoinshrdlu cmwf", 260) + variants(rng, 2, "ab c", 700) + ["ж" * 70, "ж" * 69 + "e", "e" * 66, "e" * 64]
+    for line in [x for x in lines if len(x) > 64][::2]:
+        moved = list(line)
+        for at in rng.integers(0, len(moved), len(moved) // 6):
+            moved[at], moved[at - 1] = moved[at - 1], moved[at]
+        lines += ["".join(moved), line[len(line) // 5 :] + line[: len(line) // 5], line[: len(line) * 4 // 5]]
+    lines = sorted(set(lines))
+    want = {(a, b) for a, b in combinations(lines, 2) if min(len(a), len(b)) >= 0.2 * max(len(a), len(b)) and jaro(a, b) >= threshold}
+    got = similar_strings(spark.createDataFrame([(x,) for x in lines], "w string"), "w", threshold).collect()
+    assert {(r["f2"], r["f1"]) for r in got} == want and len(got) == len(want) and sum(len(a) > 64 for a, _ in want) > 50
+    assert all(abs(r["value"] - jaro(r["f1"], r["f2"])) < 1e-12 for r in got)
+    assert sent and max(sent) <= 64
