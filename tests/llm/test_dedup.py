@@ -264,7 +264,7 @@ def test_remove_repeats_of_a_text_of_over_a_mebibyte(spark):
 
 
 def test_segment_keys_spread_over_all_ranges_of_a_filter():
-    """Keys are least hashes; as they were, most lay in the lowest twentieth, so a filter by ranges let through what occurs once."""
+    """Keys are least hashes; as they were, nearly all lay in the lowest eighth, so a filter by ranges let through what occurs once."""
     data = np.random.default_rng(5).integers(97, 123, 60_000, dtype=np.uint8).tobytes()
     key = np.concatenate([part[3] for part in suffix_dedup.segments([data, data[:30_000]], 100)])
     assert np.all(np.histogram((key >> np.uint64(54)).astype(np.int64), 8, (0, 1 << 10))[0] > len(key) / 16)
