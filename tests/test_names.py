@@ -130,3 +130,68 @@ def test_long_strings_are_compared_in_blocks_and_not_sent(spark, monkeypatch, bl
     assert {(r["f2"], r["f1"]) for r in got} == want and len(got) == len(want) and sum(len(a) > 64 for a, _ in want) > 50
     assert all(abs(r["value"] - jaro(r["f1"], r["f2"])) < 1e-12 for r in got)
     assert sent and max(sent) <= 64
+
+
+def prose(rng, n, alphabet, longest):
+    """Lines of words of common letters and a few rare ones, which are often absent from the beginning of another line."""
+    common, rare = alphabet[:14], alphabet[14:]
+    out = []
+    for _ in range(n):
+        letters = [str(rng.choice(list(rare))) if rng.random() < 0.05 else str(rng.choice(list(common))) for _ in range(rng.integers(longest * 9 // 10, longest))]
+        for at in range(int(rng.integers(2, 7)), len(letters), 6):
+            letters[at] = " "
+        letters[3] = letters[len(letters) // 3] = "@"
+        out.append("".join(letters))
+    return out
+
+
+def altered(rng, line):
+    """The line with characters moved, also from the beginning to the end, and put in, in all about as much as leaves it similar."""
+    out = list(line)
+    for at in rng.integers(1, len(out), len(out) // 16):
+        out[at], out[at - 1] = out[at - 1], out[at]
+    out.insert(int(rng.integers(0, len(out))), "#")
+    return "".join(c for c in out if c != "@") + "@" * out.count("@")
+
+
+def out_of_order(a, b):
+    """Matched characters that are not those that they are compared with, one by one."""
+    window, ua, ub = max(len(a), len(b)) // 2 - 1, [False] * len(a), [False] * len(b)
+    for i, c in enumerate(a):
+        for j in range(max(0, i - window), min(len(b), i + window + 1)):
+            if not ub[j] and b[j] == c:
+                ua[i] = ub[j] = True
+                break
+    return sum(x != y for x, y in zip([c for c, u in zip(a, ua) if u], [c for c, u in zip(b, ub) if u]))
+
+
+@pytest.mark.parametrize("longest", [90, 310])
+def test_first_halves_tell_unlike_lines_apart(longest):
+    """A tenth of the pairs of lines of 300 characters were compared whole: a head ended at the first character of which one was too far."""
+    rng = np.random.default_rng(6)
+    lines = prose(rng, 61, "etaoinshrdlucmwfgypbvkQXzjE", longest)
+    lines += [altered(rng, x) for x in lines[:20]]
+    (x,), (y,) = names.lines_of(lines[::2]), names.lines_of(lines[1::2])
+    pairs = [(i, j) for i in range(len(x.strings)) for j in range(len(y.strings))]
+    p, q = np.array([i for i, _ in pairs]), np.array([j for _, j in pairs])
+    heads, whole = names.Heads(x, y), np.array([out_of_order(x.strings[i], y.strings[j]) for i, j in pairs])
+    for size in (24, heads.size // 2 + 9, heads.size):
+        assert (heads.differ(p, q, size) <= whole).all()
+    assert (heads.differ(p, q, heads.size) >= 0.6 * heads.size).mean() > 0.9
+    left = {(a, b) for one, two in names.alike(x, y, 0.92) for a, b in zip(one.tolist(), two.tolist())}
+    similar = {(i, j) for i, j in pairs if jaro(x.strings[i], y.strings[j]) >= 0.92}
+    assert similar and similar <= left and len(left) < len(similar) + 0.01 * len(pairs)
+    got = {(r["a"], r["b"]) for one, two in names.alike(x, y, 0.92) for b in names.similar_rows(x, y, one, two, 0.92) for r in b.to_pylist()}
+    assert got == {(x.strings[i], y.strings[j]) for i, j in similar}
+
+
+def test_lines_of_other_characters_do_not_meet():
+    """Blocks of two languages were compared pair by pair."""
+    rng = np.random.default_rng(7)
+    one, two = prose(rng, 50, "etaoinshrdlucmwfgypbvk", 300), prose(rng, 50, "éàuvqxjkwyzçèôîpbmnrts", 300)
+    assert [len(v) for v in names.in_reach(*names.by_class(one)[:1], *names.by_class(two)[:1], names.by_class(one)[1], names.by_class(two)[1], 0.92)] == [0, 0]
+    two += [altered(rng, one[3]), altered(rng, one[7])]
+    (c, la), (d, lb) = names.by_class(one), names.by_class(two)
+    rows, columns = names.in_reach(c, d, la, lb, 0.92)
+    similar = [(i, j) for i, a in enumerate(one) for j, b in enumerate(two) if jaro(a, b) >= 0.92]
+    assert similar and all(i in rows and j in columns for i, j in similar) and len(columns) < 25
